@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexhaven.functions.arrays import once
 from lexhaven.functions.text import newlines, not_blank, package_of
 from lexhaven.schemas import (
     DEFAULT_SOURCE_UNITS,
@@ -42,11 +43,15 @@ def _tail(text: Column) -> Column:
 
 
 def _tokens(text: Column, rows: list[tuple]) -> Column:
-    """Tokens in order, each with the text skipped before it, as sizes only."""
+    """Tokens in order, each with the text skipped before it, as sizes only.
+
+    The last entry is an empty `end` token after the rest of the text.
+    """
     declared = "|".join(_ungrouped(r[4]) for r in rows)
     pattern = rf"{_QUIET}|[{{}}]|\b(?:{declared})"
 
     def describe(token: Column, skipped: Column) -> Column:
+        token = F.coalesce(token, F.lit(""))
         unit, name = F.lit(None).cast("int"), F.lit(None).cast("string")
         for n, row in reversed(list(enumerate(rows))):
             hit = token.rlike("^" + row[4])
@@ -57,6 +62,7 @@ def _tokens(text: Column, rows: list[tuple]) -> Column:
             F.when(first == "{", "open")
             .when(first == "}", "close")
             .when(first.isin('"', "'", "/"), "quiet")
+            .when(first == "", "end")
             .otherwise("unit")
         )
         is_unit = kind == "unit"
@@ -73,7 +79,7 @@ def _tokens(text: Column, rows: list[tuple]) -> Column:
         )
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), describe)
+    return F.zip_with(matches, F.split(text, pattern, -1), describe)
 
 
 def _ungrouped(pattern: str) -> str:
@@ -120,7 +126,7 @@ def _fold(tokens: Column, rows: list[tuple]) -> Column:
         end_line_pos = F.when(t.nl > 0, end - t.tail).otherwise(line_pos)
 
         top = F.try_element_at(acc.open, F.lit(-1))
-        is_unit, is_open, is_close = (t.kind == k for k in ("unit", "open", "close"))
+        is_unit, is_open, is_close, is_end = (t.kind == k for k in ("unit", "open", "close", "end"))
         is_statement = is_unit & t.unit.isin(statements) if statements else F.lit(False)
         unit = F.struct(
             t.unit.alias("unit"),
@@ -142,8 +148,8 @@ def _fold(tokens: Column, rows: list[tuple]) -> Column:
             .when(is_close, F.slice(acc.open, F.lit(1), F.greatest(F.size(acc.open) - 1, F.lit(0))))
             .otherwise(acc.open)
         )
-        # A declaration that meets another one, or a closing brace, has no body.
-        dropped = (is_unit | is_close) & acc.pending.isNotNull()
+        # A declaration that meets another one, a closing brace or the end has no body.
+        dropped = (is_unit | is_close | is_end) & acc.pending.isNotNull()
         closed = F.struct(
             top.start.alias("start"), end.alias("end"), top.line.alias("line"),
             end_line.alias("end_line"), top.unit.alias("unit"), top["name"].alias("name"),
@@ -180,7 +186,8 @@ def _fold(tokens: Column, rows: list[tuple]) -> Column:
 
 
 def _scanned(files: DataFrame, rows: list[tuple]) -> DataFrame:
-    return files.withColumn("_scan", _fold(_tokens(F.col("text"), rows), rows))
+    fold = _fold(_tokens(F.col("text"), rows), rows)
+    return files.select("*", once(fold).alias("_scan"))
 
 
 def extract_blocks(
@@ -203,24 +210,11 @@ def extract_blocks(
     text = F.col("text")
     scanned = _scanned(files, rows)
 
-    # A declaration still waiting for its body at the end of the file has none.
-    last = F.when(
-        F.col("_scan.pending").isNotNull(),
-        F.array(
-            F.struct(
-                F.col("_scan.pending.start"), F.length(text).alias("end"),
-                F.col("_scan.pending.line"), F.col("_scan.pending.line").alias("end_line"),
-                F.col("_scan.pending.unit"), F.col("_scan.pending.name"),
-                F.col("_scan.pending.scope"), F.lit(False).alias("whole"),
-            )
-        ),
-    ).otherwise(_empty(_FOUND))
-
     def cut(u: Column) -> Column:
         body = F.substr(text, u.start + 1, u.end - u.start)
         return F.struct(u.alias("u"), F.when(u.whole, body).otherwise(_first_line(body)).alias("content"))
 
-    found = F.filter(F.concat(F.col("_scan.found"), last), lambda u: u.unit.isin(wanted))
+    found = F.filter(F.col("_scan.found"), lambda u: u.unit.isin(wanted))
     kept = F.filter(F.transform(F.array_sort(found), cut), lambda c: not_blank(c.content))
 
     def by_unit(field: int) -> Column:
@@ -230,15 +224,14 @@ def extract_blocks(
                 column = F.when(F.col("_u.u.unit") == n, rows[n][field]).otherwise(column)
         return column
 
-    out = (
-        scanned.withColumn("_kept", kept)
-        .withColumn("package", package_of(text))
-        .drop("text", "_scan")
-        .select("*", F.posexplode("_kept").alias("chunk_index", "_u"))
+    out = scanned.select(
+        *[c for c in files.columns if c != "text"],
+        package_of(text).alias("package"),
+        F.posexplode(kept).alias("chunk_index", "_u"),
     )
     level, name = by_unit(2), F.col("_u.u.name")
     return out.select(
-        *[c for c in out.columns if c not in ("_kept", "_u")],
+        *[c for c in out.columns if c != "_u"],
         F.col("_u.content").alias("content"),
         by_unit(0).alias("unit_type"),
         name.alias("name"),
