@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def detect_changes(files: DataFrame, manifest: DataFrame, mode: str = "hash") -> DataFrame:
-    """`path, status` for every path in the files or the manifest.
+def detect_changes(
+    files: DataFrame, manifest: DataFrame, mode: str = "hash", keep: tuple = ()
+) -> DataFrame:
+    """`path, status` for every path in the files or the manifest, and columns to `keep` of the files.
 
     `mode="hash"` compares `file_hash`, and so must read the files;
     `mode="mtime"` needs only their listing and takes a file as changed when it
@@ -16,7 +18,7 @@ def detect_changes(files: DataFrame, manifest: DataFrame, mode: str = "hash") ->
     if mode not in ("hash", "mtime"):
         raise ValueError(f"unknown mode {mode!r}")
     state = "file_hash" if mode == "hash" else "modification_time"
-    now = files.select("path", F.col(state).alias("now"), F.lit(True).alias("present"))
+    now = files.select("path", F.col(state).alias("now"), F.lit(True).alias("present"), *keep)
     then = manifest.select("path", F.col(state).alias("then"), F.lit(True).alias("known"))
     differs = (
         ~F.col("now").eqNullSafe(F.col("then")) if mode == "hash" else F.col("now") > F.col("then")
@@ -27,7 +29,9 @@ def detect_changes(files: DataFrame, manifest: DataFrame, mode: str = "hash") ->
         .when(differs, "changed")
         .otherwise("unchanged")
     )
-    return now.join(then, "path", "full_outer").select("path", status.alias("status"))
+    return now.join(then, "path", "full_outer").select(
+        "path", status.alias("status"), *keep
+    )
 
 
 def update_manifest(

@@ -101,6 +101,7 @@ def ingest_files(
     record_empty: bool = False,
     session_id: str | None = None,
     listing: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Ingest a table of `FILES`; returns the run's result row.
 
@@ -108,6 +109,9 @@ def ingest_files(
     `replace`, rows of earlier states of a file and of deleted files leave the
     store and the manifest; otherwise rows are upserted by id.
 
+    `partitions` spreads the pieces evenly before they are embedded; worth its
+    shuffle where embedding is slow and files differ much.
+
     Pieces are embedded once and written down; counts, failures and the store
     all read that table, so a lost executor never repeats the embedding of
     finished tasks. A batch that fails to embed fails its files and not the job.
@@ -120,24 +124,35 @@ def ingest_files(
     listing = files if listing is None else listing
 
     work = tables.shared_folder(spark)
-    detect_changes(listing, manifest, mode).write.parquet(f"{work}/changes")
-    changes = spark.read.parquet(f"{work}/changes")
-    todo = changes.where("status in ('new', 'changed')")
-    deleted = changes.where("status = 'deleted'")
-    if "content" in files.columns:
-        fresh = sources.read_text(sources.read_named(spark, files, todo))
-    else:
-        fresh = files.join(todo.select("path"), "path", "left_semi")
 
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    # The file states are written without text. The paths to do are a table of
+    # their own: Spark knows its size, and sends it to the files while small.
+    keep = ["relative_path", "ext", *(["file_hash"] if mode == "hash" else [])]
+    changes = written(
+        detect_changes(listing, manifest, mode, tuple(keep + ["modification_time"])), "changes"
+    )
+    todo = written(changes.where("status in ('new', 'changed')").select("path"), "todo")
+    deleted = changes.where("status = 'deleted'").select("path")
+
+    def texts(paths: DataFrame) -> DataFrame:
+        if "content" in files.columns:
+            return sources.read_text(sources.read_named(spark, files, paths))
+        return files.join(paths, "path", "left_semi")
+
+    # In a first run every file is new and nothing needs to be joined.
+    first_run = manifest.isEmpty() and "content" not in files.columns
+    fresh = files if first_run else texts(todo)
     known = fresh.where("language is not null")
     pieces = split_chunks(
         chunk_files(known, module, source_units, template_units), size, overlap, line_mode
     )
-    # Files differ in size and in chunks; embedding is the costly step, so
-    # its input is spread evenly first.
-    spread = pieces.repartition(F.xxhash64("id"))
-    embed(spread, make, dim=dim, on_error="keep").write.parquet(f"{work}/pieces")
-    staged = spark.read.parquet(f"{work}/pieces")
+    if partitions:
+        pieces = pieces.repartition(partitions, "id")
+    staged = written(embed(pieces, make, dim=dim, on_error="keep"), "pieces")
 
     failures = (
         staged.where("embed_error is not null")
@@ -152,24 +167,27 @@ def ingest_files(
     )
     if replace:
         # A changed file that has no chunks now loses its old ones too.
-        renewed = fresh.join(failures, "path", "left_anti").select("path")
-        gone = deleted.select("path").unionByName(renewed)
+        gone = deleted.unionByName(todo.join(failures, "path", "left_anti"))
         current = store.read_store(spark, store_path)
         store.rewrite(replace_files(current, stored, gone), store_path)
     else:
         store.append_rows(stored, store_path)
 
-    seen = listing.select("path", "relative_path", "ext").join(changes, "path").withColumn(
+    seen = changes.where("status <> 'deleted'").withColumn(
         "language", sources.language_of(F.col("ext"))
     )
-    lone = (
-        known.where(F.col("language") != TEMPLATE_LANGUAGE)
-        .join(staged.select(F.col("absolute_path").alias("path")).distinct(), "path", "left_anti")
+    # Few files have no chunk at all; only these are searched for issues.
+    lone = written(
+        seen.where(F.col("language") != TEMPLATE_LANGUAGE).select("path")
+        .join(todo, "path", "left_semi")
+        .join(staged.select(F.col("absolute_path").alias("path")).distinct(), "path", "left_anti"),
+        "lone",
     )
-    rows = outcomes(seen, counts, block_issues(lone), failures, session_id)
+    rows = outcomes(seen, counts, block_issues(texts(lone)), failures, session_id)
     runlog.append_log(rows, f"{target}/runlog")
 
-    done = fresh.join(failures, "path", "left_anti")
+    done = seen if mode == "hash" else fresh
+    done = done.join(todo, "path", "left_semi").join(failures, "path", "left_anti")
     manifests.write_manifest(
         update_manifest(manifest, done, counts, record_empty, deleted if replace else None),
         manifest_path,

@@ -29,7 +29,7 @@ CHUNKS = _struct(
 STORE = T.StructType(
     CHUNKS.fields
     + [
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), True),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), True),
         T.StructField("version", _L, True),
     ]
 )

@@ -38,9 +38,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(newest, stale, "left_anti")
 
 
-def append_rows(rows: DataFrame, path: str, version: int | None = None) -> int:
-    """Upsert rows by id. The same version written again, as in a replay, replaces itself."""
-    return tables.write_version(conform(latest_rows(rows), STORE), path, version)
+def append_rows(rows: DataFrame, path: str) -> int:
+    """Upsert rows by id: they become the newest version, and their ids' older rows stale."""
+    return tables.write_version(conform(latest_rows(rows), STORE), path)
 
 
 def rewrite(rows: DataFrame, path: str) -> int:

@@ -75,10 +75,10 @@ def read_versions(
     )
 
 
-def write_version(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Add a version to the newest generation; writing one again replaces it."""
+def write_version(df: DataFrame, path: str) -> int:
+    """Add a version to the newest generation, in place of one that was not finished."""
     gen, found = versions(df.sparkSession, path)
-    version = (found[-1] + 1 if found else 1) if version is None else version
+    version = found[-1] + 1 if found else 1
     out = df.drop("version")
     out.write.mode("overwrite").parquet(f"{path}/gen={max(gen, 1)}/version={version}")
     return version

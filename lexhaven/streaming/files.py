@@ -39,15 +39,16 @@ def store_stream(
 ) -> StreamingQuery:
     """Split, embed and upsert a stream of `CHUNKS` rows.
 
-    Each micro-batch becomes one version of the store under the batch's number,
-    so a batch that runs again replaces itself. Without a trigger all that is
-    there is taken in, and the query ends.
+    Each micro-batch becomes one version of the store. Ids come from the
+    content, so a batch that runs again, or a replay from a new checkpoint,
+    only covers its own earlier rows. Without a trigger all that is there is
+    taken in, and the query ends.
     """
     make = make or hashed_words()
 
     def upsert_batch(batch: DataFrame, number: int) -> None:
         pieces = embed(split_chunks(batch, size, overlap), make)
-        store.append_rows(pieces, store_path, version=number + 1)
+        store.append_rows(pieces, store_path)
 
     return (
         chunks.writeStream.foreachBatch(upsert_batch)
