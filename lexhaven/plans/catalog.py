@@ -150,7 +150,7 @@ def render_agent(spark, folder):
 @query
 def split_documents(spark, folder):
     """Documents split into overlapping pieces."""
-    pieces = chunks.split_chunks(inputs.document_chunks(table(spark, folder, "documents")))
+    pieces = chunks.split_chunks(inputs.document_chunks(inputs.spread_table(spark, folder, "documents")))
     return pieces.select("id", "sub_index", "line_start", "line_end", "content_hash", "piece_hash", "content")
 
 
@@ -158,7 +158,7 @@ def split_documents(spark, folder):
 def split_exact_lines(spark, folder):
     """Pieces of another size with line numbers counted."""
     pieces = chunks.split_chunks(
-        inputs.document_chunks(table(spark, folder, "documents")), 300, 120, line_mode="exact"
+        inputs.document_chunks(inputs.spread_table(spark, folder, "documents")), 300, 120, line_mode="exact"
     )
     return pieces.select("id", "line_start", "line_end", "piece_hash")
 
@@ -228,7 +228,7 @@ HTML_UNITS = (
 def regions_html(spark, folder):
     """Regions of the pages by a catalogue of one's own."""
     found = regions.extract_regions(
-        table(spark, folder, "pages").select("page_id", F.col("html").alias("text")),
+        inputs.spread_table(spark, folder, "pages").select("page_id", F.col("html").alias("text")),
         ("doctype", "script", "heading", "comment"), HTML_UNITS,
     )
     return found.select("page_id", "chunk_index", "unit_type", "chunk_type", "line_start", "line_end", "content")
@@ -257,7 +257,7 @@ def file_stats(spark, folder):
 @query
 def hash_embed(spark, folder):
     """Hashed-word vectors of the documents, as their places other than 0."""
-    done = embedding.embed(table(spark, folder, "documents"), embedding.hashed_words(DIM), "text")
+    done = embedding.embed(inputs.spread_table(spark, folder, "documents"), embedding.hashed_words(DIM), "text")
     cells = done.select("doc_id", F.posexplode("embedding").alias("place", "weight"))
     return cells.where("weight <> 0").select(
         "doc_id", "place", F.round(F.col("weight").cast("double"), 5).alias("weight")
@@ -271,7 +271,7 @@ def embed_udf(spark, folder):
     def make():
         return lambda texts: [[len(t), t.count("\n"), t.count(" ")] for t in texts]
 
-    done = embedding.embed(table(spark, folder, "documents"), make, "text", dim=3, batch_size=100)
+    done = embedding.embed(inputs.spread_table(spark, folder, "documents"), make, "text", dim=3, batch_size=100)
     return done.select(
         "doc_id", *[F.col("embedding")[n].cast("double").alias(c) for n, c in enumerate(("chars", "lines", "blanks"))]
     )
@@ -353,7 +353,7 @@ def update_manifest(spark, folder):
 @query
 def chunks_per_file(spark, folder):
     """Pieces of each document."""
-    pieces = chunks.split_chunks(inputs.document_chunks(table(spark, folder, "documents")))
+    pieces = chunks.split_chunks(inputs.document_chunks(inputs.spread_table(spark, folder, "documents")))
     return chunks.chunks_per_file(pieces)
 
 

@@ -171,7 +171,8 @@ def ingest_files(
         current = store.read_store(spark, store_path)
         store.rewrite(replace_files(current, stored, gone), store_path)
     else:
-        store.append_rows(stored, store_path)
+        # Ids hold the path and the index in the file, so they are unique.
+        store.append_rows(stored, store_path, unique=True)
 
     seen = changes.where("status <> 'deleted'").withColumn(
         "language", sources.language_of(F.col("ext"))

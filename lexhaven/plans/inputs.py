@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lexhaven.functions.identity import content_hash
 from lexhaven.functions.text import empty_to_null, extname, newlines, relative_to
-from lexhaven.operators.chunks import assemble_chunks
+from lexhaven.operators.chunks import assemble_chunks, split_chunks
 from lexhaven.operators.embedding import embed, hashed_words
 from lexhaven.sources.files import language_of
+from lexhaven.sources.tables import spread
 
 ROOT = "/corpus"
 DIM = 64
@@ -23,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that costly row-wise work starts from."""
+    return spread(table(spark, folder, name))
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
@@ -74,7 +80,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = F.concat(F.lit(ROOT + "/"), "source", F.lit("/Doc"), _text(F.col("doc_id")), F.lit(".gs"))
     return _files(
-        table(spark, folder, "documents").select(
+        spread_table(spark, folder, "documents").select(
             path.alias("path"), text.alias("text"),
             F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modification_time"),
         )
@@ -95,7 +101,7 @@ def template_files(spark: SparkSession, folder: str) -> DataFrame:
         text = F.replace(text, F.lit(old), F.lit(new))
     path = F.concat(F.lit(ROOT + "/pages/"), _text(F.col("page_id")), F.lit(".gst"))
     return _files(
-        table(spark, folder, "pages").select(
+        spread_table(spark, folder, "pages").select(
             path.alias("path"), text.alias("text"),
             F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("modification_time"),
         )
@@ -128,16 +134,14 @@ def document_chunks(documents: DataFrame) -> DataFrame:
 
 def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     """The table of vectors as a store; labels stand for chunk types."""
-    return table(spark, folder, "embeddings").select(
+    return spread_table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), _text(F.col("label")).alias("chunk_type"), "embedding"
     )
 
 
 def piece_store(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the documents with hashed-word vectors."""
-    from lexhaven.operators.chunks import split_chunks
-
-    pieces = split_chunks(document_chunks(table(spark, folder, "documents")))
+    pieces = split_chunks(document_chunks(spread_table(spark, folder, "documents")))
     return embed(pieces, hashed_words(DIM))
 
 

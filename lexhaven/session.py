@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    # Plans here have large expressions; noting the call site of each part is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _shipped: set[str] = set()

@@ -38,9 +38,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(newest, stale, "left_anti")
 
 
-def append_rows(rows: DataFrame, path: str) -> int:
-    """Upsert rows by id: they become the newest version, and their ids' older rows stale."""
-    return tables.write_version(conform(latest_rows(rows), STORE), path)
+def append_rows(rows: DataFrame, path: str, unique: bool = False) -> int:
+    """Upsert rows by id: they become the newest version, and their ids' older rows stale.
+
+    Rows known to be one per id are written where they are, without a shuffle.
+    """
+    rows = rows if unique else latest_rows(rows)
+    return tables.write_version(conform(rows, STORE), path)
 
 
 def rewrite(rows: DataFrame, path: str) -> int:

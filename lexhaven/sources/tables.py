@@ -92,6 +92,20 @@ def write_generation(df: DataFrame, path: str) -> int:
     return version
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a small input over the cores; a large one stays as it is read.
+
+    A small Parquet file is often one row group and so one task, which starves
+    costly row-wise work. The input's size is known from its files; what fills
+    every core with splits anyway is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach for intermediate tables.
 
