@@ -20,7 +20,11 @@ from lexhaven.schemas import (
 )
 
 # Strings and comments are single tokens, so that braces inside them do not count.
-_QUIET = r"""\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|//[^\n]*|(?s:/\*.*?\*/)"""
+# The possessive repeats are matched in a loop; greedy ones would need a stack
+# frame for each escape in a string.
+_QUIET = (
+    r'''"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|(?s:/\*.*?\*/)'''
+)
 
 _UNIT = "unit:int, name:string, start:int, line:int, col:int, inner:string, scope:string"
 _FOUND = (

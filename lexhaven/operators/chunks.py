@@ -81,7 +81,8 @@ def chunk_with(files: DataFrame, fn) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield fn(batch).reindex(columns=names)
+            units = fn(batch).reindex(columns=names).astype(object)
+            yield units.where(units.notna(), None)
 
     return assemble_chunks(files.mapInPandas(run, CHUNKS))
 
