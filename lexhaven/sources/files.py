@@ -14,7 +14,7 @@ from lexhaven.functions.identity import content_hash
 from lexhaven.functions.text import extname, relative_to, strip_scheme
 from lexhaven.schemas import EXCLUDED_DIRS, FILES, LANGUAGES
 
-_LISTING = T.StructType(
+BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("modificationTime", T.TimestampType()),
@@ -79,10 +79,10 @@ def discover_files(
     excluded names are pruned at any depth below the root; depth 0 is the root
     folder itself. Relative paths count from `source_root`, by default `root`.
 
-    Spark's own listing leaves out names that start with `_` or `.` and follows
-    links. `list_hidden=True` walks the tree in tasks instead, one folder of
-    the root per row, finds those names and skips links; it needs a file
-    system mounted on every executor.
+    Spark's own listing leaves out empty files and names that start with `_` or
+    `.`, and follows links. `list_hidden=True` walks the tree in tasks instead,
+    level by level, finds those and skips links; it needs a file system mounted
+    on every executor.
     """
     top = _root(root)
     wanted = list(extensions)
@@ -175,7 +175,7 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
     for more in files[1:]:
         listed = listed.unionByName(more)
     spread = listed.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(read, _LISTING)
+    return spread.mapInPandas(read, BINARY_FILE)
 
 
 def valid_text(content: Column) -> Column:

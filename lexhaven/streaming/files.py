@@ -21,6 +21,7 @@ def stream_files(spark: SparkSession, root: str, extensions=tuple(LANGUAGES)) ->
     braces = "{" + ",".join("*" + e for e in extensions) + "}"
     found = (
         spark.readStream.format("binaryFile")
+        .schema(sources.BINARY_FILE)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", braces)
         .load(root)
