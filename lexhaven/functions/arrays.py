@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_GROUP = 256
-
-
-def totals_before(values: Column) -> Column:
-    """For each entry of an int array, the sum of the entries before it.
+_GROUP = 32
 
-    `values` must be a plain column (see `once`), as several lambdas read it.
-    Sums run within groups of entries first and then over the groups, since
-    appending to one long array copies it each time.
-    """
-    n = F.size(values)
-
-    def within(g: Column) -> Column:
-        return F.aggregate(
-            F.slice(values, g * _GROUP + 1, F.lit(_GROUP)),
-            F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before")),
-            lambda acc, v: F.struct(
-                (acc["sum"] + v).alias("sum"), F.array_append(acc.before, acc["sum"]).alias("before")
-            ),
-        )
 
-    last_group = F.floor((F.greatest(n, F.lit(1)) - 1) / _GROUP).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), last_group), within)
-    joined = F.aggregate(
-        groups,
-        F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out")),
-        lambda acc, g: F.struct(
-            (acc["sum"] + g["sum"]).alias("sum"),
-            F.array_append(acc.out, F.transform(g.before, lambda v: v + acc["sum"])).alias("out"),
-        ),
-        lambda acc: F.flatten(acc.out),
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(joined)
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn` of a value that is computed once, however often `fn` reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def once(value: Column) -> Column:
@@ -48,3 +23,31 @@ def once(value: Column) -> Column:
     lambda that reads it.
     """
     return F.explode(F.array(value))
+
+
+def total(values: Column) -> Column:
+    """Sum of an int array."""
+    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
+
+
+def totals_before(values: Column) -> Column:
+    """For each entry of an int array, the sum of the entries before it.
+
+    Entries are summed within small groups, and then the sums of the groups. A
+    fold that appends to its result would copy all of it at every step.
+    """
+
+    def inside(group: Column, base: Column) -> Column:
+        return F.transform(group, lambda _, n: base + total(F.slice(group, F.lit(1), n)))
+
+    def grouped(v: Column) -> Column:
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / _GROUP).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda g: F.slice(v, g * _GROUP + 1, F.lit(_GROUP))
+        )
+
+    def summed(groups: Column) -> Column:
+        bases = bind(F.transform(groups, total), lambda sums: inside(sums, F.lit(0)))
+        return F.flatten(F.zip_with(groups, bases, inside))
+
+    return bind(bind(values, grouped), summed)

@@ -55,6 +55,25 @@ def snippet(text: Column, size: int = 200) -> Column:
     return F.concat(head, F.when(F.length(text) > size, F.lit("...")).otherwise(F.lit("")))
 
 
+def runs_of(text: Column, size: int, beyond: int) -> Column:
+    """A text longer than `beyond` as an array of runs of `size` characters, else NULL."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(F.length(text) > beyond, runs)
+
+
+def cut(text: Column, runs: Column, size: int, start: Column, length: Column) -> Column:
+    """`length` characters of a text from the 0-based `start`, by way of its runs if it has any.
+
+    Finding a character by number walks the text from its beginning, so many
+    cuts of one long text would take the square of its length.
+    """
+    first = F.floor(start / size).cast("int")
+    last = F.floor((start + length - 1) / size).cast("int")
+    near = F.substr(text, start + 1, length)
+    around = F.array_join(F.slice(runs, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(runs.isNull(), near).otherwise(F.substr(around, start - first * size + 1, length))
+
+
 def percent(score: Column) -> Column:
     """Score as a percentage with one decimal."""
     return F.format_string("%.1f%%", score * 100)

@@ -1,8 +1,8 @@
 """Nested declaration units of source files (classes, functions, properties, ...).
 
 One narrow pass: each file's text becomes an array of the tokens that matter
-(strings, comments, braces, declarations), the array is folded into its units,
-and the units are exploded with their text. Nothing is shuffled and no Python
+(strings, comments, braces, declarations), braces are matched within the array,
+and the units found are exploded with their text. Nothing is shuffled and no Python
 runs, so the cost is one read of the files however large the table is.
 """
 
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexhaven.functions.arrays import once
-from lexhaven.functions.text import newlines, not_blank, package_of
+from lexhaven.functions.arrays import once, totals_before
+from lexhaven.functions.text import cut, newlines, not_blank, package_of, runs_of
 from lexhaven.schemas import (
     DEFAULT_SOURCE_UNITS,
     SOURCE_UNITS,
@@ -26,24 +26,7 @@ _QUIET = (
     r'''"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|(?s:/\*.*?\*/)'''
 )
 
-_UNIT = "unit:int, name:string, start:int, line:int, col:int, inner:string, scope:string"
-_FOUND = (
-    "start:int, end:int, line:int, end_line:int, unit:int, name:string, scope:string, whole:boolean"
-)
-_ISSUE = "start:int, type:string, line:int, col:int, end:int, end_line:int, end_col:int"
-
-
-def _null(ddl: str) -> Column:
-    return F.lit(None).cast(f"struct<{ddl}>")
-
-
-def _empty(ddl: str) -> Column:
-    return F.array().cast(f"array<struct<{ddl}>>")
-
-
-def _tail(text: Column) -> Column:
-    """Length of the last line of a text."""
-    return F.length(F.substring_index(text, "\n", -1))
+_RUN = 4096
 
 
 def _tokens(text: Column, rows: list[tuple]) -> Column:
@@ -74,10 +57,8 @@ def _tokens(text: Column, rows: list[tuple]) -> Column:
             kind.alias("kind"),
             F.length(skipped).alias("gap"),
             newlines(skipped).alias("gap_nl"),
-            _tail(skipped).alias("gap_tail"),
             F.length(token).alias("size"),
             newlines(token).alias("nl"),
-            _tail(token).alias("tail"),
             F.when(is_unit, unit).alias("unit"),
             F.when(is_unit, name).alias("name"),
         )
@@ -100,98 +81,99 @@ def _ungrouped(pattern: str) -> str:
     return "".join(out)
 
 
-def _fold(tokens: Column, rows: list[tuple]) -> Column:
-    """Match braces over the tokens: struct of found units, issues and open units."""
-    class_units = [n for n, r in enumerate(rows) if r[2] == "class"]
-    statements = [n for n, r in enumerate(rows) if r[3] == "statement"]
+def _step(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", once(value).alias(name))
 
-    start_state = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(1).alias("line"),
-        F.lit(0).alias("line_pos"),
-        _empty(_UNIT).alias("open"),
-        _null(_UNIT).alias("pending"),
-        _empty(_FOUND).alias("found"),
-        _empty(_ISSUE).alias("issues"),
-    )
 
-    def bodyless(unit: Column, limit: Column) -> Column:
-        return F.struct(
-            unit.start, limit.alias("end"), unit.line, unit.line.alias("end_line"),
-            unit.unit, unit["name"], unit.scope, F.lit(False).alias("whole"),
-        )
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds `_p`: declarations, braces and the end, with positions and lines."""
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc.pos + t.gap
-        end = start + t["size"]
-        line = acc.line + t.gap_nl
-        line_pos = F.when(t.gap_nl > 0, start - t.gap_tail).otherwise(acc.line_pos)
-        end_line = line + t.nl
-        end_line_pos = F.when(t.nl > 0, end - t.tail).otherwise(line_pos)
-
-        top = F.try_element_at(acc.open, F.lit(-1))
-        is_unit, is_open, is_close, is_end = (t.kind == k for k in ("unit", "open", "close", "end"))
-        is_statement = is_unit & t.unit.isin(statements) if statements else F.lit(False)
-        unit = F.struct(
-            t.unit.alias("unit"),
+    def one(t: Column, n: Column) -> Column:
+        start = F.get("_before", n) + t.gap
+        line = F.get("_lines", n) + t.gap_nl + 1
+        return F.struct(
+            t.kind.alias("kind"), start.alias("start"), (start + t["size"]).alias("end"),
+            line.alias("line"), (line + t.nl).alias("end_line"), t.unit.alias("unit"),
             t["name"].alias("name"),
-            start.alias("start"),
-            line.alias("line"),
-            (start - line_pos + 1).alias("col"),
-            (F.when(t.unit.isin(class_units), t["name"]).otherwise(top.inner) if class_units else top.inner)
-            .alias("inner"),
-            top.inner.alias("scope"),
-        )
-        plain = F.struct(
-            F.lit(None).cast("int").alias("unit"), F.lit(None).cast("string").alias("name"),
-            start.alias("start"), line.alias("line"), (start - line_pos + 1).alias("col"),
-            top.inner.alias("inner"), top.inner.alias("scope"),
         )
-        open_now = (
-            F.when(is_open, F.array_append(acc.open, F.coalesce(acc.pending, plain)))
-            .when(is_close, F.slice(acc.open, F.lit(1), F.greatest(F.size(acc.open) - 1, F.lit(0))))
-            .otherwise(acc.open)
+
+    df = _step(df, "_before", totals_before(F.transform("_t", lambda t: t.gap + t["size"])))
+    df = _step(df, "_lines", totals_before(F.transform("_t", lambda t: t.gap_nl + t.nl)))
+    return _step(df, "_p", F.filter(F.transform("_t", one), lambda p: p.kind != "quiet"))
+
+
+def _matched(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Adds `_scan` of `blocks` (an open end is NULL), `plain` units and `stray` braces.
+
+    Braces are sorted by the depth outside them. Within a depth they come in
+    turn, so the brace after an opening one closes it, and a closing one that
+    comes after none, or after another closing one, is stray.
+    """
+    statements = [n for n, r in enumerate(rows) if r[3] == "statement"]
+    ps, braces = F.col("_p"), F.col("_b")
+
+    def takes_body(p: Column) -> Column:
+        known = p.kind == "unit"
+        return known & ~p.unit.isin(statements) if statements else known
+
+    def mark(p: Column, n: Column) -> Column:
+        unit = F.get(ps, n - 1)
+        owned = (p.kind == "open") & takes_body(unit)
+        return F.struct(
+            (F.get("_depth", n) - F.when(p.kind == "close", 1).otherwise(0)).alias("outside"),
+            n.alias("n"), p.kind.alias("kind"), p.start.alias("start"), p.end.alias("end"),
+            p.line.alias("line"), p.end_line.alias("end_line"),
+            F.when(owned, unit).alias("unit"),
         )
-        # A declaration that meets another one, a closing brace or the end has no body.
-        dropped = (is_unit | is_close | is_end) & acc.pending.isNotNull()
-        closed = F.struct(
-            top.start.alias("start"), end.alias("end"), top.line.alias("line"),
-            end_line.alias("end_line"), top.unit.alias("unit"), top["name"].alias("name"),
-            top.scope.alias("scope"), F.lit(True).alias("whole"),
+
+    def block(b: Column, n: Column) -> Column:
+        close = F.get(braces, n + 1)
+        closed = (close.outside == b.outside) & (close.kind == "close")
+        found = F.struct(
+            b.unit.start.alias("start"), F.when(closed, close.end).alias("end"),
+            b.unit.line.alias("line"), F.when(closed, close.end_line).alias("end_line"),
+            b.unit.unit.alias("unit"), b.unit["name"].alias("name"), F.lit(True).alias("whole"),
         )
-        found = acc.found
-        found = F.when(dropped, F.array_append(found, bodyless(acc.pending, start))).otherwise(found)
-        found = F.when(is_close & top.unit.isNotNull(), F.array_append(found, closed)).otherwise(found)
-        found = F.when(
-            is_statement,
-            F.array_append(found, bodyless(unit, end)),
-        ).otherwise(found)
-        stray = F.struct(
-            start.alias("start"), F.lit("ERROR").alias("type"), line.alias("line"),
-            (start - line_pos + 1).alias("col"), end.alias("end"), end_line.alias("end_line"),
-            (end - line_pos + 1).alias("end_col"),
+        return F.when(b.unit.isNotNull(), found)
+
+    def bodyless(p: Column, n: Column) -> Column:
+        after = F.get(ps, n + 1)
+        alone = (p.kind == "unit") & (~takes_body(p) | (after.kind != "open"))
+        found = F.struct(
+            p.start.alias("start"), F.when(takes_body(p), after.start).otherwise(p.end).alias("end"),
+            p.line.alias("line"), p.line.alias("end_line"), p.unit.alias("unit"),
+            p["name"].alias("name"), F.lit(False).alias("whole"),
         )
-        return F.struct(
-            end.alias("pos"),
-            end_line.alias("line"),
-            end_line_pos.alias("line_pos"),
-            open_now.alias("open"),
-            F.when(is_unit & ~is_statement, unit)
-            .when(is_open | is_close | is_statement, _null(_UNIT))
-            .otherwise(acc.pending)
-            .alias("pending"),
-            found.alias("found"),
-            F.when(is_close & (F.size(acc.open) == 0), F.array_append(acc.issues, stray))
-            .otherwise(acc.issues)
-            .alias("issues"),
+        return F.when(alone, found)
+
+    def stray(b: Column, n: Column) -> Column:
+        before = F.get(braces, n - 1)
+        paired = (before.outside == b.outside) & (before.kind == "open")
+        lone = (b.kind == "close") & ~F.coalesce(paired, F.lit(False))
+        return F.when(
+            lone, F.struct(b.start.alias("start"), b.end.alias("end"), b.line.alias("line"))
         )
 
-    return F.aggregate(tokens, start_state, step)
+    deeper = F.transform(
+        ps, lambda p: F.when(p.kind == "open", 1).when(p.kind == "close", -1).otherwise(0)
+    )
+    df = _step(df, "_depth", totals_before(deeper))
+    marks = F.filter(F.transform(ps, mark), lambda m: m.kind.isin("open", "close"))
+    df = _step(df, "_b", F.array_sort(marks))
+    return _step(
+        df, "_scan",
+        F.struct(
+            F.array_compact(F.transform(braces, block)).alias("blocks"),
+            F.array_compact(F.transform(ps, bodyless)).alias("plain"),
+            F.array_compact(F.transform(braces, stray)).alias("stray"),
+        ),
+    )
 
 
 def _scanned(files: DataFrame, rows: list[tuple]) -> DataFrame:
-    fold = _fold(_tokens(F.col("text"), rows), rows)
-    return files.select("*", once(fold).alias("_scan"))
+    df = _step(files, "_t", _tokens(F.col("text"), rows))
+    df = _matched(_placed(df), rows)
+    return df.select(*files.columns, "_scan")
 
 
 def extract_blocks(
@@ -214,37 +196,57 @@ def extract_blocks(
     text = F.col("text")
     scanned = _scanned(files, rows)
 
-    def cut(u: Column) -> Column:
-        body = F.substr(text, u.start + 1, u.end - u.start)
-        return F.struct(u.alias("u"), F.when(u.whole, body).otherwise(_first_line(body)).alias("content"))
+    classes = [n for n, r in enumerate(rows) if r[2] == "class"]
+    outer = F.filter(F.col("_scan.blocks"), lambda c: c.unit.isin(classes) if classes else F.lit(False))
+    # Neither the text nor what is read from it may wait until the units are
+    # exploded: each of their rows would carry the whole text.
+    scanned = scanned.withColumn("package", package_of(text))
+    scanned = _step(scanned, "_classes", outer)
+    scanned = _step(scanned, "_runs", runs_of(text, _RUN, 16 * _RUN))
+
+    def described(u: Column) -> Column:
+        body = cut(text, F.col("_runs"), _RUN, u.start, u.end - u.start)
+        around = F.filter(
+            "_classes", lambda c: (c.start < u.start) & (c.end.isNull() | (c.end >= u.end))
+        )
+        # The innermost class is the one that starts last.
+        inner = F.array_max(F.transform(around, lambda c: F.struct(c.start, c["name"].alias("name"))))
+        return F.struct(
+            u.start.alias("start"),
+            F.when(u.whole, body).otherwise(_first_line(body)).alias("content"),
+            u.unit.alias("unit"), u["name"].alias("name"), u.line.alias("line"),
+            u.end_line.alias("end_line"), inner["name"].alias("scope"),
+        )
 
-    found = F.filter(F.col("_scan.found"), lambda u: u.unit.isin(wanted))
-    kept = F.filter(F.transform(F.array_sort(found), cut), lambda c: not_blank(c.content))
+    closed = F.filter(
+        F.concat("_scan.blocks", "_scan.plain"), lambda u: u.end.isNotNull() & u.unit.isin(wanted)
+    )
+    kept = F.filter(F.transform(F.array_sort(closed), described), lambda c: not_blank(c.content))
 
     def by_unit(field: int) -> Column:
         column = F.lit(None).cast("string")
         for n in wanted:
             if rows[n][field] is not None:
-                column = F.when(F.col("_u.u.unit") == n, rows[n][field]).otherwise(column)
+                column = F.when(F.col("_u.unit") == n, rows[n][field]).otherwise(column)
         return column
 
     out = scanned.select(
         *[c for c in files.columns if c != "text"],
-        package_of(text).alias("package"),
+        "package",
         F.posexplode(kept).alias("chunk_index", "_u"),
     )
-    level, name = by_unit(2), F.col("_u.u.name")
+    level, name = by_unit(2), F.col("_u.name")
     return out.select(
         *[c for c in out.columns if c != "_u"],
         F.col("_u.content").alias("content"),
         by_unit(0).alias("unit_type"),
         name.alias("name"),
-        F.col("_u.u.scope").alias("enclosing_class"),
+        F.col("_u.scope").alias("enclosing_class"),
         F.coalesce(by_unit(1), F.lit("file")).alias("chunk_type"),
         F.when(level == "class", name).alias("class_name"),
         F.when(level == "method", name).alias("method_name"),
-        F.col("_u.u.line").alias("line_start"),
-        F.col("_u.u.end_line").alias("line_end"),
+        F.col("_u.line").alias("line_start"),
+        F.col("_u.end_line").alias("line_end"),
     )
 
 
@@ -262,21 +264,34 @@ def block_issues(files: DataFrame, catalogue=SOURCE_UNITS) -> DataFrame:
     text = F.col("text")
     scanned = _scanned(files, rows)
     last_line = F.lit(1) + newlines(text)
-    unclosed = F.transform(
-        F.filter(F.col("_scan.open"), lambda u: u.unit.isNotNull()),
-        lambda u: F.struct(
-            u.start.alias("start"), F.lit("MISSING").alias("type"), u.line.alias("line"),
-            u.col.alias("col"), F.length(text).alias("end"), last_line.alias("end_line"),
-            (_tail(text) + 1).alias("end_col"),
+
+    def column_at(position: Column) -> Column:
+        return F.length(F.substring_index(F.substr(text, F.lit(1), position), "\n", -1)) + 1
+
+    def report(kind: str):
+        def one(i: Column) -> Column:
+            missing = kind == "MISSING"
+            end = F.length(text) if missing else i.end
+            return F.struct(
+                i.start.alias("_at"),
+                F.lit(kind).alias("type"),
+                i.line.alias("start_line"),
+                column_at(i.start).alias("start_column"),
+                (last_line if missing else i.line).alias("end_line"),
+                column_at(end).alias("end_column"),
+                F.substr(text, i.start + 1, F.least(end - i.start, F.lit(200))).alias("text"),
+            )
+
+        return one
+
+    unclosed = F.filter(F.col("_scan.blocks"), lambda u: u.end.isNull())
+    found = F.concat(
+        F.transform(F.col("_scan.stray"), report("ERROR")), F.transform(unclosed, report("MISSING"))
+    )
+    in_order = F.transform(
+        F.array_sort(found),
+        lambda i: F.struct(
+            *[i[c].alias(c) for c in ("type", "start_line", "start_column", "end_line", "end_column", "text")]
         ),
     )
-
-    def report(i: Column) -> Column:
-        return F.struct(
-            i.type.alias("type"), i.line.alias("start_line"), i["col"].alias("start_column"),
-            i.end_line.alias("end_line"), i.end_col.alias("end_column"),
-            F.substr(text, i.start + 1, F.least(i.end - i.start, F.lit(200))).alias("text"),
-        )
-
-    issues = F.transform(F.array_sort(F.concat(F.col("_scan.issues"), unclosed)), report)
-    return scanned.withColumn("issues", issues).drop("_scan")
+    return scanned.withColumn("issues", in_order).drop("_scan")

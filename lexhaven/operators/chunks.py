@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexhaven.functions import identity
 from lexhaven.functions.arrays import once, totals_before
-from lexhaven.functions.text import newlines
+from lexhaven.functions.text import cut, newlines, runs_of
 from lexhaven.operators.blocks import extract_blocks
 from lexhaven.operators.regions import extract_regions
 from lexhaven.schemas import (
@@ -121,32 +119,20 @@ def split_chunks(
     if line_mode not in ("estimate", "exact"):
         raise ValueError(f"unknown line mode {line_mode!r}")
     step = size - overlap
-    reach = math.ceil(size / step)
     content = F.col("content")
     length = F.length(content)
 
-    # Finding a character by number walks the text from its start: cheap within
-    # a few thousand characters, so only longer texts are cut into runs.
-    runs = F.when(
-        length > 32 * size,
-        F.regexp_extract_all(content, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
-    )
+    runs = runs_of(content, step, 32 * size)
     df = chunks.select("*", once(runs).alias("_runs"))
     before = F.lit(None).cast("array<int>")
     if line_mode == "exact":
-        steps = F.coalesce(
-            F.col("_runs"), F.regexp_extract_all(content, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-        )
-        lines = F.when(length > size, F.transform(steps, newlines))
-        df = df.select("*", once(lines).alias("_lines"))
-        df = df.select("*", once(totals_before(F.col("_lines"))).alias("_before"))
+        lines = F.transform(runs_of(content, step, size), newlines)
+        df = df.select("*", once(totals_before(lines)).alias("_before"))
         before = F.col("_before")
 
     def piece(n: Column) -> Column:
-        near = F.substr(content, n * step + 1, F.lit(size))
-        far = F.substring(F.array_join(F.slice("_runs", n + 1, F.lit(reach)), ""), 1, size)
         return F.struct(
-            F.when(F.col("_runs").isNull(), near).otherwise(far).alias("content"),
+            cut(content, F.col("_runs"), step, n * step, F.lit(size)).alias("content"),
             F.lit(True).alias("split"),
             F.get(before, n).alias("lines"),
         )

@@ -46,12 +46,9 @@ def extract_regions(
             )
         ).alias("_parts"),
     ).drop("text")
-    split_text = split_text.select(
-        "*", once(F.transform("_parts", lambda p: p.gap_nl + p.nl)).alias("_lines")
-    )
     placed = F.zip_with(
         F.col("_parts"),
-        totals_before(F.col("_lines")),
+        totals_before(F.transform("_parts", lambda p: p.gap_nl + p.nl)),
         lambda p, before: F.struct(
             p.content.alias("content"),
             kind(p.content).alias("unit"),
@@ -61,7 +58,7 @@ def extract_regions(
     )
     kept = F.filter(placed, lambda p: p.unit.isin(wanted) & not_blank(p.content))
     out = split_text.select(
-        *[c for c in split_text.columns if c not in ("_parts", "_lines")],
+        *[c for c in split_text.columns if c != "_parts"],
         F.posexplode(kept).alias("chunk_index", "_u"),
     )
 

@@ -27,8 +27,10 @@ FILTERS = ("package", "class_name", "chunk_type", "language", "relative_path")
 BROADCAST_QUERIES = 4096
 BROADCAST_HITS = 500_000
 
-# Bytes of vectors in one block of the route by join.
+# Bytes of query vectors in one block of the route by join; a block of the
+# store has four times as many, since query blocks are copied for each of them.
 BLOCK_BYTES = 4 << 20
+STORE_BLOCK = 4
 
 
 def metadata_filter(filters: dict | None, match_enclosing: bool = False) -> Column:
@@ -213,10 +215,11 @@ def search(
     Up to `broadcast_queries` queries go to every task, which keeps the k best
     of its own vectors per query: the store is scanned once and only those rows
     are shuffled. More queries, counted first, meet the store in blocks: both
-    sides are packed into arrays of `block_bytes`, query blocks are copied to
-    each store block's number, and an equi-join brings the pairs together.
+    sides are packed into arrays of about `block_bytes`, query blocks are copied
+    to each store block's number, and an equi-join brings the pairs together.
     """
-    corpus = store.where(metadata_filter(filters, match_enclosing)).where("embedding is not null")
+    chosen = store.where(metadata_filter(filters, match_enclosing))
+    corpus = chosen.where("embedding is not null")
     names = [c for c in FILTERS if c in queries.columns]
     asked = queries.select(
         "query_id",
@@ -254,9 +257,10 @@ def search(
     chunk = [c for c in store.columns if c not in ("embedding", "version")]
     if chunk != ["id"]:
         small = len(few) <= broadcast_queries and len(few) * k <= BROADCAST_HITS
-        # Few hits are sent to the store's tasks, so the store stays in place.
+        # Few hits are sent to the store's tasks, so the store stays in place. The
+        # vectors are not read again for this.
         hits = F.broadcast(ranked) if small and limit is not None else ranked
-        ranked = corpus.select(*chunk).join(hits, "id")
+        ranked = chosen.select(*chunk).join(hits, "id")
     return _finish(ranked.select("query_id", "rank", *chunk, "distance", "_min_score"))
 
 
@@ -303,7 +307,7 @@ def _by_blocks(vectors: DataFrame, asked: DataFrame, names, schema, block_bytes:
     stored = vectors.agg(F.count(F.lit(1))).first()[0]
     rows_per_block = max(1, block_bytes // (4 * max(1, sizes[1])))
     n_queries = -(-sizes[0] // rows_per_block)
-    n_stored = max(1, -(-stored // rows_per_block))
+    n_stored = max(1, -(-stored // (STORE_BLOCK * rows_per_block)))
 
     left = _blocks(vectors, "id", n_stored, "_s", "_rows", ["id", "embedding", *names])
     right = _blocks(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import stat as stat_bits
 import warnings
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,11 +99,13 @@ def discover_files(
             .option("pathGlobFilter", braces)
             .load(root)
         )
-        # Tests on the file name in `_metadata` drop files before they are opened.
-        meta = F.col("_metadata.file_path")
+        # Tests on the file's address drop files before they are opened; the
+        # exact test on folder names follows below.
+        address, start = F.col("_metadata.file_path"), quote(_bare(top).rstrip("/"), safe="/:@!$&'()*+,;=~")
+        at = F.instr(address, F.lit(start + "/"))
         for name in exclude_dirs:
-            inside = F.substr(meta, F.instr(meta, F.lit(_bare(top) + "/")) + len(_bare(top)))
-            found = found.where(~inside.contains(f"/{name}/"))
+            inside = F.substr(address, at + len(start)).contains(f"/{quote(name)}/")
+            found = found.where(~((at > 0) & inside))
     else:
         found = _walk(spark, top, wanted, list(exclude_dirs), max_depth)
     out = named(found, top, source_root)

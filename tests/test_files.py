@@ -108,7 +108,7 @@ def test_named_files(spark, tree):
 def test_stats_and_module(spark, tree):
     df = sources.discover_files(spark, str(tree), exclude_dirs=[], max_depth=0)
     assert {r.ext: r.files for r in sources.file_stats(df).collect()}[".gst"] == 1
-    assert sources.module_of("/x/PolicyCenter/") == "policycenter"
+    assert sources.module_of("/x/MyApp/") == "myapp"
 
 
 def test_unknown_language(spark):

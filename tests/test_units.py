@@ -10,7 +10,7 @@ from lexhaven.schemas import DEFAULT_SOURCE_UNITS, SOURCE_UNITS, units_table
 
 SOURCE = '''package a.b.c
 
-uses gw.api.Base
+uses lib.api.Base
 // class Fake {
 class Foo extends Bar {
   var s = "} class Q { \\" } "
@@ -72,7 +72,7 @@ def test_children_are_repeated_in_their_parents(spark):
 def test_chosen_units_and_unmapped_types(spark):
     got = rows(blocks.extract_blocks(files(spark, SOURCE), ("uses_statement", "package_declaration")))
     assert [(r.chunk_type, r.content, r.chunk_index) for r in got] == [
-        ("file", "package a.b.c", 0), ("file", "uses gw.api.Base", 1),
+        ("file", "package a.b.c", 0), ("file", "uses lib.api.Base", 1),
     ]
     assert all(r.class_name is None and r.method_name is None for r in got)
 
