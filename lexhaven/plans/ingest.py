@@ -193,6 +193,8 @@ def ingest_files(
         update_manifest(manifest, done, counts, record_empty, deleted if replace else None),
         manifest_path,
     )
+    # Store, log and manifest are written; nothing reads the work tables now.
+    tables.drop_folder(spark, work)
     log = runlog.read_log(spark, f"{target}/runlog")
     return run_result(log.where(F.col("session_id") == session_id))
 

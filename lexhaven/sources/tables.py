@@ -92,6 +92,12 @@ def write_generation(df: DataFrame, path: str) -> int:
     return version
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables that nothing reads any more."""
+    _, fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out a small input over the cores; a large one stays as it is read.
 
