@@ -36,6 +36,11 @@ def _r(name: str):
     return F.round(F.col(name), 6).alias(name)
 
 
+def _clock(name: str):
+    """A time as the wall clock of the session's zone shows it, as in the event table."""
+    return F.col(name).cast("timestamp_ntz").alias(name)
+
+
 def _hits(hits: DataFrame, *extra: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", *extra, _r("distance"), _r("score"))
 
@@ -434,26 +439,28 @@ def log_latest(spark, folder):
 def log_errors(spark, folder):
     """The newest hundred errors of the latest session."""
     found = report.errors(inputs.run_log(spark, folder))
-    return found.select("ts", "session_id", "file_path", "status", "error_message")
+    return found.select(_clock("ts"), "session_id", "file_path", "status", "error_message")
 
 
 @query
 def log_parse_errors(spark, folder):
     """All parse errors of the latest session."""
-    return report.parse_errors(inputs.run_log(spark, folder)).select("ts", "file_path", "error_message")
+    found = report.parse_errors(inputs.run_log(spark, folder))
+    return found.select(_clock("ts"), "file_path", "error_message")
 
 
 @query
 def log_sessions(spark, folder):
     """Every session with its times."""
-    return report.list_sessions(inputs.run_log(spark, folder))
+    found = report.list_sessions(inputs.run_log(spark, folder))
+    return found.select("session_id", _clock("first_ts"), _clock("last_ts"), "rows")
 
 
 @query
 def log_session_rows(spark, folder):
     """All rows of the latest session."""
     return report.session_log(inputs.run_log(spark, folder)).select(
-        "ts", "session_id", "file_path", "relative_path", "status", "chunk_count", "error_message"
+        _clock("ts"), "session_id", "file_path", "relative_path", "status", "chunk_count", "error_message"
     )
 
 
