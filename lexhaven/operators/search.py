@@ -217,6 +217,8 @@ def search(
     are shuffled. More queries, counted first, meet the store in blocks: both
     sides are packed into arrays of about `block_bytes`, query blocks are copied
     to each store block's number, and an equi-join brings the pairs together.
+    That route reads the query table more than once, so queries that are costly
+    to embed are better written down first.
     """
     chosen = store.where(metadata_filter(filters, match_enclosing))
     corpus = chosen.where("embedding is not null")
