@@ -30,11 +30,12 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
 
 
-def totals_before(values: Column) -> Column:
+def totals_before(values: Column, levels: int = 3) -> Column:
     """For each entry of an int array, the sum of the entries before it.
 
-    Entries are summed within small groups, and then the sums of the groups. A
-    fold that appends to its result would copy all of it at every step.
+    Entries are summed within small groups; the sums of the groups are an array
+    of the same kind, summed in the same way, level by level. A fold that appends
+    to its result would copy all of it at every step.
     """
 
     def inside(group: Column, base: Column) -> Column:
@@ -46,8 +47,11 @@ def totals_before(values: Column) -> Column:
             F.sequence(F.lit(0), last), lambda g: F.slice(v, g * _GROUP + 1, F.lit(_GROUP))
         )
 
+    def below(sums: Column) -> Column:
+        return totals_before(sums, levels - 1) if levels > 1 else inside(sums, F.lit(0))
+
     def summed(groups: Column) -> Column:
-        bases = bind(F.transform(groups, total), lambda sums: inside(sums, F.lit(0)))
+        bases = bind(F.transform(groups, total), below)
         return F.flatten(F.zip_with(groups, bases, inside))
 
     return bind(bind(values, grouped), summed)

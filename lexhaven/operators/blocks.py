@@ -176,6 +176,51 @@ def _scanned(files: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.select(*files.columns, "_scan")
 
 
+def _scopes(df: DataFrame) -> DataFrame:
+    """Adds `_scope`: for each of `_units`, in their order, the name of the innermost of `_classes` around it.
+
+    Classes nest, so at a unit the innermost open class is the last one before it that was
+    opened at the unit's own depth. Sorted by depth and place, that class is the nearest
+    before the unit; one count along the sorted list finds it.
+    """
+    opened, unit, closed = 2, 1, 0
+
+    def event(at: Column, rank: int, change: int, n: Column, name: Column) -> Column:
+        return F.struct(
+            at.alias("at"), F.lit(rank).alias("rank"), n.alias("n"), name.alias("name"), F.lit(change).alias("change")
+        )
+
+    none, nameless = F.lit(-1), F.lit(None).cast("string")
+    # At one place an ending class comes first, then a unit, then a class that begins.
+    events = F.concat(
+        F.transform("_classes", lambda c: event(c.start, opened, 1, none, c["name"])),
+        F.transform(
+            F.filter("_classes", lambda c: c.end.isNotNull()), lambda c: event(c.end, closed, -1, none, nameless)
+        ),
+        F.transform("_units", lambda u, n: event(u.start, unit, 0, n, nameless)),
+    )
+    df = _step(df, "_events", F.array_sort(events))
+    df = _step(df, "_open", totals_before(F.transform("_events", lambda e: e.change)))
+
+    def level(e: Column, n: Column) -> Column:
+        depth = F.get("_open", n) + F.when(e["rank"] == opened, 1).otherwise(0)
+        return F.struct(depth.alias("depth"), n.alias("at"), e["rank"].alias("rank"), e.n.alias("n"), e["name"].alias("name"))
+
+    levels = F.filter(F.transform("_events", level), lambda e: e["rank"] != closed)
+    df = _step(df, "_levels", F.array_sort(levels))
+    df = _step(df, "_seen", totals_before(F.transform("_levels", lambda e: F.when(e["rank"] == opened, 1).otherwise(0))))
+    df = _step(df, "_opened", F.filter("_levels", lambda e: e["rank"] == opened))
+
+    def around(e: Column, n: Column) -> Column:
+        name = F.when(e.depth > 0, F.get("_opened", F.get("_seen", n) - 1)["name"])
+        return F.when(e["rank"] == unit, F.struct(e.n.alias("n"), name.alias("name")))
+
+    found = F.array_sort(F.array_compact(F.transform("_levels", around)))
+    return _step(df, "_scope", F.transform(found, lambda e: e["name"])).drop(
+        "_events", "_open", "_levels", "_seen", "_opened"
+    )
+
+
 def extract_blocks(
     files: DataFrame, units=DEFAULT_SOURCE_UNITS, catalogue=SOURCE_UNITS
 ) -> DataFrame:
@@ -201,27 +246,23 @@ def extract_blocks(
     # Neither the text nor what is read from it may wait until the units are
     # exploded: each of their rows would carry the whole text.
     scanned = scanned.withColumn("package", package_of(text))
+    closed = F.filter(
+        F.concat("_scan.blocks", "_scan.plain"), lambda u: u.end.isNotNull() & u.unit.isin(wanted)
+    )
     scanned = _step(scanned, "_classes", outer)
+    scanned = _scopes(_step(scanned, "_units", F.array_sort(closed)))
     scanned = _step(scanned, "_runs", runs_of(text, _RUN, 16 * _RUN))
 
-    def described(u: Column) -> Column:
+    def described(u: Column, n: Column) -> Column:
         body = cut(text, F.col("_runs"), _RUN, u.start, u.end - u.start)
-        around = F.filter(
-            "_classes", lambda c: (c.start < u.start) & (c.end.isNull() | (c.end >= u.end))
-        )
-        # The innermost class is the one that starts last.
-        inner = F.array_max(F.transform(around, lambda c: F.struct(c.start, c["name"].alias("name"))))
         return F.struct(
             u.start.alias("start"),
             F.when(u.whole, body).otherwise(_first_line(body)).alias("content"),
             u.unit.alias("unit"), u["name"].alias("name"), u.line.alias("line"),
-            u.end_line.alias("end_line"), inner["name"].alias("scope"),
+            u.end_line.alias("end_line"), F.get("_scope", n).alias("scope"),
         )
 
-    closed = F.filter(
-        F.concat("_scan.blocks", "_scan.plain"), lambda u: u.end.isNotNull() & u.unit.isin(wanted)
-    )
-    kept = F.filter(F.transform(F.array_sort(closed), described), lambda c: not_blank(c.content))
+    kept = F.filter(F.transform("_units", described), lambda c: not_blank(c.content))
 
     def by_unit(field: int) -> Column:
         column = F.lit(None).cast("string")

@@ -107,6 +107,8 @@ def embed(
                 {"embedding": [r[0] for r in rows], "error": [r[1] for r in rows]}
             )
 
+    # Spark repeats a deterministic function for a filter on its result; a model must run once.
+    run = run.asNondeterministic()
     # A text that is NULL or absent is an empty text to the embedder.
     done = df.withColumn("_e", run(F.coalesce(F.col(column), F.lit(""))))
     out = done.withColumn("embedding", F.col("_e.embedding"))

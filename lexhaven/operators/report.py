@@ -70,8 +70,13 @@ def list_sessions(log: DataFrame) -> DataFrame:
 
 
 def run_result(log: DataFrame) -> DataFrame:
-    """One row per session: processed, skipped and failed files, chunks, duration, rates."""
-    took = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    """One row per session: processed, skipped and failed files, chunks, duration, rates.
+
+    A session lasts from its first row, or the begin of the longest work that a row tells of,
+    to its last row.
+    """
+    begin = F.unix_micros("ts") - 1000 * F.coalesce("duration_ms", F.lit(0))
+    took = F.unix_micros(F.max("ts")) - F.min(begin)
     sums = log.groupBy("session_id").agg(
         F.count_if(F.col("status") == "success").alias("files_processed"),
         F.count_if(F.col("status") == "skipped").alias("files_skipped"),
@@ -100,7 +105,7 @@ def files_with_errors(files: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def report_lines(log: DataFrame) -> DataFrame:
-    """JSON report of every session: a line with its summary, then its rows in time order.
+    """JSON report of every session: a line with its summary and time, then its rows in time order.
 
     `session_id, section, ts, json`. The statuses of a summary are few; rows
     stay one line each, so that no session has to fit into one task.
@@ -109,7 +114,8 @@ def report_lines(log: DataFrame) -> DataFrame:
         "line", F.struct("status", F.col("files").alias("count"), F.col("chunks").alias("total_chunks"))
     )
     heads = by_status.groupBy("session_id").agg(F.array_sort(F.collect_list("line")).alias("summary"))
-    head_json = F.to_json(F.struct(F.col("session_id").alias("sessionId"), "summary"))
+    heads = heads.join(log.groupBy("session_id").agg(F.max("ts").alias("timestamp")), "session_id")
+    head_json = F.to_json(F.struct(F.col("session_id").alias("sessionId"), "timestamp", "summary"))
     rows = log.select(
         "session_id", F.lit("log").alias("section"), "ts",
         F.to_json(F.struct(*log.columns)).alias("json"),

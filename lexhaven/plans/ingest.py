@@ -31,7 +31,8 @@ from lexhaven.sources import runlog, store, tables
 
 
 def outcomes(
-    files: DataFrame, counts: DataFrame, issues: DataFrame, failures: DataFrame, session_id: str
+    files: DataFrame, counts: DataFrame, issues: DataFrame, failures: DataFrame, session_id: str,
+    started: datetime.datetime | None = None,
 ) -> DataFrame:
     """`RUNLOG` rows, one per file of the run.
 
@@ -39,7 +40,9 @@ def outcomes(
     stored per path; `issues` the unit issues per path; `failures` an
     `error_message` per path that could not be embedded.
     A file without chunks is a parse error when it has issues, else a success
-    with 0 chunks; unchanged files are skipped.
+    with 0 chunks; unchanged files are skipped. Spark takes files in together, so
+    each one's duration is the time from `started`, the run's begin, to the
+    writing of its row; skipped files took none.
     """
     joined = (
         files.join(counts, "path", "left")
@@ -76,6 +79,9 @@ def outcomes(
         first.start_line.alias("line_number"),
         first.start_column.alias("column_number"),
     )
+    if started is not None:
+        took = F.unix_millis(F.col("ts")) - F.unix_millis(F.lit(started))
+        rows = rows.withColumn("duration_ms", F.when(F.col("status") == "skipped", F.lit(0)).otherwise(F.greatest(took, F.lit(1))))
     return conform(rows, RUNLOG)
 
 
@@ -117,13 +123,14 @@ def ingest_files(
     finished tasks. A batch that fails to embed fails its files and not the job.
     """
     spark = files.sparkSession
+    started = datetime.datetime.now(datetime.timezone.utc)
     make = make or hashed_words()
     session_id = session_id or new_session(spark)
     store_path, manifest_path = f"{target}/store", f"{target}/manifest"
     manifest = manifests.read_manifest(spark, manifest_path)
     listing = files if listing is None else listing
 
-    work = tables.shared_folder(spark)
+    work = tables.shared_folder(spark, beside=target)
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{work}/{name}")
@@ -135,13 +142,15 @@ def ingest_files(
     changes = written(
         detect_changes(listing, manifest, mode, tuple(keep + ["modification_time"])), "changes"
     )
-    todo = written(changes.where("status in ('new', 'changed')").select("path"), "todo")
+    todo = written(
+        changes.where("status in ('new', 'changed')").select("path", "modification_time"), "todo"
+    )
     deleted = changes.where("status = 'deleted'").select("path")
 
     def texts(paths: DataFrame) -> DataFrame:
         if "content" in files.columns:
-            return sources.read_text(sources.read_named(spark, files, paths))
-        return files.join(paths, "path", "left_semi")
+            return sources.read_text(sources.read_named(files, paths))
+        return files.join(paths.select("path"), "path", "left_semi")
 
     # In a first run every file is new and nothing needs to be joined.
     first_run = manifest.isEmpty() and "content" not in files.columns
@@ -154,20 +163,25 @@ def ingest_files(
         pieces = pieces.repartition(partitions, "id")
     staged = written(embed(pieces, make, dim=dim, on_error="keep"), "pieces")
 
-    failures = (
+    # Failures are few and mostly none. Written down, they show Spark their size, and without
+    # any the pieces go to the store as they are.
+    failures = written(
         staged.where("embed_error is not null")
         .groupBy(F.col("absolute_path").alias("path"))
-        .agg(F.min("embed_error").alias("error_message"))
+        .agg(F.min("embed_error").alias("error_message")),
+        "failures",
     )
-    stored = staged.join(
-        failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti"
-    ).drop("embed_error")
+    stored = staged.drop("embed_error")
+    if not failures.isEmpty():
+        stored = stored.join(
+            failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti"
+        )
     counts = stored.groupBy(F.col("absolute_path").alias("path")).agg(
         F.count(F.lit(1)).alias("chunk_count")
     )
     if replace:
         # A changed file that has no chunks now loses its old ones too.
-        gone = deleted.unionByName(todo.join(failures, "path", "left_anti"))
+        gone = deleted.unionByName(todo.join(failures, "path", "left_anti").select("path"))
         current = store.read_store(spark, store_path)
         store.rewrite(replace_files(current, stored, gone), store_path)
     else:
@@ -179,12 +193,12 @@ def ingest_files(
     )
     # Few files have no chunk at all; only these are searched for issues.
     lone = written(
-        seen.where(F.col("language") != TEMPLATE_LANGUAGE).select("path")
+        seen.where(F.col("language") != TEMPLATE_LANGUAGE).select("path", "modification_time")
         .join(todo, "path", "left_semi")
         .join(staged.select(F.col("absolute_path").alias("path")).distinct(), "path", "left_anti"),
         "lone",
     )
-    rows = outcomes(seen, counts, block_issues(texts(lone)), failures, session_id)
+    rows = outcomes(seen, counts, block_issues(texts(lone)), failures, session_id, started)
     runlog.append_log(rows, f"{target}/runlog")
 
     done = seen if mode == "hash" else fresh
@@ -193,23 +207,29 @@ def ingest_files(
         update_manifest(manifest, done, counts, record_empty, deleted if replace else None),
         manifest_path,
     )
+    log = runlog.read_log(spark, f"{target}/runlog")
     # Store, log and manifest are written; nothing reads the work tables now.
     tables.drop_folder(spark, work)
-    log = runlog.read_log(spark, f"{target}/runlog")
     return run_result(log.where(F.col("session_id") == session_id))
 
 
+# Options of `ingest` that say which files are found.
+_DISCOVERY = ("exclude_dirs", "max_depth", "list_hidden")
+
+
 def ingest(spark: SparkSession, root: str, target: str, source_root: str | None = None, **options):
-    """Ingest the files below `root`, or one file; see `ingest_files`.
+    """Ingest the files below `root`, or one file; see `ingest_files` and `discover_files`.
 
     A folder is its own source root; for a single file relative paths and the
-    module come from `source_root`. With `mode="mtime"` only new and changed
-    files are opened.
+    module come from `source_root`. With `mode="mtime"` no file older than
+    every new or changed one is opened.
     """
     folder = tables.is_folder(spark, root)
     base = root if folder or source_root is None else source_root
+    found = {name: options.pop(name) for name in _DISCOVERY if name in options}
     listing = sources.discover_files(
-        spark, root, options.pop("extensions", tuple(LANGUAGES)), source_root=None if folder else source_root
+        spark, root, options.pop("extensions", tuple(LANGUAGES)),
+        source_root=None if folder else source_root, **found,
     )
     options.setdefault("module", sources.module_of(base))
     if options.get("mode") == "mtime":

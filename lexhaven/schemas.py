@@ -139,11 +139,8 @@ def units_table(spark: SparkSession, rows=SOURCE_UNITS + TEMPLATE_UNITS) -> Data
 def unit_rows(units) -> list[tuple]:
     """Accept a catalogue as rows or as a small `UNITS` table."""
     if isinstance(units, DataFrame):
-        # A catalogue is configuration; refuse one too long to be that.
-        rows = units.select(*UNITS.fieldNames()).limit(1001).collect()
-        if len(rows) > 1000:
-            raise ValueError("a unit catalogue holds at most 1000 rows")
-        return [tuple(r) for r in rows]
+        # A catalogue is configuration: all its patterns become one expression.
+        units = units.select(*UNITS.fieldNames()).collect()
     return [tuple(r) for r in units]
 
 

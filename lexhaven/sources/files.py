@@ -24,9 +24,6 @@ BINARY_FILE = T.StructType(
     ]
 )
 
-# Up to this many files are opened by name; more are found by reading the tree.
-NAMED_FILES = 20_000
-
 
 def _root(path: str) -> str:
     bare = path[len("file://"):] if path.startswith("file://") else path
@@ -202,30 +199,18 @@ def read_text(listing: DataFrame, languages: dict[str, str] = LANGUAGES) -> Data
     ).select(*FILES.fieldNames())
 
 
-def read_named(
-    spark: SparkSession, listing: DataFrame, wanted: DataFrame, limit: int = NAMED_FILES
-) -> DataFrame:
-    """The files of a listing whose `path` is in `wanted`.
+def read_named(listing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files of a listing whose `path` is in `wanted`, with their content.
 
-    A few are opened by name, so that the rest of the tree is not read; more
-    than `limit` are taken out of a read of the whole tree by a semi join.
+    One route for any number of files. Where `wanted` has a `modification_time`, its least
+    value goes to the scan, which then does not open files that are older than all of these.
     """
-    names = [r.path for r in wanted.select("path").limit(limit + 1).collect()]
-    if len(names) > limit:
-        return listing.join(wanted.select("path"), "path", "left_semi")
-    if not names:
-        return listing.where(F.lit(False))
-    opened = spark.read.format("binaryFile").load([_escaped(n) for n in names])
-    local = F.when(F.col("path").startswith("file:"), strip_scheme(F.col("path"))).otherwise(
-        F.col("path")
-    )
-    opened = opened.select(local.alias("path"), "content")
-    return listing.drop("content").join(opened, "path")
-
-
-def _escaped(path: str) -> str:
-    """A path in which Hadoop's glob characters stand for themselves."""
-    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+    if "modification_time" in wanted.columns:
+        least = wanted.agg(F.min("modification_time").alias("t")).first().t
+        if least is None:
+            return listing.where(F.lit(False))
+        listing = listing.where(F.col("modification_time") >= F.lit(least))
+    return listing.join(wanted.select("path"), "path", "left_semi")
 
 
 def file_stats(files: DataFrame) -> DataFrame:

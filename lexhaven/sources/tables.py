@@ -1,7 +1,11 @@
 """Parquet tables written as whole generations, never over what is being read.
 
 A table's folder holds `gen=<n>/version=<m>` folders, each the output of one
-Spark write. Readers take the newest generation whose writes have finished.
+Spark write, and a marker of this module's own beside each that was finished,
+so nothing rests on the markers of Spark's committer. A write goes to a folder
+with a name of its own first and takes its number only when done, by making a
+file that must not exist yet; two writers so never get the same one. Readers
+take the newest generation with a finished version.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Splits of input up to which a table counts as small.
+SMALL_SPLITS = 8
+
 
 def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -31,32 +38,46 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
-def _numbered(spark: SparkSession, path: str, key: str) -> list[int]:
-    hadoop, fs, where = _file_system(spark, path)
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(key + "="))
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, by one call; none where there is no folder."""
+    _, fs, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    hadoop, fs, _ = _file_system(spark, path)
-    return fs.exists(hadoop.Path(path, "_SUCCESS"))
+def _numbers(names: list[str], prefix: str) -> list[int]:
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
 
 
 def versions(spark: SparkSession, path: str) -> tuple[int, list[int]]:
     """Newest generation with finished versions, and these; `(0, [])` if none."""
-    for gen in reversed(_numbered(spark, path, "gen")):
-        folder = f"{path}/gen={gen}"
-        done = [
-            v for v in _numbered(spark, folder, "version")
-            if _finished(spark, f"{folder}/version={v}")
-        ]
-        if done:
+    for gen in reversed(_numbers(_names(spark, path), "gen=")):
+        if done := _numbers(_names(spark, f"{path}/gen={gen}"), "_done-"):
             return gen, done
     return 0, []
 
 
+def _claim(spark: SparkSession, path: str, prefix: str, number: int) -> int:
+    """The first free number from `number` on, taken by this writer alone."""
+    hadoop, fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    while not fs.createNewFile(hadoop.Path(path, f"{prefix}{number}")):
+        number += 1
+    return number
+
+
+def _write(df: DataFrame, path: str, gen: int, version: int) -> int:
+    """Write a version under a free number from `version` on, then say that it is done."""
+    spark, folder = df.sparkSession, f"{path}/gen={gen}"
+    staged = f"{folder}/_new-{uuid.uuid4().hex}"
+    df.drop("version").write.parquet(staged)
+    version = _claim(spark, folder, "_taken-", version)
+    hadoop, fs, _ = _file_system(spark, path)
+    if not fs.rename(hadoop.Path(staged), hadoop.Path(f"{folder}/version={version}")):
+        raise OSError(f"could not put version {version} of {path} in place")
+    fs.createNewFile(hadoop.Path(folder, f"_done-{version}"))
+    return version
+
+
 def read_versions(
     spark: SparkSession, path: str, schema: T.StructType, wanted: list[int] | None = None
 ) -> DataFrame:
@@ -76,19 +97,23 @@ def read_versions(
 
 
 def write_version(df: DataFrame, path: str) -> int:
-    """Add a version to the newest generation, in place of one that was not finished."""
+    """Add a version to the newest generation."""
     gen, found = versions(df.sparkSession, path)
-    version = found[-1] + 1 if found else 1
-    out = df.drop("version")
-    out.write.mode("overwrite").parquet(f"{path}/gen={max(gen, 1)}/version={version}")
-    return version
+    return _write(df, path, max(gen, 1), found[-1] + 1 if found else 1)
 
 
-def write_generation(df: DataFrame, path: str) -> int:
-    """Write a table that replaces the current one; `df` may read the current one."""
-    gen, found = versions(df.sparkSession, path)
-    version = found[-1] + 1 if found else 1
-    df.drop("version").write.mode("overwrite").parquet(f"{path}/gen={gen + 1}/version={version}")
+def write_generation(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Write a table that replaces the current one; `df` may read the current one.
+
+    Of older generations the newest `keep - 1` stay, for readers that still use them.
+    """
+    spark = df.sparkSession
+    gen, found = versions(spark, path)
+    new = _claim(spark, path, "_gen-", gen + 1)
+    version = _write(df, path, new, found[-1] + 1 if found else 1)
+    for old in _numbers(_names(spark, path), "gen="):
+        if old <= new - keep:
+            drop_folder(spark, f"{path}/gen={old}")
     return version
 
 
@@ -102,24 +127,28 @@ def spread(df: DataFrame) -> DataFrame:
     """Even out a small input over the cores; a large one stays as it is read.
 
     A small Parquet file is often one row group and so one task, which starves
-    costly row-wise work. The input's size is known from its files; what fills
-    every core with splits anyway is never shuffled for this.
+    costly row-wise work. The input's size is known from its files; only what
+    is no more than a few splits is shuffled for this, on any number of cores.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if int(str(size)) < cores * split else df
+    return df.repartition(cores) if int(str(size)) < min(cores, SMALL_SPLITS) * split else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach for intermediate tables.
+def shared_folder(spark: SparkSession, beside: str | None = None) -> str:
+    """A new folder all executors reach, for intermediate tables.
 
-    The cluster names it in `spark.checkpoint.dir`; only where that is unset,
-    as in tests, a local temporary folder serves.
+    The cluster names it in `spark.checkpoint.dir`, or by the context's
+    checkpoint folder; else it is made beside a table that is written anyway.
+    Only a session on one machine may go without, as in tests; elsewhere that
+    is an error, since each executor would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or beside
     if not named:
-        return tempfile.mkdtemp(prefix="lexhaven-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.gettempdir()
     # One folder per call, so that runs do not meet.
     return f"{named.rstrip('/')}/lexhaven-{uuid.uuid4().hex}"

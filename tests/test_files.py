@@ -98,11 +98,11 @@ def test_excluded_files_are_not_opened(spark, tree, plan_of):
 
 def test_named_files(spark, tree):
     listing = sources.discover_files(spark, str(tree))
-    wanted = listing.where(F.col("relative_path").isin("a.gs", "with space/h[1].gs")).select("path")
-    for limit in (10, 1):
-        got = sources.read_text(sources.read_named(spark, listing, wanted, limit)).collect()
+    rows = listing.where(F.col("relative_path").isin("a.gs", "with space/h[1].gs"))
+    for wanted in (rows.select("path"), rows.select("path", "modification_time")):
+        got = sources.read_text(sources.read_named(listing, wanted)).collect()
         assert {r.text for r in got} == {"a.gs", "with space/h[1].gs"}
-    assert sources.read_named(spark, listing, wanted.limit(0)).count() == 0
+        assert sources.read_named(listing, wanted.limit(0)).count() == 0
 
 
 def test_stats_and_module(spark, tree):

@@ -80,7 +80,7 @@ def test_unfinished_write_is_not_read(spark, tmp_path):
     path = str(tmp_path / "s")
     store.append_rows(chunks(spark, ("a", "p", "1")), path)
     store.append_rows(chunks(spark, ("a", "p", "2")), path)
-    (tmp_path / "s/gen=1/version=2/_SUCCESS").unlink()
+    (tmp_path / "s/gen=1/_done-2").unlink()
     assert content(store.read_store(spark, path)) == {"a": "1"}
     (tmp_path / "s/gen=2/version=3").mkdir(parents=True)
     assert content(store.read_store(spark, path)) == {"a": "1"}
@@ -88,6 +88,36 @@ def test_unfinished_write_is_not_read(spark, tmp_path):
     assert content(store.read_store(spark, path)) == {"a": "3"}
 
 
+def test_store_does_not_rest_on_the_committers_markers(spark, tmp_path):
+    path, name = str(tmp_path / "s"), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set(name, "false")
+    try:
+        store.append_rows(chunks(spark, ("a", "p", "1")), path)
+        store.append_rows(chunks(spark, ("b", "p", "2")), path)
+        assert content(store.read_store(spark, path)) == {"a": "1", "b": "2"}
+    finally:
+        hadoop.unset(name)
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.append_rows(chunks(spark, ("a", "p", "1")), path)
+    # Another writer has taken the next number and is not done.
+    (tmp_path / "s/gen=1/_taken-2").touch()
+    assert store.append_rows(chunks(spark, ("b", "p", "2")), path) == 3
+    assert content(store.read_store(spark, path)) == {"a": "1", "b": "2"}
+
+
+def test_old_generations_go(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.append_rows(chunks(spark, ("a", "p", "1")), path)
+    for _ in range(3):
+        store.compact(spark, path)
+    assert sorted(p.name for p in (tmp_path / "s").glob("gen=*")) == ["gen=3", "gen=4"]
+    assert content(store.read_store(spark, path)) == {"a": "1"}
+
+
 def test_inspect(spark, tmp_path):
     full, none = str(tmp_path / "s"), str(tmp_path / "none")
     store.append_rows(chunks(spark, *[(f"c{n}", "p", "x" * 99) for n in range(5)]), full)
