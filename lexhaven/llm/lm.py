@@ -4,8 +4,9 @@ Counts of words and word pairs are summed over the training texts by Spark. The
 each n-gram once per level of its quantised count, 1 + floor(log_b count); a count is read back
 by probing level after level until one is absent (Talbot and Osborne, 2007). The filter has a
 fixed most number of bits, is put together segment by segment on the executors, and is sent to
-all tasks, which smooth what the probes give: a pair's count over its first word's, with a
-prior of weight `prior` on the word's own share.
+all tasks, which smooth what the probes give by absolute discounting: of a pair's count a
+discount, known from the counts of counts, is taken off, and what all pairs of a first word leave
+of its count goes to words by their own share. The filter holds that sum for each first word too.
 
 Pairs seen once are counted like all others but not held. Where the pairs would need more than
 `max_bits`, the least count that is held rises until they fit; so the model sent stays bounded
@@ -35,13 +36,26 @@ PROBES = 2
 SEGMENTS = 64
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 28
 BITS_PER_ENTRY = 8
-PRIOR = 5.0
 TOP_LEVEL = 64
 
 
+# Above the 32 bits of a first word, in the keys of what its pairs take.
+TAKEN = 0x5EED1E55
+
+
+def first_words(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits that stand for a word as the first of a pair."""
+    return mix(hashes) >> np.uint64(32)
+
+
 def pairs(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each pair of neighbours, by its second word."""
-    return mix(mix(hashes[:-1]) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    """Key of each pair of neighbours: 32 bits of the first word, 32 of both."""
+    both = mix(mix(hashes[:-1]) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    return (first_words(hashes[:-1]) << np.uint64(32)) | (both >> np.uint64(32))
+
+
+def taken_keys(hashes: np.ndarray) -> np.ndarray:
+    return np.uint64(TAKEN << 32) | first_words(hashes)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +102,7 @@ def _places(keys: np.ndarray, level: np.ndarray | int, segment_bits: int) -> lis
 
 
 def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(58)).astype(np.int64)
+    return (keys & np.uint64(SEGMENTS - 1)).astype(np.int64)
 
 
 class CountFilter:
@@ -112,17 +126,34 @@ class CountFilter:
             if not len(left):
                 break
             level[left] = j
-        # The middle of what a level stands for.
-        return np.where(level > 0, LOG_BASE ** (level - 1) * (1 + LOG_BASE) / 2, 0.0)
+        # The middle of what a level stands for; the first is one.
+        return np.where(level > 1, LOG_BASE ** (level - 1) * (1 + LOG_BASE) / 2, level)
+
+
+def discount_of(counts: DataFrame, total: int) -> float:
+    """The discount n1 / (n1 + 2 n2), from pairs seen twice or more and the number of all tokens."""
+    row = counts.where("size = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("more"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    once = total - row["more"]
+    return once / (once + 2 * row["twice"]) if once > 0 else 0.5
+
+
+def with_taken(counts: DataFrame, discount: float) -> DataFrame:
+    """The counts and, as size 3, what the pairs of each first word take of its count."""
+    taken = (
+        counts.where("size = 2").groupBy(F.shiftrightunsigned("key", 32).alias("first"))
+        .agg(F.round(F.sum("n") - discount * F.count("*")).cast("long").alias("n")).where("n > 0")
+    )
+    key = F.lit(TAKEN << 32).cast("long") + F.col("first")
+    return counts.select("size", "key", "n").union(taken.select(F.lit(3).cast("byte").alias("size"), key.alias("key"), "n"))
 
 
 def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
-    """Put the filter together from `(size, key, n)`; words all, pairs from the least count that fits."""
+    """Put the filter together from `(size, key, n)`; pairs, of size 2, from the least count that fits."""
     spark = counts.sparkSession
     # Entries by size and level: at most twice as many rows as there are levels.
     level = F.least(F.lit(TOP_LEVEL), (F.log(F.col("n").cast("double")) / float(np.log(LOG_BASE)) + 1e-9).cast("int") + 1)
     made = counts.groupBy("size", level.alias("level")).agg(F.count("*").alias("keys")).collect()
-    words = sum(r["level"] * r["keys"] for r in made if r["size"] == 1)
+    words = sum(r["level"] * r["keys"] for r in made if r["size"] != 2)
     by_level = {r["level"]: r["keys"] for r in made if r["size"] == 2}
     least = 1
     while least < TOP_LEVEL and (
@@ -150,8 +181,8 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
         for s, own in bits.items():
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([own.tobytes()])], ["segment", "bits"])
 
-    held = counts.where((F.col("size") == 1) | (F.col("n") >= least_n))
-    spread = held.withColumn("segment", F.shiftrightunsigned("key", 58))
+    held = counts.where((F.col("size") != 2) | (F.col("n") >= least_n))
+    spread = held.withColumn("segment", F.col("key").bitwiseAND(SEGMENTS - 1))
     # One row of bits for each segment; all rows together are the filter.
     rows = spread.repartition(SEGMENTS, "segment").select("key", "n").mapInArrow(run, "segment long, bits binary").collect()
     bits = np.zeros((SEGMENTS, segment_bits // 8), np.uint8)
@@ -162,7 +193,7 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
 
 def score(
     df: DataFrame, train: Column, held_out: Column, text: str = "text", key: str = "doc_id",
-    prior: float = PRIOR, max_bits: int = MAX_BITS,
+    max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """Per text: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -183,8 +214,9 @@ def score(
     heavy_keys = np.array([r["key"] for r in heavy], np.int64)
     heavy_counts = np.array([r["n"] for r in heavy], np.int64)
     order = np.argsort(heavy_keys.view(np.uint64))
+    discount = discount_of(counts, total)
     model = spark.sparkContext.broadcast(
-        (build_filter(counts, max_bits).bits, heavy_keys.view(np.uint64)[order], heavy_counts[order])
+        (build_filter(written(with_taken(counts, discount), f"{work}/entries"), max_bits).bits, heavy_keys.view(np.uint64)[order], heavy_counts[order])
     )
     floor = float(np.log10(total + distinct + 1))
 
@@ -210,8 +242,13 @@ def score(
                 history[first[:-1]] = known_counts[np.searchsorted(known, np.uint64(END))] if len(known) else 0.0
                 history = history[:-1]
                 both = np.minimum(table.counts(pairs(before)), np.minimum(single, history))
+                taken = table.counts(taken_keys(distinct_words))[back]
+                taken = np.concatenate([[0.0], taken])
+                taken[first[:-1]] = table.counts(taken_keys(np.array([END], np.uint64)))[0]
+                of = np.maximum(history, 1.0)
+                rest = 1.0 - np.minimum(0.95, np.where(history > 0, taken[:-1] / of, 0.0))
                 share = (single + 1.0) / (total + distinct + 1.0)
-                logs = np.log10((both + prior * share) / (history + prior))
+                logs = np.log10(np.maximum(both - discount, 0.0) / of + rest * share)
                 begins = first[:-1]
                 offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~is_heavy, begins))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
