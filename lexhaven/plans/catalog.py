@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lexhaven.functions.vectors import relevance_band
 from lexhaven.operators import blocks, changes, chunks, embedding, regions, render, report, search
 from lexhaven.operators import upsert as upserts
 from lexhaven.plans import inputs
-from lexhaven.plans.ingest import ingest_files
+from lexhaven.plans.ingest import ingest, ingest_files
 from lexhaven.plans.inputs import DIM, table
 from lexhaven.sources import files as files_source
 from lexhaven.sources import manifest as manifests
@@ -541,9 +542,65 @@ def ingest_manifest(spark, folder):
     return rows.select("path", "file_hash", "chunk_count")
 
 
+@query
+def ingest_rates(spark, folder):
+    """What an ingest reports of itself: files, chunks, and whether it took time."""
+    log = runlog.read_log(spark, f"{_ingested(spark, folder)}/runlog")
+    result = report.run_result(log)
+    return result.select(
+        "session_id", "files_processed", "chunks_created", "errors",
+        (F.col("seconds") > 0).alias("timed"), F.col("chunks_per_second").isNotNull().alias("rated"),
+    )
+
+
+def _put_files(files: DataFrame, root: str) -> None:
+    """Write each row's text as a file of its own, in tasks; for a folder mounted on every executor."""
+
+    def put(batches):
+        for batch in batches:
+            for name, text in zip(batch["relative_path"], batch["text"], strict=True):
+                path = os.path.join(root, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield batch[["relative_path"]]
+
+    files.select("relative_path", "text").mapInPandas(put, "relative_path string").count()
+
+
+_STORED = (
+    "relative_path", "package", "class_name", "method_name", "chunk_type", "language",
+    "line_start", "line_end", "sub_index", "piece_hash",
+)
+
+
+def _ingested_from_disk(spark, files: DataFrame, mode: str) -> DataFrame:
+    work = tables.shared_folder(spark).removeprefix("file://")
+    _put_files(files, f"{work}/tree")
+    ingest(
+        spark, f"{work}/tree", f"{work}/target", module="corpus", make=embedding.hashed_words(DIM), dim=DIM,
+        mode=mode, list_hidden=True,
+    )
+    return store.read_store(spark, f"{work}/target/store").select(*_STORED)
+
+
+@query
+def ingest_disk(spark, folder):
+    """Source and template files on disk, found, read and ingested by content; the chunks stored."""
+    return _ingested_from_disk(spark, inputs.all_files(spark, folder), "hash")
+
+
+@query
+def ingest_hidden(spark, folder):
+    """Files whose names begin with `_`, found, read and ingested by time; the chunks stored."""
+    files = inputs.all_files(spark, folder)
+    hidden = F.regexp_replace("relative_path", "/([^/]*)$", "/_$1")
+    return _ingested_from_disk(spark, files.withColumn("relative_path", hidden), "mtime")
+
+
 @query
 def ingest_tree(spark, folder):
-    """Documents and pages written as files by Spark, then found, read and ingested from disk."""
+    """Documents written as files by Spark, then found, read and their lines counted."""
     work = tables.shared_folder(spark)
     documents = table(spark, folder, "documents").select("source", F.col("text").alias("value"))
     # Hashing the text as well spreads a large source over several files.

@@ -383,6 +383,18 @@ _INGEST_LOG = f"""WITH {_FILE_COUNTS}, rows AS (
 SELECT session_id, status, count(*) AS files,
   (CASE WHEN status = 'success' THEN sum(n) END)::BIGINT AS chunks FROM rows GROUP BY session_id, status"""
 
+_INGEST_RATES = f"""WITH {_FILE_COUNTS}
+SELECT 'first' AS session_id, count_if(NOT (n = 0 AND broken)) AS files_processed,
+  sum(CASE WHEN NOT (n = 0 AND broken) THEN n ELSE 0 END)::BIGINT AS chunks_created,
+  count_if(n = 0 AND broken) AS errors, true AS timed, true AS rated FROM file_counts"""
+
+_STORED = """package, class_name, method_name, chunk_type, language, line_start, line_end, sub_index, piece_hash"""
+
+_INGEST_DISK = f"SELECT relative_path, {_STORED} FROM ({_INGEST_STORE}) s"
+
+_INGEST_HIDDEN = f"""SELECT regexp_replace(relative_path, '/([^/]*)$', '/_\\1') AS relative_path, {_STORED}
+FROM ({_INGEST_STORE}) s"""
+
 _INGEST_MANIFEST = f"""WITH {_FILE_COUNTS}
 SELECT path, file_hash, n AS chunk_count FROM file_counts WHERE n > 0"""
 
@@ -531,6 +543,9 @@ WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "ingest_store": _INGEST_STORE,
     "ingest_log": _INGEST_LOG,
     "ingest_manifest": _INGEST_MANIFEST,
+    "ingest_rates": _INGEST_RATES,
+    "ingest_disk": _INGEST_DISK,
+    "ingest_hidden": _INGEST_HIDDEN,
     "ingest_tree": f"""SELECT source, sum({_newlines("text")} + 1)::BIGINT AS lines,
   sum(length(text) - {_newlines("text")})::BIGINT AS chars FROM documents GROUP BY source""",
     "ingest_stream": f"""WITH {_DOCS}, {_pieces(1000, 200)}
