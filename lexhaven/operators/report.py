@@ -75,7 +75,8 @@ def run_result(log: DataFrame) -> DataFrame:
     A session lasts from its first row, or the begin of the longest work that a row tells of,
     to its last row.
     """
-    begin = F.unix_micros("ts") - 1000 * F.coalesce("duration_ms", F.lit(0))
+    lasted = F.coalesce("duration_ms", F.lit(0)) if "duration_ms" in log.columns else F.lit(0)
+    begin = F.unix_micros("ts") - 1000 * lasted
     took = F.unix_micros(F.max("ts")) - F.min(begin)
     sums = log.groupBy("session_id").agg(
         F.count_if(F.col("status") == "success").alias("files_processed"),
