@@ -598,6 +598,33 @@ def ingest_hidden(spark, folder):
     return _ingested_from_disk(spark, files.withColumn("relative_path", hidden), "mtime")
 
 
+@query
+def store_counts(spark, folder):
+    """Chunks and sample rows of a store on disk, and of one that is not there."""
+    path = f"{tables.shared_folder(spark)}/store"
+    store.append_rows(inputs.piece_store(spark, folder), path, unique=True)
+    found = store.inspect(spark, {"pieces": path, "none": f"{path}-none"})
+    return found.select("name", "rows", F.size("sample").cast("bigint").alias("samples"))
+
+
+@query
+def own_chunker(spark, folder):
+    """Documents cut by a chunker given as a function: a unit for each line."""
+
+    def lines(files):
+        units = files.assign(content=files["text"].str.split("\n")).explode("content")
+        n = units.groupby("relative_path", sort=False).cumcount()
+        return units.assign(chunk_type="line", line_start=n + 1, line_end=n + 1, chunk_index=n)
+
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    files = table(spark, folder, "documents").select(
+        name.alias("absolute_path"), name.alias("relative_path"), F.col("lang").alias("language"), "text"
+    )
+    return chunks.chunk_with(files, lines).select(
+        "relative_path", F.sha2("content", 256).alias("hash"), F.col("line_start").cast("bigint").alias("line")
+    )
+
+
 @query
 def ingest_tree(spark, folder):
     """Documents written as files by Spark, then found, read and their lines counted."""
