@@ -28,7 +28,7 @@ IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d
 DATE = r"(?<![\d-])(?:1[89]|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)|(?<![\d+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
+CARD = r"(?<![\d-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
 KINDS = {"email": EMAIL, "key": KEY, "secret": SECRET, "ip": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 # No text without one of these holds a match.
 HINT = r"[0-9@=:]"
