@@ -176,8 +176,9 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Model
         for g in _grams(w):
             if g in toxic:
                 clean[g] += n
+    # Of the number of toxic texts with a part, what chance leaves in doubt is taken off.
     gain = {
-        g: math.log((c + 0.5) / (n1 + 1)) - math.log((clean[g] + 0.5) / (n0 + 1))
+        g: math.log((max(0.0, c - 3.0 * math.sqrt(c)) + 0.5) / (n1 + 1)) - math.log((clean[g] + 0.5) / (n0 + 1))
         for g, c in toxic.items() if c >= max(3, n1 // 200)
     }
     first = {w: max((gain.get(g, 0.0) for g in _grams(w)), default=0.0) for w in in_toxic.keys() | in_clean.keys()}
@@ -237,19 +238,26 @@ def hash_of(word: bytes) -> int:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's steps, targets drawn in a little so that they stay finite."""
+    """Slope and shift by Newton's steps, halved until the loss falls; targets are drawn in a little, so both stay finite."""
     t = np.where(y == 1, 1 - 1 / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
-    a, b = 1.0, 0.0
+    rows = np.column_stack([x, np.ones(len(x))])
+
+    def loss(v: np.ndarray) -> float:
+        z = rows @ v
+        return float((weight * (np.logaddexp(0, z) - t * z)).sum() + 5e-4 * v[0] ** 2)
+
+    v = np.array([1.0, -float(np.median(x))])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(weight * (p - t) * x).sum() + 1e-3 * a, (weight * (p - t)).sum()])
-        v = weight * (p * (1 - p) + 1e-9)
-        h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(rows @ v, -30, 30)))
+        slope = rows.T @ (weight * (p - t)) + np.array([1e-3 * v[0], 0.0])
+        curve = rows.T @ (rows * (weight * (p * (1 - p) + 1e-9))[:, None]) + np.diag([1e-3, 1e-9])
+        step, size, before = np.linalg.solve(curve, slope), 1.0, loss(v)
+        while loss(v - size * step) > before and size > 1e-8:
+            size /= 2
+        v = v - size * step
+        if abs(size * step).max() < 1e-9:
             break
-    return float(a), float(b)
+    return float(v[0]), float(v[1])
 
 
 def training_rows(df: DataFrame, labels: DataFrame, train: Column, key: str, text: str, label: str, most: int):

@@ -50,11 +50,11 @@ def test_learns_from_texts():
 
 def test_held_out_documents(spark):
     """Accuracy on the fold that is not learned from; clean texts stay clean."""
-    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
     held_out = fold(F.col("doc_id"), 5) == 0
     got = toxicity.toxicity(read("documents"), read("labels"), ~held_out, held_out)
     rows = got.where("held_out").join(read("labels"), "doc_id").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.collect())
 
