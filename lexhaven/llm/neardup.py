@@ -8,9 +8,10 @@ is left each set keeps its rarest values, as many as suffice for two sets that m
 enough to meet under one of them (prefix), so frequent values are skipped wherever rarer ones do.
 
 Under a value, sets are compared with a few leaders and not all with all. What then is still in
-different groups under one value is compared in blocks of bounded size, by counting the
-coordinates that agree, so no pair is lost and no large group meets in one task. Pairs that
-agree often enough are confirmed on the full sets.
+different groups under one value is compared in blocks of bounded size, by counting agreements
+on a longer signature that only sets with a posting have, so no pair is lost and no large group
+meets in one task. A pair that meets under several values is given under the least of them. Pairs
+that agree often enough are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +27,29 @@ from lexhaven.llm.common import batches_of, mix, shingles, signed, words_of, wor
 
 COORDINATES = 64
 MATCHES = 36
-LEADER_ROUNDS = 4
+# Minima of the longer signature, one byte of each; two sets as alike as asked agree in so many
+# but for a chance of about one in a million.
+FINE, FINE_MATCHES = 256, 173
+# Leaders are asked for again while they link one in so many sets.
+LEADER_ROUNDS, LEADER_YIELD = 4, 10
 # Sets of one value that meet in a task at a time, twice.
 BLOCK_SETS = 512
 
-_MULTIPLY = (mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(101)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_FLIP = (mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
+_ALL = COORDINATES + FINE
+_MULTIPLY = (mix(np.arange(_ALL, dtype=np.uint64) + np.uint64(10_007)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FLIP = (mix(np.arange(_ALL, dtype=np.uint64) + np.uint64(97_007)) >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, places: np.ndarray, first: int = 0, many: int = COORDINATES) -> np.ndarray:
     """Rows of minima, one for each text that has shingles (`places` without empty texts)."""
     short = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(places) - 1, COORDINATES), np.uint32)
+    out = np.empty((len(places) - 1, many), np.uint32)
     if len(out):
-        for k in range(COORDINATES):
+        for n, k in enumerate(range(first, first + many)):
             moved = (short ^ _FLIP[k]) * _MULTIPLY[k]
             moved ^= moved >> np.uint32(15)
             moved *= np.uint32(0x2C1B3C6D)
-            out[:, k] = np.minimum.reduceat(moved, places[:-1])
+            out[:, n] = np.minimum.reduceat(moved, places[:-1])
     return out
 
 
@@ -78,7 +83,7 @@ def sketch(df: DataFrame, width: int, text: str = "text", key: str = "doc_id") -
 
 
 def shingle_sets(df: DataFrame, width: int) -> DataFrame:
-    """Sorted shingle hashes of texts given as `(key, text)`."""
+    """Sorted shingle hashes and the longer signature of texts given as `(key, text)`; none is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,16 +92,22 @@ def shingle_sets(df: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(values[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                some = np.diff(places) > 0
+                fine = np.zeros((len(sets), FINE), np.uint8)
+                fine[some] = signatures(values, np.concatenate([places[:-1][some], places[-1:]]), COORDINATES, FINE) & np.uint32(255)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat)))],
-                    ["key", "shingles"],
+                    [
+                        part.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat))),
+                        pa.array([row.tobytes() for row in fine], pa.binary()),
+                    ],
+                    ["key", "shingles", "fine"],
                 )
 
-    return df.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+    return df.select("key", "text").mapInArrow(run, "key long, shingles array<long>, fine binary")
 
 
 def postings(sketches: DataFrame, matches: int) -> DataFrame:
-    """`(token, key)` of the rarest shared values of each set, enough for any two that match."""
+    """`(key, tokens)`: the rarest shared values of each set, enough for any two that match."""
     tokens = sketches.select(
         "key", F.posexplode("signature").alias("place", "value")
     ).select("key", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value").cast("long")).alias("token"))
@@ -104,7 +115,7 @@ def postings(sketches: DataFrame, matches: int) -> DataFrame:
     # At most COORDINATES values of a set.
     own = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("own"))
     prefix = F.slice("own", 1, F.size("own") - matches + 1)
-    return own.where(F.size("own") >= matches).select("key", F.explode(prefix).alias("p")).select("key", "p.token")
+    return own.where(F.size("own") >= matches).select("key", F.transform(prefix, lambda p: p["token"]).alias("tokens"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,48 +163,50 @@ def components(nodes: DataFrame, links: DataFrame, work: str) -> DataFrame:
 def _agreeing(matches: int):
     """Pairs of one block and the probes sent to it, in different groups, that agree often enough."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["probe"]], rows[~rows["probe"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        own, other = np.stack(left["signature"].to_numpy()), np.stack(right["signature"].to_numpy())
-        keys, groups = right["key"].to_numpy(), right["component"].to_numpy()
-        a, b = [], []
-        for i, (key, group) in enumerate(zip(left["key"].to_numpy(), left["component"].to_numpy(), strict=True)):
-            fit = keys[((other == own[i]).sum(axis=1) >= matches) & (groups != group)]
-            a.append(np.minimum(fit, key))
-            b.append(np.maximum(fit, key))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+    def run(rows: pa.Table) -> pa.Table:
+        probe, keys, groups = (rows.column(n).to_numpy() for n in ("probe", "key", "component"))
+        pairs = set()
+        if probe.any() and not probe.all():
+            fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(len(keys), -1)
+            token, shelf, tokens = rows.column("token")[0].as_py(), np.flatnonzero(~probe), rows.column("tokens")
+            on_shelf, others = fine[shelf], groups[shelf]
+            for i in np.flatnonzero(probe).tolist():
+                for j in shelf[((on_shelf == fine[i]).sum(axis=1) >= matches) & (others != groups[i])].tolist():
+                    # The pair is given under the least of the values it shares.
+                    if min(set(tokens[i].as_py()).intersection(tokens[j].as_py())) == token:
+                        pairs.add((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def _rest(posted: DataFrame, sketches: DataFrame, matches: int, tested: DataFrame) -> DataFrame:
+def _rest(posted: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs still in different groups under one value, found block by block.
 
-    `posted` has `(token, key, component)`. The largest group under a value is not compared
-    with itself: probes are the others, sent to every block of the value.
+    `posted` has `(token, key, component)`, `nodes` `(key, tokens, fine)`. The largest group
+    under a value is not compared with itself: probes are the others, sent to every block of
+    the value.
     """
     by_group = posted.groupBy("token", "component").agg(F.count("*").alias("n"))
     main = by_group.groupBy("token").agg(
         F.sum("n").alias("sets"), F.count("*").alias("groups"), F.max("n").alias("most"),
         F.max_by("component", F.struct("n", "component")).alias("main"),
-    ).where("groups > 1")
+    ).where("groups > 1 and sets > 2")  # a leader was compared with the other of two
     blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
     probes = F.ceil((F.col("sets") - F.col("most")) / BLOCK_SETS).cast("int")
     rows = (
-        posted.join(main, "token").join(sketches.select("key", "signature"), "key")
-        .select("token", "key", "component", "signature", blocks.alias("blocks"), probes.alias("probes"),
+        posted.join(main, "token").join(nodes, "key")
+        .select("token", "key", "component", "tokens", "fine", blocks.alias("blocks"), probes.alias("probes"),
                 (F.col("component") != F.col("main")).alias("outside"))
     )
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     probe_at = F.pmod(F.xxhash64("key", F.lit(1)), F.col("probes")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    shelf = rows.select("token", "key", "component", "signature", F.lit(False).alias("probe"),
-                        at.alias("block"), F.explode(every("probes")).alias("part"))
-    sent = rows.where("outside").select("token", "key", "component", "signature", F.lit(True).alias("probe"),
-                                        F.explode(every("blocks")).alias("block"), probe_at.alias("part"))
-    found = shelf.union(sent).groupBy("token", "block", "part").applyInPandas(_agreeing(matches), "a long, b long")
+    own = ("token", "key", "component", "tokens", "fine")
+    shelf = rows.select(*own, F.lit(False).alias("probe"), at.alias("block"), F.explode(every("probes")).alias("part"))
+    sent = rows.where("outside").select(*own, F.lit(True).alias("probe"), F.explode(every("blocks")).alias("block"), probe_at.alias("part"))
+    found = shelf.union(sent).groupBy("token", "block", "part").applyInArrow(_agreeing(FINE_MATCHES), "a long, b long")
     return found.distinct().join(tested, ["a", "b"], "left_anti")
 
 
@@ -206,7 +219,8 @@ def near_duplicates(
     Words are taken without regard to the case of A-Z. A text with fewer words than `width` has
     its sequence as one shingle; NULL, empty and blank texts have none and are linked with
     nothing. Repeated texts are alike. Keys are whole numbers; rows that repeat a key count as one
-    document. Rows with a NULL key stand alone with a NULL component. Other columns take no part. An empty table gives no rows.
+    document. Rows with a NULL key stand alone with a NULL component. Other columns take no part.
+    An empty table gives no rows.
     """
     spark = df.sparkSession
     work = work_folder(spark)
@@ -215,12 +229,14 @@ def near_duplicates(
     leads = filled.groupBy("one", "two", "n").agg(F.min("key").alias("lead"))
     members = filled.join(leads, ["one", "two", "n"]).select("key", "lead").distinct()
     different = filled.join(leads.select(F.col("lead").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    posted = written(postings(different, matches), f"{work}/postings")
-    posted_keys = posted.select("key").distinct()
-    nodes = written(different.join(posted_keys, "key", "left_semi").select("key", "signature"), f"{work}/nodes")
-    texts = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).join(nodes.select("key"), "key", "left_semi")
-    sets = written(shingle_sets(texts, width), f"{work}/sets")
-    label = nodes.select("key", F.col("key").alias("component"))
+    posts = written(postings(different, matches), f"{work}/postings")
+    posted = posts.select("key", F.explode("tokens").alias("token"))
+    texts = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).where("text is not null")
+    # A key's rows with other sets than its own are those of repeated keys; one of them stands for it.
+    picked = texts.join(posts.select("key"), "key", "left_semi")
+    sets = written(shingle_sets(picked, width).where("size(shingles) > 0").dropDuplicates(["key"]), f"{work}/sets")
+    nodes = posts.join(sets.select("key", "fine"), "key")
+    label = posts.select("key", F.col("key").alias("component"))
     links = tested = None
     for step in range(LEADER_ROUNDS):
         # The leader of a value is another one each round; those in its group already need no test.
@@ -237,15 +253,17 @@ def near_duplicates(
         asked = written(asked, f"{work}/asked{step}")
         found = written(_confirmed(asked, sets, percent), f"{work}/found{step}")
         tested = asked if tested is None else tested.union(asked)
-        if found.isEmpty():
+        linked = found.count()
+        if linked:
+            links = found if links is None else links.union(found)
+            label = components(posts, links, f"{work}/round{step}")
+        if linked * LEADER_YIELD < asked.count():
             break
-        links = found if links is None else links.union(found)
-        label = components(nodes, links, f"{work}/round{step}")
-    rest = written(_rest(posted.join(label, "key"), nodes, matches, tested), f"{work}/rest")
+    rest = written(_rest(posted.join(label, "key"), nodes, tested), f"{work}/rest")
     found = written(_confirmed(rest, sets, percent), f"{work}/found-rest")
     if not found.isEmpty():
         links = found if links is None else links.union(found)
-        label = components(nodes, links, f"{work}/last")
+        label = components(posts, links, f"{work}/last")
     lead_label = label.select(F.col("key").alias("lead"), "component")
     placed = members.join(lead_label, "lead", "left").groupBy("key").agg(F.min(F.coalesce("component", "lead")).alias("component"))
     return all_rows.join(placed, "key", "left").select(
