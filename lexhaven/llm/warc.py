@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaven.llm.common import work_folder
+from lexhaven.llm.common import work_folder, written
 
 # Bytes of records in one archive, after which the next begins.
 ARCHIVE_BYTES = 1 << 24
+# Bytes fed to the decompressor at a time.
+FEED = 1 << 14
 # Shorter payloads are never revisits.
 LEAST_REVISIT = 1000
 # The field lists of both versions of the older format.
@@ -44,15 +46,22 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """Content of an archive's members one by one; zero bytes after a member are padding."""
-    at = 0
+    """Content of an archive's members one by one; zero bytes after a member are padding.
+
+    Data is fed in small parts: what a member leaves unused of a part is copied.
+    """
+    at, view = 0, memoryview(data)
     while at < len(data):
         if data[at] == 0:
             at += 1
             continue
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(memoryview(data)[at:]) + unpacker.flush()
-        at = len(data) - len(unpacker.unused_data)
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(data):
+                raise ValueError("an archive ends within a member")
+            parts.append(unpacker.decompress(view[at : at + FEED]))
+            at += min(FEED, len(data) - at) - len(unpacker.unused_data)
+        yield b"".join(parts)
 
 
 def arc_file_header(name: str, date: str, version: int = 1) -> bytes:
@@ -322,8 +331,9 @@ def archived(df: DataFrame, html: str = "html", url: str = "url", key: str = "pa
     save_arc(pages, f"{work}/arc")
     records = revisits(load_arc(spark, f"{work}/arc"), load_arc(spark, f"{work}/arc", payload=False), F.col("page"))
     save_warc(records, f"{work}/warc")
-    back = load_warc(spark, f"{work}/warc")
-    targets = load_warc(spark, f"{work}/warc").where("record_type = 'response'").select(F.col("id").alias("refers_id"), F.col("page").alias("refers_to"))
+    # Written without payloads, so that the archives are read once.
+    back = written(load_warc(spark, f"{work}/warc"), f"{work}/back")
+    targets = back.where("record_type = 'response'").select(F.col("id").alias("refers_id"), F.col("page").alias("refers_to"))
     again = back.where("record_type = 'revisit'").join(targets, "refers_id", "left")
     columns = [F.col("page").alias(key), "payload_bytes", "payload_digest", "record_type"]
     return back.where("record_type <> 'revisit'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(
