@@ -30,7 +30,7 @@ from lexhaven.llm.common import batches_of, mix, mix_one, signed, words_of, work
 
 # The end of a text as a word; no hash of a word is expected there.
 END = mix_one(0xE0F)
-HEAVY = 1 << 16
+HEAVY = 1 << 17
 LOG_BASE = 1.5
 PROBES = 2
 SEGMENTS = 64
@@ -71,7 +71,7 @@ def ngram_counts(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Summed over several megabytes before rows are made, with bounded memory.
         for batch in batches:
-            for part in batches_of(batch, limit=1 << 24):
+            for part in batches_of(batch, limit=1 << 23):
                 words, _ = tokens_of(part.column("text"))
                 before = np.concatenate([[np.uint64(END)], words])
                 for size, keys in ((1, words), (2, pairs(before))):
