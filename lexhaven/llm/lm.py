@@ -2,15 +2,16 @@
 
 Counts of words and word pairs are summed over the training texts by Spark. The filter holds
 each n-gram once per level of its quantised count, 1 + floor(log_b count); a count is read back
-by probing level after level until one is absent (Talbot and Osborne, 2007). The filter has a
-fixed most number of bits, is put together segment by segment on the executors, and is sent to
-all tasks, which smooth what the probes give by absolute discounting: of a pair's count a
-discount, known from the counts of counts, is taken off, and what all pairs of a first word leave
-of its count goes to words by their own share. The filter holds that sum for each first word too.
+by probing level after level until one is absent (Talbot and Osborne, 2007). The filter is put
+together segment by segment on the executors. What the probes give is smoothed by absolute
+discounting: of a pair's count a discount, known from the counts of counts, is taken off, and
+what all pairs of a first word leave of its count goes to words by their own share. The filter
+holds that sum for each first word too.
 
-Pairs seen once are counted like all others but not held. Where the pairs would need more than
-`max_bits`, the least count that is held rises until they fit; so the model sent stays bounded
-for any corpus, and rarer pairs are scored by their words.
+Pairs seen once are counted like all others but not held. The filter has the bits all others need. Up to
+`max_bits` it is sent to all tasks. A larger one stays a table of segments of a few megabytes:
+texts are cut into blocks, the different n-grams of a block go to their segments, and the levels
+found come back to the block. Both ways read the same bits and give the same scores.
 
 The base score needs the exact count of every word, however many there are. Words with at
 least a share of 1 / `HEAVY` of all tokens are at most `HEAVY` many and go to every task; the
@@ -19,6 +20,7 @@ others, none of which is frequent, meet their counts in a join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,11 @@ SEGMENTS = 64
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 28
 BITS_PER_ENTRY = 8
 TOP_LEVEL = 64
+# Of a filter that is a table: most bits of a segment, text of a block, keys in a row, rows probed at once.
+SEGMENT_BITS = 1 << 25
+BLOCK_BYTES = 1 << 23
+KEYS_A_ROW = 512
+ROWS_AT_ONCE = 256
 
 
 # Above the 32 bits of a first word, in the keys of what its pairs take.
@@ -101,8 +108,30 @@ def _places(keys: np.ndarray, level: np.ndarray | int, segment_bits: int) -> lis
     return [(base + np.uint64(k) * step) % np.uint64(segment_bits) for k in range(PROBES)]
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(SEGMENTS - 1)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    return (keys & np.uint64(segments - 1)).astype(np.int64)
+
+
+def levels_in(bits: np.ndarray, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Levels of keys by the filter's bits, a row for each segment; zero where the first is absent."""
+    level = np.zeros(len(keys), np.int64)
+    left = np.arange(len(keys))
+    flat, width = bits.reshape(-1), bits.shape[1]
+    for j in range(1, TOP_LEVEL + 1):
+        present = np.ones(len(left), bool)
+        for place in _places(keys[left], j, width * 8):
+            at = segment[left] * width + (place >> np.uint64(3)).astype(np.int64)
+            present &= (flat[at] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        left = left[present]
+        if not len(left):
+            break
+        level[left] = j
+    return level
+
+
+def middle_of(level: np.ndarray) -> np.ndarray:
+    """The middle of what a level stands for; the first is one."""
+    return np.where(level > 1, LOG_BASE ** (level - 1) * (1 + LOG_BASE) / 2, level)
 
 
 class CountFilter:
@@ -114,20 +143,7 @@ class CountFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts, zero where the first level is absent."""
-        level = np.zeros(len(keys), np.int64)
-        left, segment = np.arange(len(keys)), segment_of(keys)
-        flat, width = self.bits.reshape(-1), self.bits.shape[1]
-        for j in range(1, TOP_LEVEL + 1):
-            present = np.ones(len(left), bool)
-            for place in _places(keys[left], j, self.segment_bits):
-                at = segment[left] * width + (place >> np.uint64(3)).astype(np.int64)
-                present &= (flat[at] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left = left[present]
-            if not len(left):
-                break
-            level[left] = j
-        # The middle of what a level stands for; the first is one.
-        return np.where(level > 1, LOG_BASE ** (level - 1) * (1 + LOG_BASE) / 2, level)
+        return middle_of(levels_in(self.bits, keys, segment_of(keys)))
 
 
 def discount_of(counts: DataFrame, total: int) -> float:
@@ -137,40 +153,35 @@ def discount_of(counts: DataFrame, total: int) -> float:
     return once / (once + 2 * row["twice"]) if once > 0 else 0.5
 
 
-def with_taken(counts: DataFrame, discount: float) -> DataFrame:
-    """The counts and, as size 3, what the pairs of each first word take of its count."""
+def taken_of(counts: DataFrame, discount: float) -> DataFrame:
+    """As size 3, what the pairs of each first word take of its count."""
     taken = (
         counts.where("size = 2").groupBy(F.shiftrightunsigned("key", 32).alias("first"))
         .agg(F.round(F.sum("n") - discount * F.count("*")).cast("long").alias("n")).where("n > 0")
     )
     key = F.lit(TAKEN << 32).cast("long") + F.col("first")
-    return counts.select("size", "key", "n").union(taken.select(F.lit(3).cast("byte").alias("size"), key.alias("key"), "n"))
+    return taken.select(F.lit(3).cast("byte").alias("size"), key.alias("key"), "n")
 
 
-def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
-    """Put the filter together from `(size, key, n)`; pairs, of size 2, from the least count that fits."""
-    spark = counts.sparkSession
-    # Entries by size and level: at most twice as many rows as there are levels.
+def by_level(counts: DataFrame) -> list:
+    """Number of n-grams by size and level: at most twice as many rows as there are levels."""
     level = F.least(F.lit(TOP_LEVEL), (F.log(F.col("n").cast("double")) / float(np.log(LOG_BASE)) + 1e-9).cast("int") + 1)
-    made = counts.groupBy("size", level.alias("level")).agg(F.count("*").alias("keys")).collect()
-    words = sum(r["level"] * r["keys"] for r in made if r["size"] != 2)
-    by_level = {r["level"]: r["keys"] for r in made if r["size"] == 2}
-    least = 1
-    while least < TOP_LEVEL and (
-        words + sum(k * n for k, n in by_level.items() if k >= least)
-    ) * BITS_PER_ENTRY > max_bits:
-        least += 1
-    entries = words + sum(k * n for k, n in by_level.items() if k >= least)
-    wanted = 1 << max(1, entries * BITS_PER_ENTRY - 1).bit_length()
-    segment_bits = min(max_bits, max(MIN_BITS, wanted)) // SEGMENTS
-    least_n = int(np.ceil(LOG_BASE ** (least - 1) - 1e-6))
+    return counts.groupBy("size", level.alias("level")).agg(F.count("*").alias("keys")).collect()
+
+
+def bits_for(entries: int) -> int:
+    return max(MIN_BITS, 1 << max(1, entries * BITS_PER_ENTRY - 1).bit_length())
+
+
+def segment_rows(counts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+    """The filter from `(size, key, n)`: `(segment, bits)`, a row for each segment that has entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
             keys = batch.column("key").to_numpy().view(np.uint64)
             top = levels(batch.column("n").to_numpy())
-            segment = segment_of(keys)
+            segment = segment_of(keys, segments)
             for j in range(1, int(top.max(initial=0)) + 1):
                 held = top >= j
                 for place in _places(keys[held], j, segment_bits):
@@ -181,16 +192,143 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
         for s, own in bits.items():
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([own.tobytes()])], ["segment", "bits"])
 
+    # All entries of a segment meet in one task.
+    spread = counts.withColumn("segment", F.col("key").bitwiseAND(segments - 1))
+    return spread.repartition(segments, "segment").select("key", "n").mapInArrow(run, "segment long, bits binary")
+
+
+def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
+    """The filter on the driver, from `(size, key, n)`.
+
+    With more entries than `max_bits` are for, pairs, of size 2, are held from the least count
+    that fits; `score` keeps a filter of that size as a table instead, and loses none.
+    """
+    made = by_level(counts)
+    words = sum(r["level"] * r["keys"] for r in made if r["size"] != 2)
+    pairs_at = {r["level"]: r["keys"] for r in made if r["size"] == 2}
+    least = 1
+    while least < TOP_LEVEL and (
+        words + sum(k * n for k, n in pairs_at.items() if k >= least)
+    ) * BITS_PER_ENTRY > max_bits:
+        least += 1
+    entries = words + sum(k * n for k, n in pairs_at.items() if k >= least)
+    segment_bits = min(max_bits, bits_for(entries)) // SEGMENTS
+    least_n = int(np.ceil(LOG_BASE ** (least - 1) - 1e-6))
     held = counts.where((F.col("size") != 2) | (F.col("n") >= least_n))
-    spread = held.withColumn("segment", F.col("key").bitwiseAND(SEGMENTS - 1))
-    # One row of bits for each segment; all rows together are the filter.
-    rows = spread.repartition(SEGMENTS, "segment").select("key", "n").mapInArrow(run, "segment long, bits binary").collect()
     bits = np.zeros((SEGMENTS, segment_bits // 8), np.uint8)
-    for row in rows:
+    for row in segment_rows(held, SEGMENTS, segment_bits).collect():
         bits[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
     return CountFilter(bits)
 
 
+def _befores(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word, the end before a text's first."""
+    before = np.concatenate([[np.uint64(END)], words])
+    before[first[:-1]] = np.uint64(END)
+    return before
+
+
+def _pairs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Key of each word with the one before."""
+    before = _befores(words, first)[:-1]
+    both = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + words)
+    return (first_words(before) << np.uint64(32)) | (both >> np.uint64(32))
+
+
+def in_blocks(source: DataFrame) -> DataFrame:
+    """`(key, text, held_out)` with a number, `block`, for each few megabytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batches_of(batch, limit=BLOCK_BYTES):
+                block = pa.array(np.full(part.num_rows, uuid.uuid4().int >> 65, np.int64))
+                yield pa.RecordBatch.from_arrays([block, *part.columns], ["block", *part.schema.names])
+
+    kind = source.schema["key"].dataType.simpleString()
+    return source.select("key", "text", "held_out").mapInArrow(run, f"block long, key {kind}, text string, held_out boolean")
+
+
+def asked(blocks: DataFrame, segments: int) -> DataFrame:
+    """Different n-grams of each block by segment: `(segment, block, keys)`, the keys packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                words, first = tokens_of(batch.column("text").slice(lo, hi - lo))
+                distinct = np.unique(np.append(words, np.uint64(END)))
+                keys = np.unique(np.concatenate([distinct, taken_keys(distinct), _pairs_of(words, first)]))
+                segment = segment_of(keys, segments)
+                order = np.argsort(segment, kind="stable")
+                keys, segment = keys[order], segment[order]
+                ends = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]]).tolist()
+                # Packed in small rows, so that a batch of any number of rows stays small.
+                cuts = [(a, min(a + KEYS_A_ROW, z)) for x, z in zip(ends[:-1], ends[1:], strict=True) for a in range(x, z, KEYS_A_ROW)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(segment[a]) for a, _ in cuts], pa.int64()), pa.array(np.full(len(cuts), block[lo])),
+                     pa.array([keys[a:z].tobytes() for a, z in cuts], pa.binary())],
+                    ["segment", "block", "keys"],
+                )
+
+    return blocks.select("block", "text").mapInArrow(run, "segment long, block long, keys binary")
+
+
+def answered(asking: DataFrame, filled: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+    """Keys with a level, and their levels, as asked by each block: `(block, keys, levels)`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = -1, np.zeros((1, segment_bits // 8), np.uint8)
+        for batch in batches:
+            segment = batch.column("segment").to_numpy()
+            is_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(segment):
+                if segment[at] != now:
+                    # A segment's bits come before what is asked of it; without entries it has none.
+                    now, bits = segment[at], np.zeros((1, segment_bits // 8), np.uint8)
+                if is_bits[at]:
+                    bits = np.frombuffer(batch.column("bits")[at].as_buffer(), np.uint8).reshape(1, -1)
+                    at += 1
+                    continue
+                to = min(int(np.searchsorted(segment, now, "right")), at + ROWS_AT_ONCE)
+                packed = [np.frombuffer(x, np.uint64) for x in batch.column("keys").slice(at, to - at).to_pylist()]
+                ends = np.cumsum([len(x) for x in packed])
+                keys = np.concatenate(packed)
+                level = levels_in(bits, keys, np.zeros(len(keys), np.int64)).astype(np.uint8)
+                starts = np.concatenate([[0], ends[:-1]])
+                found = [level[x:z] > 0 for x, z in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").slice(at, to - at),
+                     pa.array([own[f].tobytes() for own, f in zip(packed, found, strict=True)], pa.binary()),
+                     pa.array([level[x:z][f].tobytes() for x, z, f in zip(starts, ends, found, strict=True)], pa.binary())],
+                    ["block", "keys", "levels"],
+                )
+                at = to
+
+    rows = filled.select("segment", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "bits").union(
+        asking.select("segment", "block", "keys", F.lit(None).cast("binary"))
+    )
+    dealt = rows.repartition(segments, "segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+    return dealt.mapInArrow(run, "block long, keys binary, levels binary")
+
+
+class Levels:
+    """Counts read back for one block from what its segments answered."""
+
+    def __init__(self, keys: list[np.ndarray], level: list[np.ndarray]):
+        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(every)
+        self.keys = every[order]
+        self.level = (np.concatenate(level) if level else np.zeros(0, np.uint8))[order].astype(np.int64)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return middle_of(np.where(self.keys[place] == keys, self.level[place], 0))
+
+
 def score(
     df: DataFrame, train: Column, held_out: Column, text: str = "text", key: str = "doc_id",
     max_bits: int = MAX_BITS,
@@ -215,58 +353,92 @@ def score(
     heavy_counts = np.array([r["n"] for r in heavy], np.int64)
     order = np.argsort(heavy_keys.view(np.uint64))
     discount = discount_of(counts, total)
-    model = spark.sparkContext.broadcast(
-        (build_filter(written(with_taken(counts, discount), f"{work}/entries"), max_bits).bits, heavy_keys.view(np.uint64)[order], heavy_counts[order])
-    )
+    entries = counts.union(written(taken_of(counts, discount), f"{work}/taken"))
+    bits = bits_for(sum(r["level"] * r["keys"] for r in by_level(entries)))
+    # A filter that is too large to be sent stays a table.
+    sent = build_filter(entries, max_bits).bits if bits <= max_bits else None
+    model = spark.sparkContext.broadcast((sent, heavy_keys.view(np.uint64)[order], heavy_counts[order]))
     floor = float(np.log10(total + distinct + 1))
 
     source = df.select(df[key].alias("key"), df[text].alias("text"), held_out.alias("held_out"))
     key_type = source.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, known_counts = model.value
-        table = CountFilter(bits)
+    def scored(part: pa.RecordBatch, table: CountFilter | Levels) -> pa.RecordBatch:
+        _, known, known_counts = model.value
+        words, first = tokens_of(part.column("text"))
+        n = np.diff(first)
+        place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+        is_heavy = known[place] == words if len(known) else np.zeros(len(words), bool)
+        c = np.where(is_heavy, known_counts[place] if len(known) else 0, 0)
+        base = np.where(is_heavy, np.log10(c + 1.0) - floor, 0.0)
+        distinct_words, back = np.unique(words, return_inverse=True)
+        single = np.where(is_heavy, c, table.counts(distinct_words)[back])
+        history = np.concatenate([[0.0], single])
+        history[first[:-1]] = known_counts[np.searchsorted(known, np.uint64(END))] if len(known) else 0.0
+        history = history[:-1]
+        both = np.minimum(table.counts(_pairs_of(words, first)), np.minimum(single, history))
+        taken = table.counts(taken_keys(distinct_words))[back]
+        taken = np.concatenate([[0.0], taken])
+        taken[first[:-1]] = table.counts(taken_keys(np.array([END], np.uint64)))[0]
+        of = np.maximum(history, 1.0)
+        rest = 1.0 - np.minimum(0.95, np.where(history > 0, taken[:-1] / of, 0.0))
+        share = (single + 1.0) / (total + distinct + 1.0)
+        logs = np.log10(np.maximum(both - discount, 0.0) / of + rest * share)
+        begins = first[:-1]
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~is_heavy, begins))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("key"), part.column("held_out"), pa.array(n.astype(np.int64)),
+                pa.array(np.add.reduceat(is_heavy, begins).astype(np.int64)),
+                pa.array(np.add.reduceat(base, begins)),
+                pa.array(np.minimum(0.0, np.add.reduceat(logs, begins))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(words[~is_heavy]))),
+            ],
+            ["key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+        )
+
+    def by_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = CountFilter(model.value[0])
         for batch in batches:
             for part in batches_of(batch):
-                words, first = tokens_of(part.column("text"))
-                n = np.diff(first)
-                place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                is_heavy = known[place] == words if len(known) else np.zeros(len(words), bool)
-                c = np.where(is_heavy, known_counts[place] if len(known) else 0, 0)
-                base = np.where(is_heavy, np.log10(c + 1.0) - floor, 0.0)
-                before = np.concatenate([[np.uint64(END)], words])
-                before[first[:-1]] = np.uint64(END)
-                distinct_words, back = np.unique(words, return_inverse=True)
-                single = np.where(is_heavy, c, table.counts(distinct_words)[back])
-                history = np.concatenate([[0.0], single])
-                history[first[:-1]] = known_counts[np.searchsorted(known, np.uint64(END))] if len(known) else 0.0
-                history = history[:-1]
-                both = np.minimum(table.counts(pairs(before)), np.minimum(single, history))
-                taken = table.counts(taken_keys(distinct_words))[back]
-                taken = np.concatenate([[0.0], taken])
-                taken[first[:-1]] = table.counts(taken_keys(np.array([END], np.uint64)))[0]
-                of = np.maximum(history, 1.0)
-                rest = 1.0 - np.minimum(0.95, np.where(history > 0, taken[:-1] / of, 0.0))
-                share = (single + 1.0) / (total + distinct + 1.0)
-                logs = np.log10(np.maximum(both - discount, 0.0) / of + rest * share)
-                begins = first[:-1]
-                offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~is_heavy, begins))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"), part.column("held_out"), pa.array(n.astype(np.int64)),
-                        pa.array(np.add.reduceat(is_heavy, begins).astype(np.int64)),
-                        pa.array(np.add.reduceat(base, begins)),
-                        pa.array(np.minimum(0.0, np.add.reduceat(logs, begins))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(words[~is_heavy]))),
-                    ],
-                    ["key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+                yield scored(part, table)
 
-    seen = source.mapInArrow(
-        run,
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, level, table = None, [], [], None
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            is_text = batch.column("is_text").to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if block[lo] != now:
+                    now, keys, level, table = block[lo], [], [], None
+                run = batch.slice(lo, hi - lo)
+                if not is_text[lo]:
+                    # Copies, as the batch goes.
+                    keys += [np.frombuffer(x, np.uint64) for x in run.column("keys").to_pylist()]
+                    level += [np.frombuffer(x, np.uint8) for x in run.column("levels").to_pylist()]
+                    continue
+                if table is None:
+                    table, keys, level = Levels(keys, level), [], []
+                for part in batches_of(run):
+                    yield scored(part, table)
+
+    made = (
         f"key {key_type}, held_out boolean, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<long>",
+        "score double, rare array<long>"
     )
+    if sent is not None:
+        seen = source.mapInArrow(by_sent, made)
+    else:
+        segments = max(SEGMENTS, bits // SEGMENT_BITS)
+        filled = written(segment_rows(entries, segments, bits // segments), f"{work}/filter")
+        blocks = written(in_blocks(source), f"{work}/blocks")
+        found = answered(asked(blocks, segments), filled, segments, bits // segments)
+        none = F.lit(None)
+        rows = blocks.select("block", F.lit(True).alias("is_text"), "key", "text", "held_out", none.cast("binary").alias("keys"), none.cast("binary").alias("levels")).union(
+            found.select("block", F.lit(False), none.cast(key_type), none.cast("string"), none.cast("boolean"), "keys", "levels")
+        )
+        seen = rows.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(by_block, made)
     seen = written(seen, f"{work}/seen")
     rare = seen.select(F.col("key").alias("doc"), F.explode("rare").alias("key"))
     light = words.where(F.col("n") < least).select("key", "n")

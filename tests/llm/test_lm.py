@@ -71,6 +71,14 @@ def test_pairs_help(docs):
     assert all(r.score > r.base_score for r in got.values())
 
 
+def test_a_filter_too_large_to_send_gives_the_same_scores(given, edges):
+    for source in (given("documents"), edges):
+        fold_of = fold(F.col("doc_id"), 7)
+        sent = lm.score(source, fold_of != 2, fold_of == 2)
+        table = lm.score(source, fold_of != 2, fold_of == 2, max_bits=1 << 16)
+        assert sorted(sent.collect(), key=str) == sorted(table.collect(), key=str)
+
+
 def test_edges(edges, docs):
     got = scored(edges)
     check([(r.doc_id, r.text) for r in edges.collect()], got)
