@@ -8,7 +8,7 @@ discounting: of a pair's count a discount, known from the counts of counts, is t
 what all pairs of a first word leave of its count goes to words by their own share. The filter
 holds that sum for each first word too.
 
-Pairs seen once are counted like all others but not held. The filter has the bits all others need. Up to
+All n-grams are held, pairs seen once too, and the filter has the bits they need. Up to
 `max_bits` it is sent to all tasks. A larger one stays a table of segments of a few megabytes:
 texts are cut into blocks, the different n-grams of a block go to their segments, and the levels
 found come back to the block. Both ways read the same bits and give the same scores.
@@ -146,11 +146,10 @@ class CountFilter:
         return middle_of(levels_in(self.bits, keys, segment_of(keys)))
 
 
-def discount_of(counts: DataFrame, total: int) -> float:
-    """The discount n1 / (n1 + 2 n2), from pairs seen twice or more and the number of all tokens."""
-    row = counts.where("size = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("more"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    once = total - row["more"]
-    return once / (once + 2 * row["twice"]) if once > 0 else 0.5
+def discount_of(counts: DataFrame) -> float:
+    """The discount n1 / (n1 + 2 n2), from the numbers of pairs seen once and twice."""
+    row = counts.where("size = 2").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    return row["once"] / (row["once"] + 2 * row["twice"]) if row["once"] > 0 else 0.5
 
 
 def taken_of(counts: DataFrame, discount: float) -> DataFrame:
@@ -342,7 +341,7 @@ def score(
     """
     spark = df.sparkSession
     work = work_folder(spark)
-    counts = written(ngram_counts(df.where(train), text).where("size = 1 or n > 1"), f"{work}/counts")
+    counts = written(ngram_counts(df.where(train), text), f"{work}/counts")
     words = counts.where("size = 1")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
@@ -352,7 +351,7 @@ def score(
     heavy_keys = np.array([r["key"] for r in heavy], np.int64)
     heavy_counts = np.array([r["n"] for r in heavy], np.int64)
     order = np.argsort(heavy_keys.view(np.uint64))
-    discount = discount_of(counts, total)
+    discount = discount_of(counts)
     entries = counts.union(written(taken_of(counts, discount), f"{work}/taken"))
     bits = bits_for(sum(r["level"] * r["keys"] for r in by_level(entries)))
     # A filter that is too large to be sent stays a table.

@@ -71,6 +71,14 @@ def test_pairs_help(docs):
     assert all(r.score > r.base_score for r in got.values())
 
 
+def test_pairs_seen_once_help(docs):
+    # One text of words in an order of its own, among texts that all come twice.
+    twice = [(n, " ".join(f"w{(n // 2 * 7 + k * k) % 60}" for k in range(40))) for n in range(40)]
+    once = (1000, " ".join(f"w{k * 17 % 60}" for k in range(60)))
+    got = {r.doc_id: r for r in lm.score(docs([*twice, once]), F.lit(True), F.lit(False)).collect()}
+    assert got[1000].score > 0.8 * got[1000].base_score
+
+
 def test_a_filter_too_large_to_send_gives_the_same_scores(given, edges):
     for source in (given("documents"), edges):
         fold_of = fold(F.col("doc_id"), 7)
