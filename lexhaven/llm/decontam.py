@@ -197,27 +197,33 @@ def contamination(
     is one block.
     """
     spark = df.sparkSession
-    wanted = items.select(items[item].alias("item"), items[item_text].alias("text")).where("text is not null and item is not null")
+    # Repeated rows go out once, with their number.
+    wanted = (
+        items.select(items[item].alias("item"), items[item_text].alias("text")).where("text is not null and item is not null")
+        .groupBy("item", "text").agg(F.count("*").alias("times"))
+    )
     chars = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
     source = df.select(df[key].alias("key"), df[text].alias("text"))
     key_type = source.schema["key"].dataType.simpleString()
     found = None
     for block in range(blocks):
-        # About BLOCK_CHARS bytes of items at most.
-        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast([(int(r["item"]), r["text"]) for r in rows])
+        # About BLOCK_CHARS bytes of items at most, however many texts one item has.
+        rows = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        sent = spark.sparkContext.broadcast([(int(r["item"]), r["text"], r["times"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items(sent.value, share, recall)
+            known = Items([(n, text) for n, (_, text, _) in enumerate(sent.value)], share, recall)
             for batch in batches:
                 for part in batches_of(batch):
                     hashes, first = words_of(part.column("text"))
                     met = sorted(known.find(hashes, first).items()) if len(hashes) and known.runs else []
+                    rows = [sent.value[n] for (_, n), _ in met]
+                    met = [m for m, (_, _, times) in zip(met, rows, strict=True) for _ in range(times)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("key").take(pa.array([t for (t, _), _ in met], pa.int64())),
-                            pa.array([known.ids[n] for (_, n), _ in met], pa.int64()),
+                            pa.array([sent.value[n][0] for (_, n), _ in met], pa.int64()),
                             pa.array([d for _, (d, _) in met], pa.int64()),
                             pa.array([s for _, (_, s) in met], pa.int64()),
                         ],

@@ -65,3 +65,14 @@ def test_edges(edges, docs, spark):
     assert got == {(5, 3, 0), (6, 3, 0), (4, 4, 0)}
     assert decontam.contamination(docs([]), items).count() == 0
     assert decontam.contamination(edges, items.limit(0)).count() == 0
+
+
+def test_an_item_of_many_texts_goes_out_in_blocks(docs, spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 2000)
+    sizes, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(sum(len(x[1]) for x in value)) or send(self, value))
+    texts = [" ".join(f"word{n}x{k}" for k in range(12)) for n in range(60)]
+    items = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])] * 3, "item_id long, text string")
+    got = decontam.contamination(docs([(1, texts[0]), (2, texts[59])]), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (1, 8), (1, 8), (1, 8), (2, 7)]
+    assert len(sizes) > 1 and max(sizes) < 2 * 2000
