@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaven.llm import decontam, html, lm, neardup, packing, pii, quality, tokens, toxicity, warc
+from lexhaven.llm import decontam, html, lm, neardup, packing, pii, quality, tokens, toxicity, urls, warc
 from lexhaven.llm.common import fold
 
 VOCABULARY = "word_bpe_49k.json"
@@ -84,11 +84,23 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"), ~held_out, held_out)
 
 
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_token_counts, op2_decontamination, op3_quality_rules, op4_pii, op5_near_duplicates,
-        op6_packing, op7_main_text, op8_warc, op9_toxicity, op10_lm_score,
+        op6_packing, op7_main_text, op8_warc, op9_toxicity, op10_lm_score, op11_url_filters,
     )
 }
 
@@ -137,4 +149,19 @@ ORACLE_SQL = {
             CASE WHEN m.top <> h.page_id THEN m.top END AS refers_to
         FROM h LEFT JOIN m ON m.payload_digest = h.payload_digest AND h.payload_bytes >= 1000
     """,
+    "op11_url_filters": rf"""
+        WITH parts AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') AS host,
+                coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages
+        ), rules(h, p, v) AS (
+            VALUES {", ".join(repr(r) for r in URL_RULES)}
+        )
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+        FROM parts LEFT JOIN LATERAL (
+            SELECT h || p AS rule, v FROM rules
+            WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1
+        ) ON true
+    """,
 }
