@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaven.llm import decontam, html, lm, neardup, packing, pii, quality, tokens, toxicity, urls, warc
+from lexhaven.llm import decontam, html, lm, neardup, packing, pii, quality, resample, tokens, toxicity, urls, warc
 from lexhaven.llm.common import fold
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,11 +96,17 @@ def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's words."""
+    return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_token_counts, op2_decontamination, op3_quality_rules, op4_pii, op5_near_duplicates,
         op6_packing, op7_main_text, op8_warc, op9_toxicity, op10_lm_score, op11_url_filters,
+        op13_importance_resampling,
     )
 }
 
