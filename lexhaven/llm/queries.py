@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaven.llm import decontam, html, lm, neardup, packing, pii, quality, resample, tokens, toxicity, urls, warc
+from lexhaven.llm import collocations, decontam, html, lm, neardup, packing, pii, quality, resample, tokens, toxicity, urls, warc
 from lexhaven.llm.common import fold
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,6 +96,11 @@ def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's strongest phrases of two to five words."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Weight, score and rank of every document, drawn towards the benchmark's words."""
     return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -106,7 +111,7 @@ QUERIES = {
     for fn in (
         op1_token_counts, op2_decontamination, op3_quality_rules, op4_pii, op5_near_duplicates,
         op6_packing, op7_main_text, op8_warc, op9_toxicity, op10_lm_score, op11_url_filters,
-        op13_importance_resampling,
+        op12_collocations, op13_importance_resampling,
     )
 }
 
@@ -170,4 +175,41 @@ ORACLE_SQL = {
             ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1
         ) ON true
     """,
+    "op12_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1
+        ), places AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+        ), runs AS (
+            SELECT lang, w[i:i + size - 1] AS p FROM places, range(1, 6) AS s(size) WHERE i + size - 1 <= len(w)
+        ), often AS (
+            SELECT lang, p, len(p) AS size, count(*) AS f FROM runs GROUP BY 1, 2 HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT lang, p, f AS a, unnest(range(1, size)) AS k FROM often WHERE size > 1
+        ), scored AS (
+            SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, t.n,
+                ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN totals t USING (lang)
+            JOIN often x ON x.lang = c.lang AND x.p = c.p[1:c.k]
+            JOIN often y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, p[i:j] AS p, max(f) AS longer
+            FROM (SELECT lang, p, f, size, i, unnest(range(i + 1, size + 1)) AS j FROM (SELECT *, unnest(range(1, size)) AS i FROM often WHERE size > 2))
+            WHERE j - i + 1 < size GROUP BY 1, 2
+        ), named AS (
+            SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score
+            FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.p = b.p
+            WHERE i.longer IS NULL OR i.longer < b.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM named QUALIFY rank <= 2000
+    """,
 }
