@@ -22,15 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexhaven.llm.common import hash_word, mix, mix_one, text_buffer, work_folder, written
+from lexhaven.llm.common import batches_of, hash_word, mix, mix_one, text_buffer, work_folder, written
 
 # Bytes of text that share a dictionary, and bytes that a task holds for all languages.
-BLOCK_BYTES = 8 << 20
-HELD_BYTES = 48 << 20
+BLOCK_BYTES = 4 << 20
+HELD_BYTES = 16 << 20
 # Bytes of text taken apart at once; a longer piece stands alone.
 STEP_BYTES = 2 << 20
 # Runs in a filter before a task sends it, and words of all texts for each range of quotients.
-FILTER_RUNS = 3 << 20
+FILTER_RUNS = 1 << 20
 RANGE_WORDS = 1 << 20
 # Words a language may have that occur often enough: five numbers fit 128 bits.
 MOST_BITS = 25
@@ -100,7 +100,7 @@ def coded(df: DataFrame, text: str, lang: str) -> DataFrame:
             made += 1
             parts = held.pop(name)
             del sizes[name]
-            code = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+            code = pa.chunked_array([w for w, _ in parts]).unify_dictionaries().combine_chunks()
             fresh = np.concatenate([f for _, f in parts])
             numbers = code.indices.to_numpy().astype(np.int64)
             stream = np.zeros(len(numbers) + int(fresh.sum()), np.int64)
@@ -115,22 +115,24 @@ def coded(df: DataFrame, text: str, lang: str) -> DataFrame:
             })
 
         for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
-            which = langs.indices.to_numpy()
-            for i, name in enumerate(langs.dictionary.to_pylist()):
-                data, offsets = text_buffer(batch.column("text").take(pa.array(np.flatnonzero(which == i))))
-                for at, to in steps(data, offsets):
-                    ends = offsets[(offsets > at) & (offsets <= to)] - at
-                    words, fresh = words_of(data[at:to], ends)
-                    if len(words):
-                        held.setdefault(name, []).append((words, fresh))
-                        sizes[name] = sizes.get(name, 0) + to - at
-                        if sizes[name] >= BLOCK_BYTES:
-                            yield block(name)
-            while sum(sizes.values()) > HELD_BYTES:
-                yield block(max(sizes, key=sizes.get))
+            for part in batches_of(batch):
+                langs = part.column("lang").dictionary_encode()
+                which = langs.indices.to_numpy()
+                for i, name in enumerate(langs.dictionary.to_pylist()):
+                    data, offsets = text_buffer(part.column("text").take(pa.array(np.flatnonzero(which == i))))
+                    for at, to in steps(data, offsets):
+                        ends = offsets[(offsets > at) & (offsets <= to)] - at
+                        words, fresh = words_of(data[at:to], ends)
+                        if len(words):
+                            held.setdefault(name, []).append((words.dictionary_encode(), fresh))
+                            sizes[name] = sizes.get(name, 0) + to - at
+                            if sizes[name] >= BLOCK_BYTES:
+                                yield block(name)
+                while sum(sizes.values()) > HELD_BYTES:
+                    yield block(max(sizes, key=sizes.get))
         for name in sorted(held):
             yield block(name)
+        pa.default_memory_pool().release_unused()
 
     source = df.select(F.coalesce(df[f"`{lang}`"], F.lit("und")).alias("lang"), df[f"`{text}`"].alias("text"))
     return source.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, width int, ids binary")
@@ -234,25 +236,49 @@ def summed(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return high[starts], low[starts], np.add.reduceat(counts, starts)
 
 
+def _squeezed(values: np.ndarray) -> list[np.ndarray]:
+    """A byte for each number, 255 for those that follow in full."""
+    return [np.minimum(values, np.array(255, values.dtype)).astype(np.uint8), values[values >= 255].astype(np.uint64)]
+
+
+def _cut(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bytes that `bits` bits need, of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)])
+
+
 def packed(shape: Shape, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> bytes:
     """A filter of sorted runs: gaps of quotients, both parts of the remainders, counts less one."""
     rest = shape.high - shape.quotient
-    quotients = high >> np.uint64(rest) if rest < 64 else np.zeros(len(high), np.uint64)
-    columns = [narrow(c) for c in (np.diff(quotients, prepend=np.uint64(0))[1:], high & _mask(rest), low, counts - 1)]
-    head = np.array([len(high), int(quotients[0]), *[c.itemsize for c in columns]], np.uint64)
-    return head.tobytes() + b"".join(c.tobytes() for c in columns)
+    quotients = high >> np.uint64(rest)
+    gaps, far = _squeezed(np.diff(quotients))
+    few, many = _squeezed(counts - 1)
+    head = np.array([len(high), int(quotients[0]), len(far), len(many)], np.uint64)
+    columns = (head, far, many, gaps, few, _cut(high & _mask(rest), rest), _cut(low, shape.n * shape.bits - shape.high))
+    return b"".join(c.tobytes() for c in columns)
 
 
 def unpacked(shape: Shape, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted runs and counts of a filter."""
-    head = np.frombuffer(data, np.uint64, 6)
-    n, at, columns = int(head[0]), 48, []
-    for size, length in zip(head[2:].tolist(), (n - 1, n, n, n)):
-        columns.append(np.frombuffer(data, f"u{size}", length, at).astype(np.uint64))
-        at += size * length
-    quotients = np.concatenate([head[1:2], columns[0]]).cumsum(dtype=np.uint64)
-    rest = shape.high - shape.quotient
-    return quotients << np.uint64(rest) | columns[1], columns[2], columns[3].astype(np.int64) + 1
+    rest, at = shape.high - shape.quotient, 0
+
+    def taken(n: int, kind: type = np.uint8) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, n, at)
+        at += out.nbytes
+        return out
+
+    def whole(n: int, bits: int) -> np.ndarray:
+        size = -(-bits // 8)
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :size] = taken(n * size).reshape(n, size)
+        return out.view("<u8").reshape(-1)
+
+    n, first, n_far, n_many = taken(4, np.uint64).tolist()
+    far, many = taken(n_far, np.uint64), taken(n_many, np.uint64)
+    gaps, few = taken(n - 1).astype(np.uint64), taken(n).astype(np.int64)
+    gaps[gaps == 255], few[few == 255] = far, many
+    quotients = np.concatenate([[np.uint64(first)], gaps]).cumsum(dtype=np.uint64)
+    return quotients << np.uint64(rest) | whole(n, rest), whole(n, shape.n * shape.bits - shape.high), few + 1
 
 
 def range_starts(shape: Shape, ranges: int) -> np.ndarray:
@@ -331,7 +357,8 @@ def counted(streams: DataFrame, shapes: list[Shape], ranges: int, least: int, fi
                     del sizes[largest]
                     yield sent(*largest, held.pop(largest))
         for key in sorted(held):
-            yield sent(*key, held[key])
+            yield sent(*key, held.pop(key))
+        pa.default_memory_pool().release_unused()
 
     def merge(table: pa.Table) -> pa.Table:
         lang, n = table.column("lang")[0].as_py(), table.column("n")[0].as_py()
@@ -380,7 +407,7 @@ def streams_of(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Blocks with the numbers of the dictionary, 0 for other words and between pieces."""
     known = (
         blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
-        .join(dictionary.select("lang", "word", "id"), ["lang", "word"])
+        .join(dictionary.select("lang", "word", "id").hint("merge"), ["lang", "word"])
         .groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("id"))
     )
     both = blocks.select("block", "lang", F.size("words").alias("size"), "width", "ids").join(known, "block")
