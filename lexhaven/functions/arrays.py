@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _GROUP = 32
 
 
-def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """`fn` of a value that is computed once, however often `fn` reads it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def once(value: Column) -> Column:
     """Generator giving the value itself, computed once per row.
 
@@ -25,33 +18,31 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def total(values: Column) -> Column:
-    """Sum of an int array."""
-    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
-
-
-def totals_before(values: Column, levels: int = 3) -> Column:
-    """For each entry of an int array, the sum of the entries before it.
+def totals_before(values: str) -> Column:
+    """For each entry of an int array, given in SQL, the sum of the entries before it.
 
     Entries are summed within small groups; the sums of the groups are an array
     of the same kind, summed in the same way, level by level. A fold that appends
-    to its result would copy all of it at every step.
+    to its result would copy all of it at every step. The nested lambdas are SQL
+    text: put together call by call they cost seconds for each plan.
     """
+    return F.expr(_totals(values, 3))
+
 
-    def inside(group: Column, base: Column) -> Column:
-        return F.transform(group, lambda _, n: base + total(F.slice(group, F.lit(1), n)))
+def _totals(values: str, levels: int) -> str:
+    v, groups, g, bases = f"v{levels}", f"groups{levels}", f"g{levels}", f"bases{levels}"
+    last = f"CAST(floor((greatest(size({v}), 1) - 1) / {_GROUP}) AS INT)"
+    cut = f"transform(sequence(0, {last}), {g} -> slice({v}, {g} * {_GROUP} + 1, {_GROUP}))"
+    sums = f"transform({groups}, {g} -> aggregate({g}, 0, (a, y) -> a + y))"
+    below = _totals(sums, levels - 1) if levels else _bound(sums, v, _inside(v, "0"))
+    placed = f"flatten(zip_with({groups}, {bases}, ({g}, base) -> {_inside(g, 'base')}))"
+    return _bound(_bound(values, v, cut), groups, _bound(below, bases, placed))
 
-    def grouped(v: Column) -> Column:
-        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / _GROUP).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), last), lambda g: F.slice(v, g * _GROUP + 1, F.lit(_GROUP))
-        )
 
-    def below(sums: Column) -> Column:
-        return totals_before(sums, levels - 1) if levels > 1 else inside(sums, F.lit(0))
+def _bound(value: str, name: str, body: str) -> str:
+    """`body` with `name` for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def summed(groups: Column) -> Column:
-        bases = bind(F.transform(groups, total), below)
-        return F.flatten(F.zip_with(groups, bases, inside))
 
-    return bind(bind(values, grouped), summed)
+def _inside(group: str, base: str) -> str:
+    return f"transform({group}, (x, n) -> {base} + aggregate(slice({group}, 1, n), 0, (a, y) -> a + y))"

@@ -97,8 +97,8 @@ def _placed(df: DataFrame) -> DataFrame:
             t["name"].alias("name"),
         )
 
-    df = _step(df, "_before", totals_before(F.transform("_t", lambda t: t.gap + t["size"])))
-    df = _step(df, "_lines", totals_before(F.transform("_t", lambda t: t.gap_nl + t.nl)))
+    df = _step(df, "_before", totals_before("transform(_t, t -> t.gap + t.size)"))
+    df = _step(df, "_lines", totals_before("transform(_t, t -> t.gap_nl + t.nl)"))
     return _step(df, "_p", F.filter(F.transform("_t", one), lambda p: p.kind != "quiet"))
 
 
@@ -157,7 +157,7 @@ def _matched(df: DataFrame, rows: list[tuple]) -> DataFrame:
     deeper = F.transform(
         ps, lambda p: F.when(p.kind == "open", 1).when(p.kind == "close", -1).otherwise(0)
     )
-    df = _step(df, "_depth", totals_before(deeper))
+    df = _step(_step(df, "_deeper", deeper), "_depth", totals_before("_deeper")).drop("_deeper")
     marks = F.filter(F.transform(ps, mark), lambda m: m.kind.isin("open", "close"))
     df = _step(df, "_b", F.array_sort(marks))
     return _step(
@@ -200,7 +200,7 @@ def _scopes(df: DataFrame) -> DataFrame:
         F.transform("_units", lambda u, n: event(u.start, unit, 0, n, nameless)),
     )
     df = _step(df, "_events", F.array_sort(events))
-    df = _step(df, "_open", totals_before(F.transform("_events", lambda e: e.change)))
+    df = _step(df, "_open", totals_before("_events.change"))
 
     def level(e: Column, n: Column) -> Column:
         depth = F.get("_open", n) + F.when(e["rank"] == opened, 1).otherwise(0)
@@ -208,7 +208,7 @@ def _scopes(df: DataFrame) -> DataFrame:
 
     levels = F.filter(F.transform("_events", level), lambda e: e["rank"] != closed)
     df = _step(df, "_levels", F.array_sort(levels))
-    df = _step(df, "_seen", totals_before(F.transform("_levels", lambda e: F.when(e["rank"] == opened, 1).otherwise(0))))
+    df = _step(df, "_seen", totals_before(f"transform(_levels, e -> IF(e.rank = {opened}, 1, 0))"))
     df = _step(df, "_opened", F.filter("_levels", lambda e: e["rank"] == opened))
 
     def around(e: Column, n: Column) -> Column:

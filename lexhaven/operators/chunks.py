@@ -127,7 +127,8 @@ def split_chunks(
     before = F.lit(None).cast("array<int>")
     if line_mode == "exact":
         lines = F.transform(runs_of(content, step, size), newlines)
-        df = df.select("*", once(totals_before(lines)).alias("_before"))
+        df = df.select("*", once(lines).alias("_lines"))
+        df = df.select("*", once(totals_before("_lines")).alias("_before")).drop("_lines")
         before = F.col("_before")
 
     def piece(n: Column) -> Column:

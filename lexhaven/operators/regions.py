@@ -48,7 +48,7 @@ def extract_regions(
     ).drop("text")
     placed = F.zip_with(
         F.col("_parts"),
-        totals_before(F.transform("_parts", lambda p: p.gap_nl + p.nl)),
+        totals_before("transform(_parts, p -> p.gap_nl + p.nl)"),
         lambda p, before: F.struct(
             p.content.alias("content"),
             kind(p.content).alias("unit"),

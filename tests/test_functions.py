@@ -39,11 +39,11 @@ def test_session_id(spark):
 
 
 def test_totals_before(spark):
-    lists = [[], [5], list(range(1000)), None]
+    lists = [[], [5], list(range(1000)), None, [1] * 70_000]
     df = spark.createDataFrame([(n, v) for n, v in enumerate(lists)], "n int, v array<int>")
-    got = [r.out for r in df.select("n", totals_before(F.col("v")).alias("out")).orderBy("n").collect()]
+    got = [r.out for r in df.select("n", totals_before("v").alias("out")).orderBy("n").collect()]
     assert got[0] == [] and got[1] == [0] and got[3] is None
-    assert got[2] == [sum(range(n)) for n in range(1000)]
+    assert got[2] == [sum(range(n)) for n in range(1000)] and got[4] == list(range(70_000))
 
 
 def test_once_keeps_nulls(spark):

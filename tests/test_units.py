@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from given_data import SMALL
 from lexhaven.operators import blocks, chunks, regions
 from lexhaven.plans import inputs
 from lexhaven.schemas import DEFAULT_SOURCE_UNITS, SOURCE_UNITS, units_table
