@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexhaven.functions.vectors import relevance_band
-from lexhaven.operators import blocks, changes, chunks, embedding, regions, render, report, search
+from lexhaven.operators import blocks, changes, chunks, embedding, pruned, regions, render, report, search
 from lexhaven.operators import upsert as upserts
 from lexhaven.plans import inputs
 from lexhaven.plans.ingest import ingest, ingest_files
@@ -70,6 +70,21 @@ def search_block(spark, folder):
     return _hits(found, "chunk_type")
 
 
+@query
+def search_pruned(spark, folder):
+    """The ten nearest of every vector by way of pivots, where vectors of a label lie together.
+
+    `spared`: the query was compared with under 30 % of the vectors.
+    """
+    work = tables.shared_folder(spark)
+    stored = inputs.gathered_store(spark, folder)
+    pivots = pruned.choose_pivots(stored)
+    indexed = tables.written(pruned.with_clusters(stored, pivots), f"{work}/indexed", sort_by=["cluster", "gap"])
+    asked = stored.select(F.col("id").alias("query_id"), "embedding")
+    found = pruned.search_pruned(indexed, pivots, asked, work).withColumn("n", F.lit(indexed.count()))
+    return _hits(found.withColumn("spared", 100 * F.col("compared") < 30 * F.col("n")), "chunk_type", "spared")
+
+
 @query
 def search_filtered(spark, folder):
     """The ten nearest vectors of every vector among those of its own label."""

@@ -139,6 +139,15 @@ def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gathered_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with each vector drawn to a place of its label: a quarter of it, and three along one axis."""
+    axis = F.pmod(F.col("label") * 7, F.size("embedding"))
+    moved = F.transform("embedding", lambda x, i: (x.cast("double") / 4 + F.when(i == axis, 3.0).otherwise(0.0)).cast("float"))
+    return spread_table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), _text(F.col("label")).alias("chunk_type"), moved.alias("embedding")
+    )
+
+
 def piece_store(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the documents with hashed-word vectors."""
     pieces = split_chunks(document_chunks(spread_table(spark, folder, "documents")))

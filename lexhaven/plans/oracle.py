@@ -489,6 +489,13 @@ SELECT session_id, 'head', session_id, min(status), arg_min(n, status)::BIGINT F
 _ORACLE = {
     "search_topk": _knn(10),
     "search_block": _knn(10),
+    "search_pruned": f"""WITH gathered AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x, i: (x::DOUBLE / 4
+    + CASE WHEN i - 1 = (label * 7) % len(embedding) THEN 3.0::DOUBLE ELSE 0.0 END)::FLOAT) AS embedding FROM embeddings
+), {_PAIRS.format(on="true").replace("embeddings", "gathered")}
+SELECT query_id, rank::INTEGER AS rank, id, label::VARCHAR AS chunk_type, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score,
+  true AS spared
+FROM ranked WHERE rank <= 10""",
     "search_filtered": _knn(10, on="q.label = s.label"),
     "search_min_score": _knn(20, where="1 / (1 + d) >= 0.42", label=False),
     "search_single": _SINGLE,

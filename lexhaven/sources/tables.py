@@ -123,6 +123,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def written(df: DataFrame, path: str, sort_by: list[str] | None = None) -> DataFrame:
+    """Write an intermediate table and read it back; `sort_by` lays it out in ranges, sorted within."""
+    if sort_by:
+        df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out a small input over the cores; a large one stays as it is read.
 
