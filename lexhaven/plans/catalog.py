@@ -17,6 +17,7 @@ from lexhaven.plans.inputs import DIM, table
 from lexhaven.sources import files as files_source
 from lexhaven.sources import manifest as manifests
 from lexhaven.sources import runlog, store, tables
+from lexhaven.streaming import edits
 from lexhaven.streaming.files import store_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +431,28 @@ def replace_files(spark, folder):
     return upserts.replace_files(old, new)
 
 
+@query
+def replace_on_disk(spark, folder):
+    """The same through a store on disk, by tombstones: the state of each row before and after a compaction."""
+    path = f"{tables.shared_folder(spark)}/store"
+    documents = table(spark, folder, "documents")
+    toxic = documents.join(table(spark, folder, "labels").where("toxic = 1"), "doc_id", "left_semi")
+
+    def rows(docs, state):
+        made = inputs.document_chunks(docs).withColumn("absolute_path", F.concat("package", F.lit("/"), "language"))
+        return made.withColumn("embedding", F.array(F.lit(state)).cast("array<float>"))
+
+    def states(name):
+        kept = store.read_store(spark, path)
+        return kept.select("absolute_path", "relative_path", F.col("embedding")[0].cast("int").alias(name))
+
+    store.append_rows(rows(documents, 1), path, unique=True)
+    store.replace_rows(rows(toxic, 2), path, unique=True)
+    before = tables.written(states("before"), f"{path}-before")
+    store.compact(spark, path)
+    return before.join(states("after"), ["absolute_path", "relative_path"], "full_outer")
+
+
 # --- run log ----------------------------------------------------------------
 
 
@@ -673,3 +696,45 @@ def ingest_stream(spark, folder):
     job.awaitTermination()
     rows = store.read_store(spark, f"{work}/store")
     return rows.select("id", "relative_path", "sub_index", "line_start", "piece_hash")
+
+
+@query
+def ingest_stream_edits(spark, folder):
+    """Two listings of a changing tree as a stream: pieces, manifest and outcomes of every file.
+
+    Labelled documents are there at first. Then toxic ones are edited, the others of low quality
+    removed, and documents without labels are new.
+    """
+    work = tables.shared_folder(spark)
+    files, listings = inputs.changing_files(spark, folder)
+    files = tables.written(files, f"{work}/files")
+
+    def fetch(paths):
+        return files.join(paths.select("path", "modification_time"), ["path", "modification_time"], "left_semi")
+
+    def chunk(found):
+        documents = found.withColumns({"lang": F.col("language"), "source": F.lit("tree"), "doc_id": F.col("relative_path")})
+        made = inputs.document_chunks(documents)
+        return made.withColumn("absolute_path", F.replace("absolute_path", F.lit("/tree/"), F.lit("/")))
+
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", edits.STATE_STORE)
+    try:
+        for listing in listings:
+            listing.write.mode("append").parquet(f"{work}/listings")
+            stream = spark.readStream.schema(edits.LISTING).parquet(f"{work}/listings")
+            edits.ingest_edits(
+                stream, fetch, f"{work}/target", f"{work}/checkpoint", chunk=chunk, make=embedding.hashed_words(DIM),
+                missing_after="30 minutes",
+            ).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("name")
+    pieces = store.read_store(spark, f"{work}/target/store").withColumnRenamed("absolute_path", "path").groupBy(name).agg(
+        F.count(F.lit(1)).alias("pieces"), F.sha2(F.array_join(F.array_sort(F.collect_list("piece_hash")), ""), 256).alias("hash")
+    )
+    recorded = manifests.read_manifest(spark, f"{work}/target/manifest").select(name, F.col("chunk_count").alias("recorded"))
+    told = runlog.read_log(spark, f"{work}/target/runlog").withColumnRenamed("file_path", "path").groupBy(name).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("session_id", "status"))).status, " ").alias("outcomes")
+    )
+    return told.join(pieces, "name", "full_outer").join(recorded, "name", "full_outer")

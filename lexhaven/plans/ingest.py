@@ -14,7 +14,6 @@ from lexhaven.operators.changes import detect_changes, update_manifest
 from lexhaven.operators.chunks import chunk_files, split_chunks
 from lexhaven.operators.embedding import embed, hashed_words
 from lexhaven.operators.report import run_result
-from lexhaven.operators.upsert import replace_files
 from lexhaven.schemas import (
     CHUNK_OVERLAP,
     CHUNK_SIZE,
@@ -182,8 +181,7 @@ def ingest_files(
     if replace:
         # A changed file that has no chunks now loses its old ones too.
         gone = deleted.unionByName(todo.join(failures, "path", "left_anti").select("path"))
-        current = store.read_store(spark, store_path)
-        store.rewrite(replace_files(current, stored, gone), store_path)
+        store.replace_rows(stored, store_path, gone, unique=True)
     else:
         # Ids hold the path and the index in the file, so they are unique.
         store.append_rows(stored, store_path, unique=True)

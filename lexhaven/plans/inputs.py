@@ -132,6 +132,31 @@ def document_chunks(documents: DataFrame) -> DataFrame:
     )
 
 
+def changing_files(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Documents as files in their states over an hour, and the listings at its begin and end."""
+    marked = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    path = F.concat(F.lit(ROOT + "/"), _text(F.col("doc_id")), F.lit(".gs"))
+
+    def at(hour: int):
+        return F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour))
+
+    def files(rows: DataFrame, text: Column, hour: int) -> DataFrame:
+        return _files(rows.select(path.alias("path"), text.alias("text"), at(hour).alias("modification_time")))
+
+    def listing(rows: DataFrame, hour: int) -> DataFrame:
+        return rows.select(
+            at(hour).alias("listed"), "path", "relative_path", "ext", "modification_time", F.col("file_hash").alias("state")
+        )
+
+    text = F.col("text")
+    first = files(marked.where("quality is not null"), text, 0)
+    later = files(marked.where("toxic = 1"), F.concat(F.lit("edited "), text), 1).unionByName(
+        files(marked.where("quality is null"), text, 1)
+    )
+    stays = files(marked.where("quality = 1 and toxic = 0"), text, 0)
+    return first.unionByName(later), [listing(first, 0), listing(stays.unionByName(later), 1)]
+
+
 def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     """The table of vectors as a store; labels stand for chunk types."""
     return spread_table(spark, folder, "embeddings").select(

@@ -556,6 +556,23 @@ SELECT 'pieces' AS name, count(*) AS rows, least(count(*), 3) AS samples FROM pi
     "own_chunker": """SELECT relative_path, sha256(lines[i]) AS hash, i AS line FROM (
   SELECT source || '/' || doc_id AS relative_path, lines, unnest(range(1, len(lines) + 1)) AS i
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
+    "replace_on_disk": """WITH d AS (
+  SELECT source || '/' || lang AS absolute_path, source || '/' || doc_id AS relative_path,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS hit
+  FROM documents
+), r AS (SELECT *, bool_or(hit) OVER (PARTITION BY absolute_path) AS replaced FROM d)
+SELECT absolute_path, relative_path, CASE WHEN hit THEN 2 ELSE 1 END AS before, CASE WHEN hit THEN 2 ELSE 1 END AS after
+FROM r WHERE hit OR NOT replaced""",
+    "ingest_stream_edits": f"""WITH marked AS (
+  SELECT doc_id || '.gs' AS name, '' AS id, CASE WHEN toxic = 1 THEN 'edited ' || text ELSE text END AS text,
+    quality IS NOT NULL AS early, quality IS NULL OR toxic = 1 OR quality = 1 AS late, toxic = 1 AS edited
+  FROM documents LEFT JOIN labels USING (doc_id)
+), present AS (SELECT * FROM marked WHERE late), {_pieces(1000, 200, rows="present")}, stored AS (
+  SELECT name, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT name, sha256(content) AS h FROM pieces) GROUP BY 1
+)
+SELECT name, n AS pieces, hash, n AS recorded,
+  CASE WHEN early AND edited THEN 'success success' WHEN early AND late THEN 'success skipped' ELSE 'success' END AS outcomes
+FROM marked LEFT JOIN stored USING (name)""",
     "ingest_disk": _INGEST_DISK,
     "ingest_hidden": _INGEST_HIDDEN,
     "ingest_tree": f"""SELECT source, sum({_newlines("text")} + 1)::BIGINT AS lines,

@@ -23,6 +23,15 @@ def append_log(rows: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("session_id").parquet(path)
 
 
+def write_session(rows: DataFrame, path: str) -> None:
+    """Write whole sessions; one that is there already, as of a run that is done again, is replaced."""
+    out = conform(rows, RUNLOG).withColumn("status", checked(F.col("status"), STATUSES, "status"))
+    (
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("session_id").parquet(path)
+    )
+
+
 def export_session(log: DataFrame, path: str, session_id: str | None = None) -> None:
     """Write one session, by default the latest, as JSON lines: its summary, then its rows."""
     lines = report_lines(session_rows(log, session_id))

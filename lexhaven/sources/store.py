@@ -1,8 +1,9 @@
 """The chunk store: a Parquet table of `STORE` rows, one per id.
 
 Upserts add a version that holds only the incoming rows; readers leave out
-rows of an older version whose id is in a newer one. `rewrite` and `compact`
-write a whole new generation.
+rows of an older version whose id is in a newer one, and rows of a file that a
+tombstone `(absolute_path, version)` declares gone before its version. `rewrite`
+and `compact` write a whole new generation.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from lexhaven.functions.text import empty_to_null
 from lexhaven.operators.upsert import latest_rows
 from lexhaven.schemas import STORE, conform
 from lexhaven.sources import tables
+from lexhaven.sources.tables import is_folder
+
+# Folder of the tombstones, beside the generations.
+TOMBSTONES = "tombstones"
+_TOMBSTONE = "absolute_path string, version long"
 
 _METADATA = ("module", "package", "class_name", "enclosing_class", "method_name")
 
@@ -30,6 +36,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     _, found = tables.versions(spark, path)
     rows = tables.read_versions(spark, path, STORE)
     rows = rows.withColumns({c: empty_to_null(F.col(c)) for c in _METADATA})
+    if is_folder(spark, f"{path}/{TOMBSTONES}"):
+        gone = spark.read.schema(_TOMBSTONE).parquet(f"{path}/{TOMBSTONES}")
+        gone = gone.groupBy(F.col("absolute_path").alias("gone_path")).agg(F.max("version").alias("gone_before"))
+        dead = (F.col("absolute_path") == F.col("gone_path")) & (F.col("version") < F.col("gone_before"))
+        rows = rows.join(gone, dead, "left_anti")
     if len(found) < 2:
         return rows
     newer = tables.read_versions(spark, path, STORE, found[1:])
@@ -47,9 +58,30 @@ def append_rows(rows: DataFrame, path: str, unique: bool = False) -> int:
     return tables.write_version(conform(rows, STORE), path)
 
 
+def replace_rows(rows: DataFrame, path: str, gone: DataFrame | None = None, unique: bool = False) -> int:
+    """Put `rows` in place of all earlier rows of their files, and drop those of the files in `gone`.
+
+    Writes only the rows and a tombstone for each file; `gone` has a column
+    `path`. Tombstones are written last, so a writer lost in between leaves the
+    earlier rows, and doing it again covers its own rows as well.
+    """
+    spark = rows.sparkSession
+    version = append_rows(rows, path, unique)
+    files = tables.read_versions(spark, path, STORE, [version]).select("absolute_path")
+    if gone is not None:
+        files = files.unionByName(gone.select(F.col("path").alias("absolute_path")))
+    files.distinct().withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{path}/{TOMBSTONES}")
+    return version
+
+
 def rewrite(rows: DataFrame, path: str) -> int:
-    """Make `rows`, which may read the store, the store's whole content."""
-    return tables.write_generation(conform(rows, STORE), path)
+    """Make `rows`, which may read the store, the store's whole content; tombstones are folded in.
+
+    The new generation's version is above every tombstone's, so these say nothing about it.
+    """
+    version = tables.write_generation(conform(rows, STORE), path)
+    tables.drop_folder(rows.sparkSession, f"{path}/{TOMBSTONES}")
+    return version
 
 
 def compact(
