@@ -16,7 +16,7 @@ from lexhaven.plans.ingest import ingest, ingest_files
 from lexhaven.plans.inputs import DIM, table
 from lexhaven.sources import files as files_source
 from lexhaven.sources import manifest as manifests
-from lexhaven.sources import runlog, store, tables
+from lexhaven.sources import collections, runlog, store, tables
 from lexhaven.streaming import edits
 from lexhaven.streaming.files import store_stream
 
@@ -645,6 +645,24 @@ def store_counts(spark, folder):
     return found.select("name", "rows", F.size("sample").cast("bigint").alias("samples"))
 
 
+@query
+def collections_list(spark, folder):
+    """A collection for each language, toxic documents written again; found by listing, with rows and metadata."""
+    root = tables.shared_folder(spark)
+    documents = table(spark, folder, "documents")
+    toxic = documents.join(table(spark, folder, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    for r in documents.groupBy("lang").agg(F.count_distinct("source").alias("n")).collect():
+        path = collections.get_or_create(spark, root, r["lang"], {"language": r["lang"], "sources": r["n"]})
+        for rows in (documents, toxic):
+            made = inputs.document_chunks(rows.where(F.col("lang") == r["lang"]))
+            store.append_rows(made.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")), path)
+    found = collections.list_collections(spark, root)
+    return found.select(
+        "collection", "rows", F.get_json_object("metadata", "$.language").alias("language"),
+        F.get_json_object("metadata", "$.sources").cast("bigint").alias("sources"), (F.col("files") > 1).alias("several_files"),
+    )
+
+
 @query
 def own_chunker(spark, folder):
     """Documents cut by a chunker given as a function: a unit for each line."""

@@ -553,6 +553,8 @@ WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "ingest_rates": _INGEST_RATES,
     "store_counts": f"""WITH {_DOCS}, {_pieces(1000, 200)}
 SELECT 'pieces' AS name, count(*) AS rows, least(count(*), 3) AS samples FROM pieces UNION ALL SELECT 'none', 0, 0""",
+    "collections_list": """SELECT lang AS collection, count(*) AS rows, lang AS language, count(DISTINCT source) AS sources,
+  true AS several_files FROM documents GROUP BY lang""",
     "own_chunker": """SELECT relative_path, sha256(lines[i]) AS hash, i AS line FROM (
   SELECT source || '/' || doc_id AS relative_path, lines, unnest(range(1, len(lines) + 1)) AS i
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
