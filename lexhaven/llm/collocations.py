@@ -405,10 +405,13 @@ def dictionary_of(blocks: DataFrame, least: int, work: str) -> tuple[DataFrame,
 
 def streams_of(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Blocks with the numbers of the dictionary, 0 for other words and between pieces."""
+    # Rare words stay in the join, which so grows with the dictionaries and not with the share of
+    # words that are frequent; they are left out of the lists.
+    found = F.col("id").isNotNull()
     known = (
         blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
-        .join(dictionary.select("lang", "word", "id").hint("merge"), ["lang", "word"])
-        .groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("id"))
+        .join(dictionary.select("lang", "word", "id").hint("merge"), ["lang", "word"], "left")
+        .groupBy("block").agg(F.collect_list(F.when(found, F.col("pos"))).alias("pos"), F.collect_list("id").alias("id"))
     )
     both = blocks.select("block", "lang", F.size("words").alias("size"), "width", "ids").join(known, "block")
 
