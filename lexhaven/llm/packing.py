@@ -10,6 +10,7 @@ the next class's slot to the end. What waits in a task at its end is laid end to
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -81,15 +82,19 @@ class Encoder(dict):
 
     def _parts(self, chunk: bytes) -> list[bytes]:
         """Parts of a lower-cased chunk that the tokenizer codes one by one."""
-        if b"<|" in chunk:
-            return [chunk]
         if chunk.isascii():
             return _PART.findall(chunk)
         head = chunk.rstrip(_MARKS)
-        if head and head != chunk and head.decode()[-1].isalpha():
+        # A letter whose normal form ends in a combining mark, as that of U+0130 does, joins the marks after it.
+        if head and head != chunk and unicodedata.normalize("NFC", head.decode()).lower()[-1].isalpha():
             return [head, chunk[len(head) :]]
         return [chunk]
 
+    def _special(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that may hold a special token; their spelling counts, so its case stays."""
+        coded = self.tokenizer.encode(chunk.decode(), add_special_tokens=False)
+        return b"".join(i.to_bytes(4, "little") for i in coded.ids)
+
     def part(self, chunk: bytes) -> bytes:
         """Ids of one lower-cased chunk or part of it."""
         if chunk.isalpha():
@@ -108,15 +113,22 @@ class Encoder(dict):
             self.parts.clear()
         data, offsets = text_buffer(texts)
         starts, stops, first = closing_apart(data, *word_bounds(data, offsets))
-        distinct, sample, which = np.unique(
-            hash_words(data, starts, stops), return_index=True, return_inverse=True
-        )
+        hashes = hash_words(data, starts, stops)
+        raw = data.data
+        # Chunks with the beginning of a special token are told apart by case as well.
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if len(data) else []
+        special = np.unique(np.searchsorted(starts, marks, "right") - 1) if len(marks) else np.zeros(0, np.int64)
+        special = special[(special >= 0)]
+        for i in special.tolist():
+            digest = hashlib.blake2b(bytes(raw[starts[i] : stops[i]]), digest_size=8).digest()
+            hashes[i] = int.from_bytes(digest, "little")
+        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        exact = set(distinct[np.isin(sample, special)].tolist())
         distinct = distinct.tolist()
         coded = [self.get(h) for h in distinct]
-        raw = data.data
         for i in [i for i, ids in enumerate(coded) if ids is None]:
-            at = sample[i]
-            coded[i] = self[distinct[i]] = self.part(bytes(raw[starts[at] : stops[at]]).lower())
+            chunk = bytes(raw[starts[sample[i]] : stops[sample[i]]])
+            coded[i] = self[distinct[i]] = self._special(chunk) if distinct[i] in exact else self.part(chunk.lower())
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         pool = np.frombuffer(b"".join(coded), "<u4")
         begins = (np.cumsum(sizes) - sizes)[which]

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -76,3 +78,16 @@ def test_edges(edges, docs, tokenizer):
     empty = packing.pack(docs([(1, None), (2, "")]), PATH).collect()
     assert [(r.start, bytes(r.ids), r.doc_tokens) for r in empty] == [(0, b"\1\0\0\0", 1)] * 2
     assert packing.pack(docs([]), PATH).count() == 0
+
+
+def test_ids_of_many_odd_strings(tokenizer):
+    rng = random.Random(8)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "<", "|", ">", ";", ".", ",", "'", "'S", "'re",
+            "a", "B", "It", "İ", "i̇", "é", "É", "é", "́", "ß", "ẞ", "Σ", "ς", "क़", "日", "Ⅷ", "²", "ªº", "ǅ", "3", "12", " ", "\t", "\x1c", "-", "…"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 7))) for _ in range(20_000)]
+    for at in range(0, len(texts), 2_000):
+        part = texts[at:at + 2_000]
+        ids, first = packing.encoder_of(PATH).encode(pa.array(part))
+        got = [ids[a:b].tolist() for a, b in zip(first, first[1:])]
+        want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [(t, g) for t, g, w in zip(part, got, want) if g != w] == []
