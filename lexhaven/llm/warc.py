@@ -129,9 +129,9 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(url: str, date: str, headers: bytes, digest: bytes) -> str:
-    """A record's identifier, the same whenever it is converted."""
-    made = hashlib.sha1(b"\0".join([url.encode(), date.encode(), headers, digest])).digest()
+def record_id(url: str, date: str, headers: bytes, digest: bytes, place: str = "") -> str:
+    """A record's identifier, the same whenever it is converted; `place` tells equal records apart."""
+    made = hashlib.sha1(b"\0".join([url.encode(), date.encode(), headers, digest, place.encode()])).digest()
     return f"<urn:uuid:{uuid.UUID(bytes=made[:16], version=5)}>"
 
 
@@ -179,15 +179,15 @@ def _archives(rows: Iterable[bytes], head: Callable[[int], bytes]) -> Iterator[b
         yield b"".join(parts)
 
 
-def _save(df: DataFrame, make: Callable[[dict], bytes], head: Callable[[int, int], bytes], path: str) -> None:
-    """Write one file for each archive; the zero byte after it is padding."""
+def _save(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[bytes]], head: Callable[[int, int], bytes], path: str) -> None:
+    """Write one file for each archive; the zero byte after it is padding. `make` gives records of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        rows = (make(row) for batch in batches for at in range(0, batch.num_rows, 256) for row in batch.slice(at, 256).to_pylist())
-        for archive in _archives(rows, lambda n: head(task, n)):
+        records = (record for batch in batches for record in make(batch))
+        for archive in _archives(records, lambda n: head(task, n)):
             yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["archive"])
 
     out = df.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
@@ -195,69 +195,78 @@ def _save(df: DataFrame, make: Callable[[dict], bytes], head: Callable[[int, int
 
 
 def _load(spark: SparkSession, path: str) -> DataFrame:
-    """Archives one by one; each is of bounded size."""
-    return spark.read.format("binaryFile").load(path).select("content")
+    """Archives one by one, with their names; each is of bounded size."""
+    return spark.read.format("binaryFile").load(path).select("content", F.col("path").alias("archive"))
 
 
 def save_arc(df: DataFrame, path: str, version: int = 1) -> None:
     """Write responses `(url, date, headers, payload)` as ARC archives; `date` has fourteen digits."""
 
-    def make(row: dict) -> bytes:
-        fields = {"URL": row["url"], "IP-address": "0.0.0.0", "Archive-date": row["date"], "Content-type": "text/html"}
-        return arc_record(fields, (row["headers"] or b"") + (row["payload"] or b""), version)
+    def make(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                fields = {"URL": row["url"], "IP-address": "0.0.0.0", "Archive-date": row["date"], "Content-type": "text/html"}
+                yield arc_record(fields, (row["headers"] or b"") + (row["payload"] or b""), version)
 
     _save(df.select("url", "date", "headers", "payload"), make,
           lambda task, n: arc_file_header(f"lexhaven-{task:05}-{n:05}.arc", "20000101000000", version), path)
 
 
-RECORD = "id string, url string, date string, content_type string, page long, headers binary, payload binary, payload_bytes long, digest binary"
+def _records(archive: str, content: bytes) -> Iterator[dict]:
+    """Records of one ARC archive with what WARC asks for, and their place in it."""
+    # The part of a file's name that Spark draws at random is no part of a record's place.
+    parts = archive.rsplit("/", 1)[-1].split("-")
+    named = f"{parts[1] if len(parts) > 1 else ''}-{parts[-1]}"
+    for at, (fields, body) in enumerate(read_arc(content)):
+        headers, payload = http_parts(body)
+        digest = hashlib.sha1(payload).digest()
+        page = header_of(headers, PAGE_HEADER) or ""
+        date = iso_date(fields["Archive-date"])
+        yield {
+            "archive": archive, "at": at, "id": record_id(fields["URL"], date, headers, digest, f"{named}-{at}"), "url": fields["URL"],
+            "date": date, "content_type": fields["Content-type"], "page": int(page) if re.fullmatch(r"-?\d+", page) else None,
+            "headers": headers, "payload": payload, "payload_bytes": len(payload), "digest": digest,
+        }
+
+
+RECORD = "archive string, at int, id string, url string, date string, page long, payload_bytes long, digest binary"
 
 
-def load_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of all archives below a path, with what WARC asks for; without payloads where not needed."""
+def load_arc(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the archives below a path, without headers and payloads."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows: list[dict] = []
-                for fields, body in read_arc(content.as_py()):
-                    headers, own = http_parts(body)
-                    digest = hashlib.sha1(own).digest()
-                    page = header_of(headers, PAGE_HEADER) or ""
-                    date = iso_date(fields["Archive-date"])
-                    rows.append({
-                        "id": record_id(fields["URL"], date, headers, digest), "url": fields["URL"], "date": date,
-                        "content_type": fields["Content-type"], "page": int(page) if re.fullmatch(r"-?\d+", page) else None,
-                        "headers": headers, "payload": own if payload else None, "payload_bytes": len(own), "digest": digest,
-                    })
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+            for content, archive in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows = [{n: r[n] for n in schema.names} for r in _records(archive, content.as_py())]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))])
     return _load(spark, path).mapInArrow(run, RECORD)
 
 
-def revisits(records: DataFrame, headers: DataFrame, order: Column) -> DataFrame:
-    """Records with `original`, the one of equal payload with the largest `order`; NULL for itself.
+def revisits(records: DataFrame, order: str = "page") -> DataFrame:
+    """Per archive with any, its `revisits`: place of each record whose payload an `original` has.
 
-    `headers` has the same records without payloads, so that those need not be read for the sums.
+    The original of equal payloads is the one with the largest `order`, an unknown one counting
+    least, of equal ones that with the last address and place.
     """
-    long_ones = headers.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    first = long_ones.groupBy("digest").agg(F.max(F.struct(order.alias("order"), "id", "url", "date")).alias("original"), F.count("*").alias("n"))
-    # Only payloads that more than one record has.
-    first = first.where("n > 1").select(F.col("digest").alias("of"), "original")
-    joined = records.join(first, (records["digest"] == first["of"]) & (records["payload_bytes"] >= LEAST_REVISIT), "left")
-    return joined.withColumn("original", F.when(F.col("original.id") != F.col("id"), F.col("original"))).drop("of")
+    ranked = F.struct(order, "url", "id", "date", "archive", "at")
+    long_ones = records.where(F.col("payload_bytes") >= LEAST_REVISIT)
+    first = long_ones.groupBy("digest").agg(F.max(ranked).alias("original"), F.count("*").alias("n")).where("n > 1")
+    again = long_ones.join(first, "digest").where("archive <> original.archive or at <> original.at")
+    return again.groupBy("archive").agg(F.collect_list(F.struct("at", "original.id", "original.url", "original.date")).alias("revisits"))
 
 
-def save_warc(df: DataFrame, path: str) -> None:
-    """Write records, with `original` where they revisit one, as WARC archives."""
+def save_warc(spark: SparkSession, arc: str, chosen: DataFrame, path: str) -> None:
+    """Convert the ARC archives below `arc` to WARC; `chosen` says which records are revisits.
 
-    def make(row: dict) -> bytes:
-        original, headers = row["original"], row["headers"] or b""
+    Decisions go to the archives, by their names; no payload leaves its archive before it is written.
+    """
+
+    def record(row: dict, original: dict | None) -> bytes:
+        headers = row["headers"] or b""
         common = {
             "WARC-Type": "revisit" if original else "response" if headers else "resource", "WARC-Record-ID": row["id"],
             "WARC-Date": row["date"], "WARC-Target-URI": row["url"], "WARC-Payload-Digest": base32(row["digest"]),
@@ -270,13 +279,20 @@ def save_warc(df: DataFrame, path: str) -> None:
                      "WARC-Refers-To-Target-URI": original["url"], "WARC-Refers-To-Date": original["date"]}
         return warc_record(common | more, block)
 
+    def make(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for n in range(batch.num_rows):
+            archive, content, found = (batch.column(c)[n] for c in ("archive", "content", "revisits"))
+            originals = {r["at"]: r for r in found.as_py() or []}
+            for row in _records(archive.as_py(), content.as_py()):
+                yield record(row, originals.get(row["at"]))
+
     def head(task: int, n: int) -> bytes:
         made = hashlib.sha1(f"{path}{task}-{n}".encode()).digest()
         fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(bytes=made[:16], version=5)}>",
                   "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Filename": f"lexhaven-{task:05}-{n:05}.warc.gz", "Content-Type": "application/warc-fields"}
         return warc_record(fields, b"software: lexhaven\r\nformat: WARC File Format 1.0\r\n")
 
-    _save(df.select("id", "url", "date", "content_type", "headers", "payload", "digest", "original"), make, head, path)
+    _save(_load(spark, arc).join(chosen, "archive", "left").select("archive", "content", "revisits"), make, head, path)
 
 
 def load_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -289,7 +305,7 @@ def load_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column("content"):
                 rows = []
                 for fields, block in read_warc(content.as_py()):
                     if fields["warc-type"] == "warcinfo":
@@ -317,20 +333,21 @@ def archived(df: DataFrame, html: str = "html", url: str = "url", key: str = "pa
     """Write pages as ARC archives, turn these into WARC archives and read them back.
 
     Per page: key, payload_bytes, payload_digest, record_type, refers_to. A NULL page has an empty
-    payload, a NULL address is written as a dash. Keys are whole numbers and unique, and not NULL.
-    Other columns take no part; an empty table gives no rows.
+    payload, a NULL address is written as a dash. Keys are whole numbers. Each row is a record of its
+    own: of equal payloads under one key, one is the response and the others revisit it; an unknown
+    key counts as the least and is referred to as NULL. Other columns take no part; an empty table
+    gives no rows.
     """
     spark = df.sparkSession
     work = work_folder(spark)
     payload = F.coalesce(df[html], F.lit("")).cast("binary")
     head = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.lit(f"{PAGE_HEADER}: "), df[key].cast("string"),
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.lit(f"{PAGE_HEADER}: "), F.coalesce(df[key].cast("string"), F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"),
     )
     pages = df.select(df[url].alias("url"), F.lit("20240101000000").alias("date"), head.cast("binary").alias("headers"), payload.alias("payload"))
     save_arc(pages, f"{work}/arc")
-    records = revisits(load_arc(spark, f"{work}/arc"), load_arc(spark, f"{work}/arc", payload=False), F.col("page"))
-    save_warc(records, f"{work}/warc")
+    save_warc(spark, f"{work}/arc", revisits(load_arc(spark, f"{work}/arc")), f"{work}/warc")
     # Written without payloads, so that the archives are read once.
     back = written(load_warc(spark, f"{work}/warc"), f"{work}/back")
     targets = back.where("record_type = 'response'").select(F.col("id").alias("refers_id"), F.col("page").alias("refers_to"))

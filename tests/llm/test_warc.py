@@ -61,3 +61,17 @@ def test_pages(given, spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     assert archived(df) == brute(rows)
     assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_repeated_and_unknown_keys(spark):
+    long, other = "x" * 2000, "y" * 2000
+    rows = [(9, "u", long), (9, "u", long), (3, "u", long), (None, "u", long), (9, "u", other), (None, None, other), (None, "v", "short"), (5, "u", None), (5, "u", None)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    key = lambda r: (str(r[0]), *map(str, r[1:]))
+    bytes_ = lambda h: (len(h or ""), hashlib.sha1((h or "").encode()).hexdigest())
+    want = [
+        (9, *bytes_(long), "response", None), (9, *bytes_(long), "revisit", 9), (3, *bytes_(long), "revisit", 9), (None, *bytes_(long), "revisit", 9),
+        (9, *bytes_(other), "response", None), (None, *bytes_(other), "revisit", 9), (None, *bytes_("short"), "response", None),
+        (5, *bytes_(None), "response", None), (5, *bytes_(None), "response", None),
+    ]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
