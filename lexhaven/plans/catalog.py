@@ -16,6 +16,7 @@ from lexhaven.plans.ingest import ingest, ingest_files
 from lexhaven.plans.inputs import DIM, table
 from lexhaven.sources import files as files_source
 from lexhaven.sources import manifest as manifests
+from lexhaven.schemas import RUNLOG
 from lexhaven.sources import collections, runlog, store, tables
 from lexhaven.streaming import edits
 from lexhaven.streaming.files import store_stream
@@ -528,6 +529,23 @@ def error_files(spark, folder):
     return report.files_with_errors(files, failed).select("doc_id", "source", F.sha2("text", 256).alias("hash"))
 
 
+@query
+def error_tree(spark, folder):
+    """Toxic documents as files with parse errors, written as files and read back."""
+    work = tables.shared_folder(spark)
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".gs")))
+    files = table(spark, folder, "documents").select("doc_id", name.alias("relative_path"), "text").withColumn("path", F.col("relative_path"))
+    failed = files.join(table(spark, folder, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    blank = {c.name: F.lit(None).cast(c.dataType) for c in RUNLOG}
+    log = failed.select(*[c.alias(n) for n, c in (blank | {
+        "ts": F.current_timestamp(), "session_id": F.lit("one"), "file_path": F.col("path"), "relative_path": F.col("path"),
+        "status": F.lit("parse_error"), "error_message": F.lit("bad"),
+    }).items()])
+    runlog.write_error_tree(files, log, f"{work}/errors")
+    found = files_source.discover_files(spark, f"{work}/errors", [".gs"])
+    return found.select("relative_path", "length", F.sha2("content", 256).alias("hash"))
+
+
 @query
 def report_json(spark, folder):
     """JSON report of all sessions, read back."""

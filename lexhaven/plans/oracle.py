@@ -546,6 +546,8 @@ FROM log GROUP BY session_id""",
     "error_triage": _TRIAGE,
     "error_files": """SELECT doc_id, source, sha256(text) AS hash FROM documents
 WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "error_tree": """SELECT source || '/' || lang || '/' || doc_id || '.gs' AS relative_path, octet_length(encode(text))::BIGINT AS length,
+  sha256(text) AS hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "report_json": _REPORT,
     "ingest_store": _INGEST_STORE,
     "ingest_log": _INGEST_LOG,

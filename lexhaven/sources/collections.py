@@ -30,7 +30,8 @@ METADATA = "metadata"
 FILES = "collection string, metadata string, version long, file string, rows long, bytes long, modified timestamp"
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path, and the path in it."""
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path.rstrip("/")
     fs, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and "://" not in path else path)
@@ -60,7 +61,7 @@ class CollectionsReader(DataSourceReader):
         self.wanted = wanted
 
     def partitions(self) -> list[Collection]:
-        fs, root = _opened(self.root)
+        fs, root = opened(self.root)
         out = []
         for name, info in sorted(_children(fs, root).items()):
             if info.type == pafs.FileType.Directory and not name.startswith(("_", ".")) and (self.wanted is None or name in self.wanted):
@@ -71,7 +72,7 @@ class CollectionsReader(DataSourceReader):
     def read(self, partition: Collection) -> Iterator[tuple]:
         if not partition.path:
             return
-        fs, path = _opened(partition.path)
+        fs, path = opened(partition.path)
         inside = _children(fs, path)
         metadata = None
         if METADATA in inside:

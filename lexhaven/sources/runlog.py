@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexhaven.operators.report import files_with_errors, parse_errors, report_lines, session_rows
 from lexhaven.schemas import RUNLOG, STATUSES, checked, conform
 from lexhaven.sources import tables
+from lexhaven.sources.trees import write_tree
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +40,12 @@ def export_session(log: DataFrame, path: str, session_id: str | None = None) ->
     ordered.write.mode("errorifexists").text(path)
 
 
+def write_error_tree(files: DataFrame, log: DataFrame, path: str, session_id: str | None = None) -> None:
+    """Write the files that had parse errors as files, below `path` as they lay below their root."""
+    failed = parse_errors(log, session_id).select(F.col("file_path").alias("path"))
+    write_tree(files_with_errors(files, failed), path)
+
+
 def write_error_files(
     files: DataFrame, log: DataFrame, path: str, session_id: str | None = None
 ) -> None:
