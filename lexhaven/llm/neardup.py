@@ -8,10 +8,9 @@ is left each set keeps its rarest values, as many as suffice for two sets that m
 enough to meet under one of them (prefix), so frequent values are skipped wherever rarer ones do.
 
 Under a value, sets are compared with a few leaders and not all with all. What then is still in
-different groups under one value is compared in blocks of bounded size, by counting agreements
-on a longer signature that only sets with a posting have, so no pair is lost and no large group
-meets in one task. A pair that meets under several values is given under the least of them. Pairs
-that agree often enough are confirmed on the full sets.
+different groups under one value is compared in blocks of bounded size. Pairs whose coordinates
+collide often enough are confirmed on the full sets, within the block; a block gives only links
+that join two of its groups, so neither pairs nor large groups leave a task whole.
 """
 
 from __future__ import annotations
@@ -27,83 +26,68 @@ from lexhaven.llm.common import batches_of, mix, shingles, signed, words_of, wor
 
 COORDINATES = 64
 MATCHES = 36
-# Minima of the longer signature, one byte of each; two sets as alike as asked agree in so many
-# but for a chance of about one in a million.
-FINE, FINE_MATCHES = 256, 173
 # Leaders are asked for again while they link one in so many sets.
 LEADER_ROUNDS, LEADER_YIELD = 4, 10
-# Sets of one value that meet in a task at a time, twice.
-BLOCK_SETS = 512
+# Shingles of one value's sets that meet in a task at a time, twice; a larger set stands alone.
+BLOCK_SHINGLES = 1 << 18
+# A set or group on more than one in so many rows is sent to all tasks; there are fewer than that.
+HOT_SHARE = 256
 
-_ALL = COORDINATES + FINE
-_MULTIPLY = (mix(np.arange(_ALL, dtype=np.uint64) + np.uint64(10_007)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_FLIP = (mix(np.arange(_ALL, dtype=np.uint64) + np.uint64(97_007)) >> np.uint64(32)).astype(np.uint32)
+_MULTIPLY = (mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(10_007)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FLIP = (mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(97_007)) >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(values: np.ndarray, places: np.ndarray, first: int = 0, many: int = COORDINATES) -> np.ndarray:
+def signatures(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Rows of minima, one for each text that has shingles (`places` without empty texts)."""
     short = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(places) - 1, many), np.uint32)
+    out = np.empty((len(places) - 1, COORDINATES), np.uint32)
     if len(out):
-        for n, k in enumerate(range(first, first + many)):
+        for k in range(COORDINATES):
             moved = (short ^ _FLIP[k]) * _MULTIPLY[k]
             moved ^= moved >> np.uint32(15)
             moved *= np.uint32(0x2C1B3C6D)
-            out[:, n] = np.minimum.reduceat(moved, places[:-1])
+            out[:, k] = np.minimum.reduceat(moved, places[:-1])
     return out
 
 
-def sketch(df: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per text: key, set size, two hashes of the set, and the signature (NULL for an empty set)."""
-    source = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
+def _sketched(width: int, whole: bool):
+    """Batches of `(key, text)` to sketches, with the sorted shingle hashes if `whole`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of(batch):
                 values, places = shingles(*words_of(part.column("text")), width)
-                sizes, one, two = [], [], []
-                for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
-                    own = np.unique(values[a:b])
-                    sizes.append(len(own))
-                    one.append(int(np.bitwise_xor.reduce(own)) if len(own) else 0)
-                    two.append(int(np.add.reduce(mix(own))) if len(own) else 0)
+                sets = [np.unique(values[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+                one = [int(np.bitwise_xor.reduce(own)) if len(own) else 0 for own in sets]
+                two = [int(np.add.reduce(mix(own))) if len(own) else 0 for own in sets]
                 some = np.diff(places) > 0
                 rows = signatures(values, np.concatenate([places[:-1][some], places[-1:]]))
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, COORDINATES, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"), pa.array(sizes, pa.int64()),
-                        pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int32))),
-                    ],
-                    ["key", "n", "one", "two", "signature"],
-                )
+                columns = {
+                    "key": part.column("key"), "n": pa.array([len(own) for own in sets], pa.int64()),
+                    "one": pa.array(signed(np.array(one, np.uint64))), "two": pa.array(signed(np.array(two, np.uint64))),
+                    "signature": pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int32))),
+                }
+                if whole:
+                    bounds = np.concatenate([[0], np.cumsum([len(own) for own in sets])]).astype(np.int32)
+                    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                    columns["shingles"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(flat)))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return source.mapInArrow(run, "key long, n long, one long, two long, signature array<int>")
+    return run
 
 
-def shingle_sets(df: DataFrame, width: int) -> DataFrame:
-    """Sorted shingle hashes and the longer signature of texts given as `(key, text)`; none is empty."""
+_SKETCH = "key long, n long, one long, two long, signature array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch):
-                values, places = shingles(*words_of(part.column("text")), width)
-                sets = [np.unique(values[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                some = np.diff(places) > 0
-                fine = np.zeros((len(sets), FINE), np.uint8)
-                fine[some] = signatures(values, np.concatenate([places[:-1][some], places[-1:]]), COORDINATES, FINE) & np.uint32(255)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat))),
-                        pa.array([row.tobytes() for row in fine], pa.binary()),
-                    ],
-                    ["key", "shingles", "fine"],
-                )
 
-    return df.select("key", "text").mapInArrow(run, "key long, shingles array<long>, fine binary")
+def sketch(df: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per text: key, set size, two hashes of the set, and the signature (empty for an empty set)."""
+    return df.select(df[key].cast("long").alias("key"), df[text].alias("text")).mapInArrow(_sketched(width, False), _SKETCH)
+
+
+def shingle_sets(df: DataFrame, width: int) -> DataFrame:
+    """Sketches and sorted shingle hashes of texts given as `(key, text)`."""
+    return df.select("key", "text").mapInArrow(_sketched(width, True), _SKETCH + ", shingles array<long>")
 
 
 def postings(sketches: DataFrame, matches: int) -> DataFrame:
@@ -118,20 +102,31 @@ def postings(sketches: DataFrame, matches: int) -> DataFrame:
     return own.where(F.size("own") >= matches).select("key", F.transform(prefix, lambda p: p["token"]).alias("tokens"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs `(a, b)` whose full sets are as alike as asked."""
-    a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Pairs `(a, b)` with enough colliding coordinates whose full sets are as alike as asked."""
+    a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"), F.col("signature").alias("by_a"))
+    b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"), F.col("signature").alias("by_b"))
+    collide = F.size(F.filter(F.zip_with("by_a", "by_b", lambda x, y: x == y), lambda same: same))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return (
         pairs.join(a, "a").join(b, "b")
         .where(100 * F.least(F.size("of_a"), F.size("of_b")) >= percent * F.greatest(F.size("of_a"), F.size("of_b")))
+        .where(collide >= matches)
         .select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))
         .select("a", "b")
     )
 
 
+def hot_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Left join in which the keys of `hot`, fewer than `HOT_SHARE` and all in `other`, are sent to all tasks.
+
+    `other` has a key once. No task meets all rows of a hot key.
+    """
+    known = rows.join(F.broadcast(other.join(F.broadcast(hot), on, "left_semi")), on)
+    return known.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(other, on, "left"))
+
+
 def components(nodes: DataFrame, links: DataFrame, work: str) -> DataFrame:
     """`(key, component)`: the smallest key reachable over links, by minima of neighbours and jumps.
 
@@ -160,54 +155,71 @@ def components(nodes: DataFrame, links: DataFrame, work: str) -> DataFrame:
     raise RuntimeError("links form a chain too long for 64 rounds")
 
 
-def _agreeing(matches: int):
-    """Pairs of one block and the probes sent to it, in different groups, that agree often enough."""
+def _linking(percent: int, matches: int):
+    """Links between groups of one block's sets and the probes sent to it, each joining two groups."""
 
     def run(rows: pa.Table) -> pa.Table:
         probe, keys, groups = (rows.column(n).to_numpy() for n in ("probe", "key", "component"))
-        pairs = set()
+        links, groups = [], groups.copy()
         if probe.any() and not probe.all():
-            fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(len(keys), -1)
-            token, shelf, tokens = rows.column("token")[0].as_py(), np.flatnonzero(~probe), rows.column("tokens")
-            on_shelf, others = fine[shelf], groups[shelf]
+            lists = rows.column("shingles").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            places = np.concatenate([[0], np.cumsum(sizes)])
+            # Shingles as small numbers, so that a probe's are looked up in a table of flags.
+            values, small = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            signature = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+            shelf = np.flatnonzero(~probe)
+            shelf = shelf[np.argsort(sizes[shelf], kind="stable")]
+            shelf_sizes = sizes[shelf]
+            flags = np.zeros(len(values), bool)
             for i in np.flatnonzero(probe).tolist():
-                for j in shelf[((on_shelf == fine[i]).sum(axis=1) >= matches) & (others != groups[i])].tolist():
-                    # The pair is given under the least of the values it shares.
-                    if min(set(tokens[i].as_py()).intersection(tokens[j].as_py())) == token:
-                        pairs.add((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+                low = np.searchsorted(shelf_sizes, -(-percent * sizes[i] // 100))
+                high = np.searchsorted(shelf_sizes, 100 * sizes[i] // percent, "right")
+                near = shelf[low:high]
+                near = near[groups[near] != groups[i]]
+                near = near[(signature[near] == signature[i]).sum(axis=1) >= matches]
+                own = small[places[i] : places[i + 1]]
+                flags[own] = True
+                for j in near.tolist():
+                    if groups[j] == groups[i]:
+                        continue
+                    both = int(np.count_nonzero(flags[small[places[j] : places[j + 1]]]))
+                    if 100 * both >= percent * (int(sizes[i]) + int(sizes[j]) - both):
+                        links.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                        groups[groups == groups[j]] = groups[i]
+                flags[own] = False
+        found = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def _rest(posted: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs still in different groups under one value, found block by block.
+def _rest(posted: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links between groups that still meet under one value, found block by block.
 
-    `posted` has `(token, key, component)`, `nodes` `(key, tokens, fine)`. The largest group
-    under a value is not compared with itself: probes are the others, sent to every block of
-    the value.
+    `posted` has `(token, key, component)`, `sets` `(key, n, signature, shingles)`. The largest
+    group under a value is not compared with itself: probes are the others, sent to every block
+    of the value.
     """
-    by_group = posted.groupBy("token", "component").agg(F.count("*").alias("n"))
+    sized = posted.join(sets.select("key", "n"), "key")
+    by_group = sized.groupBy("token", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
     main = by_group.groupBy("token").agg(
-        F.sum("n").alias("sets"), F.count("*").alias("groups"), F.max("n").alias("most"),
+        F.sum("sets").alias("sets"), F.count("*").alias("groups"), F.sum("n").alias("all"), F.max("n").alias("most"),
         F.max_by("component", F.struct("n", "component")).alias("main"),
     ).where("groups > 1 and sets > 2")  # a leader was compared with the other of two
-    blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
-    probes = F.ceil((F.col("sets") - F.col("most")) / BLOCK_SETS).cast("int")
-    rows = (
-        posted.join(main, "token").join(nodes, "key")
-        .select("token", "key", "component", "tokens", "fine", blocks.alias("blocks"), probes.alias("probes"),
-                (F.col("component") != F.col("main")).alias("outside"))
+    blocks = F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int")
+    probes = F.ceil((F.col("all") - F.col("most")) / BLOCK_SHINGLES).cast("int")
+    dealt = posted.join(main, "token").select(
+        "token", "key", "component", blocks.alias("blocks"), probes.alias("probes"), (F.col("component") != F.col("main")).alias("outside")
     )
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     probe_at = F.pmod(F.xxhash64("key", F.lit(1)), F.col("probes")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = ("token", "key", "component", "tokens", "fine")
-    shelf = rows.select(*own, F.lit(False).alias("probe"), at.alias("block"), F.explode(every("probes")).alias("part"))
-    sent = rows.where("outside").select(*own, F.lit(True).alias("probe"), F.explode(every("blocks")).alias("block"), probe_at.alias("part"))
-    found = shelf.union(sent).groupBy("token", "block", "part").applyInArrow(_agreeing(FINE_MATCHES), "a long, b long")
-    return found.distinct().join(tested, ["a", "b"], "left_anti")
+    own = ("token", "key", "component")
+    shelf = dealt.select(*own, F.lit(False).alias("probe"), at.alias("block"), F.explode(every("probes")).alias("part"))
+    sent = dealt.where("outside").select(*own, F.lit(True).alias("probe"), F.explode(every("blocks")).alias("block"), probe_at.alias("part"))
+    rows = shelf.union(sent).join(sets.select("key", "signature", "shingles"), "key")
+    return rows.groupBy("token", "block", "part").applyInArrow(_linking(percent, matches), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -218,26 +230,41 @@ def near_duplicates(
 
     Words are taken without regard to the case of A-Z. A text with fewer words than `width` has
     its sequence as one shingle; NULL, empty and blank texts have none and are linked with
-    nothing. Repeated texts are alike. Keys are whole numbers; rows that repeat a key count as one
-    document. Rows with a NULL key stand alone with a NULL component. Other columns take no part.
-    An empty table gives no rows.
+    nothing. Repeated texts are alike. Keys are whole numbers; rows that repeat a key are one
+    document, whose links are those of all its texts; its rows without shingles stand alone.
+    Rows with a NULL key stand alone with a NULL component. Other columns take no part. An empty
+    table gives no rows.
     """
     spark = df.sparkSession
     work = work_folder(spark)
     all_rows = written(sketch(df, width, text, key), f"{work}/sketches")
     filled = all_rows.where("n > 0 and key is not null")
-    leads = filled.groupBy("one", "two", "n").agg(F.min("key").alias("lead"))
-    members = filled.join(leads, ["one", "two", "n"]).select("key", "lead").distinct()
-    different = filled.join(leads.select(F.col("lead").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    same = ["one", "two", "n"]
+    # A number for each different set, fixed by writing it down; all its rows have one signature.
+    leads = filled.groupBy(*same).agg(F.min("key").alias("lead"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    different = written(leads.withColumn("key", F.monotonically_increasing_id()), f"{work}/different")
+    hot = different.where(F.col("copies") * HOT_SHARE > all_rows.count()).select(*same)
     posts = written(postings(different, matches), f"{work}/postings")
     posted = posts.select("key", F.explode("tokens").alias("token"))
+    chosen = different.join(posts.select("key"), "key", "left_semi").select(*same, "lead", F.col("key").alias("id"))
     texts = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).where("text is not null")
-    # A key's rows with other sets than its own are those of repeated keys; one of them stands for it.
-    picked = texts.join(posts.select("key"), "key", "left_semi")
-    sets = written(shingle_sets(picked, width).where("size(shingles) > 0").dropDuplicates(["key"]), f"{work}/sets")
-    nodes = posts.join(sets.select("key", "fine"), "key")
-    label = posts.select("key", F.col("key").alias("component"))
-    links = tested = None
+    picked = texts.join(chosen.select(F.col("lead").alias("key")).distinct(), "key", "left_semi")
+    # A key's rows may have several sets; the hashes tell which of them were chosen.
+    drawn = shingle_sets(picked, width).withColumnRenamed("key", "lead").dropDuplicates(["lead", *same])
+    sets = written(drawn.join(chosen, ["lead", *same]).select(F.col("id").alias("key"), "n", "signature", "shingles"), f"{work}/sets")
+    # Texts under one key are linked.
+    several = filled.groupBy("key").agg(F.min(F.struct(*same)).alias("low"), F.max(F.struct(*same)).alias("high")).where("low <> high")
+    numbers = different.select(*same, F.col("key").alias("id"))
+    of_several = hot_join(filled.join(several.select("key"), "key", "left_semi").select("key", *same).distinct(), numbers, same, hot)
+    of_several = written(of_several.select("key", "id"), f"{work}/several")
+    low = of_several.groupBy("key").agg(F.min("id").alias("a"))
+    links = of_several.join(low, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    links = written(links, f"{work}/own")
+    nodes = posts.select("key").union(of_several.select(F.col("id").alias("key"))).distinct()
+    label = nodes.select("key", F.col("key").alias("component"))
+    if not links.isEmpty():
+        label = components(nodes, links, f"{work}/start")
+    tested = None
     for step in range(LEADER_ROUNDS):
         # The leader of a value is another one each round; those in its group already need no test.
         with_label = posted.join(label, "key")
@@ -251,24 +278,29 @@ def near_duplicates(
         ).distinct()
         asked = asked if tested is None else asked.join(tested, ["a", "b"], "left_anti")
         asked = written(asked, f"{work}/asked{step}")
-        found = written(_confirmed(asked, sets, percent), f"{work}/found{step}")
+        found = written(_confirmed(asked, sets, percent, matches), f"{work}/found{step}")
         tested = asked if tested is None else tested.union(asked)
         linked = found.count()
         if linked:
-            links = found if links is None else links.union(found)
-            label = components(posts, links, f"{work}/round{step}")
+            links = links.union(found)
+            label = components(nodes, links, f"{work}/round{step}")
         if linked * LEADER_YIELD < asked.count():
             break
-    rest = written(_rest(posted.join(label, "key"), nodes, tested), f"{work}/rest")
-    found = written(_confirmed(rest, sets, percent), f"{work}/found-rest")
+    found = written(_rest(posted.join(label, "key"), sets, percent, matches), f"{work}/rest")
     if not found.isEmpty():
-        links = found if links is None else links.union(found)
-        label = components(posts, links, f"{work}/last")
-    lead_label = label.select(F.col("key").alias("lead"), "component")
-    placed = members.join(lead_label, "lead", "left").groupBy("key").agg(F.min(F.coalesce("component", "lead")).alias("component"))
-    return all_rows.join(placed, "key", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "key").alias("component_id"),
+        label = components(nodes, links.union(found), f"{work}/last")
+    # The smallest document of each group of sets, then of each set, then of each row.
+    placed = written(label.join(different.select("key", "lead"), "key"), f"{work}/placed")
+    least = placed.groupBy("component").agg(F.min("lead").alias("least"), F.count("*").alias("many"))
+    large = least.where(F.col("many") * HOT_SHARE > placed.count()).select("component")
+    by_set = hot_join(placed.select("key", "component"), least.select("component", "least"), ["component"], large)
+    answer = different.select(*same, "lead", "key").join(by_set.select("key", "least"), "key", "left").select(
+        *same, F.coalesce("least", "lead").alias("component")
+    )
+    linked_rows = hot_join(filled.select("key", *same), written(answer, f"{work}/answer"), same, hot).select("key", "n", "component")
+    alone = all_rows.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
+    return linked_rows.union(alone).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from lexhaven.llm import neardup
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,7 +69,7 @@ def test_group_whose_members_are_not_all_alike(docs):
 
 def test_blocks_find_what_leaders_miss(docs, monkeypatch):
     monkeypatch.setattr(neardup, "LEADER_ROUNDS", 1)
-    monkeypatch.setattr(neardup, "BLOCK_SETS", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 450)
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(10**6)}"
     base, rows = [word() for _ in range(150)], []
@@ -85,3 +87,29 @@ def test_edges(edges, docs):
     assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in repeated.collect()) == [
         (False, 1, 1), (False, 1, 1), (False, 2, 2), (True, None, None)]
     assert neardup.near_duplicates(docs([])).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(docs):
+    """Each text of an id keeps its links, and all of them hold for the id."""
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    one, two, three = text(), text(), text()
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, near(one)), (8, near(two)), (9, " ".join(three)), (9, near(three)),
+            (5, None), (2, " ".join(text())), (None, " ".join(one))]
+    got = neardup.near_duplicates(docs(rows), width=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == [
+        (2, 97, 2), (3, 97, 3), (5, 0, 5), (5, 97, 3), (5, 97, 3), (8, 97, 3), (9, 97, 9), (9, 97, 9)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_blocks_give_no_more_links_than_sets(spark):
+    """All pairs of a block are alike, or nearly so; only what joins groups leaves it."""
+    run = neardup._linking(80, 0)
+    def block(words):
+        rows = [(1, i, i, i < 20, [0], w) for i, w in enumerate(words)]
+        names = ("token", "key", "component", "probe", "signature", "shingles")
+        return pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    alike = run(block([list(range(100)) + [1000 + i] for i in range(40)]))
+    assert alike.num_rows == 39
+    assert run(block([list(range(70)) + list(range(1000 * i + 100, 1000 * i + 130)) for i in range(40)])).num_rows == 0
