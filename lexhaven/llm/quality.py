@@ -221,12 +221,14 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled(df: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> list[dict]:
-    """Features of at most `sample` rows of each label, chosen by a hash of the key."""
+    """Features of at most `sample` keys of each label, chosen by a hash; of repeated keys the least text."""
     given = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label in (0, 1) and key is not null")
     given = given.groupBy("key").agg(F.min("label").alias("label"))
     chosen = [given.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(sample) for v in (0, 1)]
     # At most 2 x `sample` keys.
     picked = df.select(df[key].alias("key"), df[text].alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "key")
+    # One row of each key, whatever the number of its rows.
+    picked = picked.groupBy("key").agg(F.min("text").alias("text"))
     measured = statistics(picked, "text", "key")
     joined = measured.join(F.broadcast(chosen[0].union(chosen[1])), "key")
     rows = joined.where(~base_failed()).select(

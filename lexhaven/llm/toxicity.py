@@ -261,7 +261,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def training_rows(df: DataFrame, labels: DataFrame, train: Column, key: str, text: str, label: str, most: int):
-    """Texts and labels of at most `most` rows of each label, chosen by a hash of the key.
+    """Texts and labels of at most `most` keys of each label, chosen by a hash; of repeated keys the least text.
 
     Also how many of all rows one without the label stands for, against one with it.
     """
@@ -270,7 +270,9 @@ def training_rows(df: DataFrame, labels: DataFrame, train: Column, key: str, tex
     held = given.join(source.select("key"), "key", "left_semi").groupBy("key").agg(F.max("label").alias("label"))
     chosen = [held.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(most) for v in (0, 1)]
     # At most 2 x `most` keys.
-    rows = source.join(F.broadcast(chosen[0].union(chosen[1])), "key").select("key", "text", "label").collect()
+    picked = source.join(F.broadcast(chosen[0].union(chosen[1])), "key")
+    # One row of each key, whatever the number of its rows.
+    rows = picked.groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: r["key"])
     counts = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
     own = [sum(r["label"] == v for r in rows) for v in (0, 1)]

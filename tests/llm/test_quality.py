@@ -67,3 +67,9 @@ def test_edges(edges, docs, spark):
     assert quality.quality(docs([]), labels).count() == 0
     kept = quality.filtered(edges, labels)
     assert kept.columns == edges.columns and kept.count() == 0
+
+
+def test_one_id_on_many_rows_is_learned_from_once(spark):
+    many = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a b c d e f g h i j k l m n o p q r s t u v "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 0), (1, 0)], "doc_id long, quality int")
+    assert len(quality.labelled(many, labels, "text", "doc_id", "quality", 2000)) == 1

@@ -66,3 +66,10 @@ def test_edges(edges, docs, spark):
     alone = toxicity.toxicity(edges, labels.limit(0), F.lit(True), F.lit(False)).collect()
     assert {r.predicted for r in alone} == {0}
     assert toxicity.toxicity(docs([]), labels, F.lit(True), F.lit(False)).count() == 0
+
+
+def test_one_id_on_many_rows_is_learned_from_once(spark):
+    many = spark.range(10_000).select((F.col("id") % 10_000 == 0).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    texts, marks, _ = toxicity.training_rows(many, labels, F.lit(True), "doc_id", "text", "toxic", 2000)
+    assert (texts, marks) == (["1", "0"], [1, 0])
