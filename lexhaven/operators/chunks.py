@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lexhaven.functions import identity
 from lexhaven.functions.arrays import once, totals_before
@@ -85,6 +88,51 @@ def chunk_with(files: DataFrame, fn) -> DataFrame:
     return assemble_chunks(files.mapInPandas(run, CHUNKS))
 
 
+def register_chunker(spark: SparkSession, name: str, fn) -> None:
+    """Make a chunker of your own a table function of SQL.
+
+    `fn(text, language)` gives `(content, chunk_type, line_start, line_end)` of each unit, lines
+    counted from 1. `SELECT * FROM name(TABLE(files))` reads each row as a file, without a
+    shuffle. Files that come in several rows go by `PARTITION BY relative_path ORDER BY` the part:
+    line numbers and `chunk_index` then run on from part to part, a part ending its last line.
+    Columns other than `relative_path`, `language` and `text` pass to every unit as they are. A
+    NULL text has no units; an empty table gives no rows.
+    """
+    needed, made = ("relative_path", "language", "text"), ("content", "chunk_type", "line_start", "line_end", "chunk_index")
+
+    class Chunker:
+        def __init__(self):
+            self.path, self.lines, self.index = None, 0, 0
+
+        @staticmethod
+        def analyze(files: AnalyzeArgument) -> AnalyzeResult:
+            if not files.isTable:
+                raise ValueError(f"{name} takes a table: {name}(TABLE(files))")
+            given = files.dataType.fields
+            names = [f.name for f in given]
+            if missing := [n for n in needed if n not in names]:
+                raise ValueError(f"{name} needs the columns {', '.join(missing)}")
+            if clash := [n for n in made if n in names]:
+                raise ValueError(f"{name} makes the columns {', '.join(clash)} itself")
+            kinds = (T.StringType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.IntegerType())
+            own = [T.StructField(n, kind) for n, kind in zip(made, kinds, strict=True)]
+            return AnalyzeResult(T.StructType([f for f in given if f.name != "text"] + own))
+
+        def eval(self, row):
+            if row["relative_path"] != self.path:
+                self.path, self.lines, self.index = row["relative_path"], 0, 0
+            text = row["text"]
+            if text is None:
+                return
+            passed = tuple(v for n, v in row.asDict().items() if n != "text")
+            for content, kind, first, last in fn(text, row["language"]):
+                yield (*passed, content, kind, self.lines + first, self.lines + last, self.index)
+                self.index += 1
+            self.lines += text.count("\n") + 1
+
+    spark.udtf.register(name, udtf(Chunker))
+
+
 def piece_count(length: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """How many pieces a text of that length is split into."""
     many = F.ceil((length - overlap) / F.lit(size - overlap)).cast("int")

@@ -699,6 +699,23 @@ def own_chunker(spark, folder):
     )
 
 
+@query
+def own_chunker_sql(spark, folder):
+    """The same chunker as a table function, asked in SQL; a file's rows meet by its name."""
+
+    def lines(text, language):
+        return [(line, "line", n, n) for n, line in enumerate(text.split("\n"), 1)]
+
+    chunks.register_chunker(spark, "lexhaven_lines", lines)
+    return spark.sql(
+        """SELECT relative_path, sha2(content, 256) AS hash, CAST(line_start AS bigint) AS line
+        FROM lexhaven_lines(TABLE(
+          SELECT concat(source, '/', CAST(doc_id AS string)) AS relative_path, lang AS language, text FROM {documents}
+        ) PARTITION BY relative_path)""",
+        documents=table(spark, folder, "documents"),
+    )
+
+
 @query
 def ingest_tree(spark, folder):
     """Documents written as files by Spark, then found, read and their lines counted."""

@@ -559,6 +559,9 @@ SELECT 'pieces' AS name, count(*) AS rows, least(count(*), 3) AS samples FROM pi
   true AS several_files FROM documents GROUP BY lang""",
     "own_chunker": """SELECT relative_path, sha256(lines[i]) AS hash, i AS line FROM (
   SELECT source || '/' || doc_id AS relative_path, lines, unnest(range(1, len(lines) + 1)) AS i
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
+    "own_chunker_sql": """SELECT relative_path, sha256(lines[i]) AS hash, i AS line FROM (
+  SELECT source || '/' || doc_id AS relative_path, lines, unnest(range(1, len(lines) + 1)) AS i
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
     "replace_on_disk": """WITH d AS (
   SELECT source || '/' || lang AS absolute_path, source || '/' || doc_id AS relative_path,

@@ -152,6 +152,22 @@ def test_own_chunker(spark):
     ).hexdigest()
 
 
+def test_own_chunker_in_sql(spark):
+    def lines(text, language):
+        return [(line, language, n, n) for n, line in enumerate(text.split("\n"), 1)]
+
+    chunks.register_chunker(spark, "lines_of", lines)
+    rows = [("b", 1, "x", "five"), ("a", 2, "x", "three"), ("a", 1, "x", "one\ntwo"), ("c", 1, "x", None), ("d", 1, "x", "")]
+    spark.createDataFrame(rows, "relative_path string, part int, language string, text string").createOrReplaceTempView("parts")
+    got = spark.sql("SELECT * FROM lines_of(TABLE(parts) PARTITION BY relative_path ORDER BY part)")
+    assert got.columns == ["relative_path", "part", "language", "content", "chunk_type", "line_start", "line_end", "chunk_index"]
+    assert sorted((r.relative_path, r.part, r.content, r.line_start, r.chunk_index) for r in got.collect()) == [
+        ("a", 1, "one", 1, 0), ("a", 1, "two", 2, 1), ("a", 2, "three", 3, 2), ("b", 1, "five", 1, 0), ("d", 1, "", 1, 0)]
+    assert spark.sql("SELECT * FROM lines_of(TABLE(SELECT * FROM parts WHERE part > 9))").count() == 0
+    with pytest.raises(Exception, match="needs the columns text"):
+        spark.sql("SELECT * FROM lines_of(TABLE(SELECT relative_path, language FROM parts))").collect()
+
+
 def test_chunks_per_file(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "absolute_path string")
     assert {tuple(r) for r in chunks.chunks_per_file(df).collect()} == {("a", 2), ("b", 1)}
