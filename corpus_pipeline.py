@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal data, their lengths brought up to date."""
-    made = pii.pseudonymised(docs, queries.SECRET).drop("pii_kinds")
+    made = pii.pseudonymised(docs, queries.secret(spark)).drop("pii_kinds")
     return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -10,6 +10,8 @@ from lexhaven.llm import collocations, decontam, html, lm, neardup, packing, pii
 from lexhaven.llm.common import fold
 
 VOCABULARY = "word_bpe_49k.json"
+# Whoever knows the key can undo pseudonyms, so real data needs one of its own by this setting.
+SECRET_SETTING = "spark.lexhaven.pseudonymKey"
 SECRET = "lexhaven registered query"
 
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def secret(spark: SparkSession) -> str:
+    """The session's key for pseudonyms; without one, a known key that hides nothing."""
+    return spark.conf.get(SECRET_SETTING, SECRET)
+
+
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words and greedy pieces of every document."""
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -37,7 +44,7 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with pseudonyms, and the kinds of data found."""
-    made = pii.pseudonymised(table(spark, folder, "documents"), SECRET)
+    made = pii.pseudonymised(table(spark, folder, "documents"), secret(spark))
     return made.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

@@ -78,3 +78,16 @@ def test_edges(edges, docs):
     digits = " ".join(str(random.Random(n).randrange(10**15)) for n in range(3000))
     assert rewrite(docs, [(1, digits)])[1].text
     assert pii.pseudonymised(docs([]), "s").count() == 0
+
+
+def test_key_is_a_setting(spark):
+    from lexhaven.llm import queries
+
+    found = lambda: {r.doc_id: r.text for r in queries.op4_pii(spark, "/root/testdata/sf0.001").where("n_found > 0").collect()}
+    first = found()
+    spark.conf.set(queries.SECRET_SETTING, "another key")
+    try:
+        second = found()
+    finally:
+        spark.conf.unset(queries.SECRET_SETTING)
+    assert first.keys() == second.keys() and first and all(first[i] != second[i] for i in first)
