@@ -1,27 +1,30 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are summed over the training texts by Spark. The filter holds
-each n-gram once per level of its quantised count, 1 + floor(log_b count); a count is read back
-by probing level after level until one is absent (Talbot and Osborne, 2007). The filter is put
-together segment by segment on the executors. What the probes give is smoothed by absolute
-discounting: of a pair's count a discount, known from the counts of counts, is taken off, and
-what all pairs of a first word leave of its count goes to words by their own share. The filter
-holds that sum for each first word too.
-
-All n-grams are held, pairs seen once too, and the filter has the bits they need. Up to
-`max_bits` it is sent to all tasks. A larger one stays a table of segments of a few megabytes:
-texts are cut into blocks, the different n-grams of a block go to their segments, and the levels
-found come back to the block. Both ways read the same bits and give the same scores.
-
-The base score needs the exact count of every word, however many there are. Words with at
-least a share of 1 / `HEAVY` of all tokens are at most `HEAVY` many and go to every task; the
-others, none of which is frequent, meet their counts in a join.
+Counts of words and of word pairs are summed over the training texts. Pairs go into a filter that
+holds each once per level of its quantised count, 1 + floor(log_b count); a count is read back by
+probing level after level until one is absent (Talbot and Osborne, 2007). What the probes give is
+smoothed by absolute discounting: of a pair's count a discount, known from the counts of counts, is
+taken off, and what that leaves, discount * different followers / count of the first word, goes to
+words by their own share.
+
+The model lies in segments. A light word's count, its number of followers and its pairs are all in
+one segment; a word with at least a share of 1 / `HEAVY` of all tokens, of which there are `HEAVY`
+at most, goes to every task, and its pairs to as many segments as it has shares of one. So no
+segment outgrows the others, and all have about `SEGMENT_TOKENS` tokens at any size of the corpus.
+
+Texts are scored in blocks of a few megabytes. A block asks each segment for its different words
+and pairs and gets counts and levels in the order asked, with no keys. A model of at most
+`max_bytes` is sent to all tasks, which answer for themselves; a larger one stays a table that the
+questions meet by segment in a shuffle. Both ways ask and answer by the same functions and give the
+same scores. Keys travel sorted, as differences, in bytes of equal place.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +37,13 @@ from lexhaven.llm.common import batches_of, mix, mix_one, signed, words_of, work
 END = mix_one(0xE0F)
 HEAVY = 1 << 17
 LOG_BASE = 1.5
-PROBES = 2
-SEGMENTS = 64
-MIN_BITS, MAX_BITS = 1 << 22, 1 << 28
-BITS_PER_ENTRY = 8
+PROBES = 3
+BITS_PER_ENTRY = 12
 TOP_LEVEL = 64
-# Of a filter that is a table: most bits of a segment, text of a block, keys in a row, rows probed at once.
-SEGMENT_BITS = 1 << 25
+LEAST_SEGMENTS, SEGMENT_TOKENS = 8, 1 << 21
 BLOCK_BYTES = 1 << 23
-KEYS_A_ROW = 512
-ROWS_AT_ONCE = 256
-
-
-# Above the 32 bits of a first word, in the keys of what its pairs take.
-TAKEN = 0x5EED1E55
+# Bytes of a model that is sent to all tasks.
+MAX_BYTES = 1 << 24
 
 
 def first_words(hashes: np.ndarray) -> np.ndarray:
@@ -55,16 +51,6 @@ def first_words(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes) >> np.uint64(32)
 
 
-def pairs(hashes: np.ndarray) -> np.ndarray:
-    """Key of each pair of neighbours: 32 bits of the first word, 32 of both."""
-    both = mix(mix(hashes[:-1]) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    return (first_words(hashes[:-1]) << np.uint64(32)) | (both >> np.uint64(32))
-
-
-def taken_keys(hashes: np.ndarray) -> np.ndarray:
-    return np.uint64(TAKEN << 32) | first_words(hashes)
-
-
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with the end after each text, and the place of each text's first."""
     hashes, first = words_of(texts)
@@ -72,27 +58,152 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, first[1:], np.uint64(END)), first + np.arange(n + 1)
 
 
-def ngram_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of words (`size` 1) and pairs (2) of all texts by hash; words before the first are the end."""
+def befores(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word, the end before a text's first."""
+    before = np.concatenate([[np.uint64(END)], words])[: len(words)]
+    before[first[:-1]] = np.uint64(END)
+    return before
+
+
+def pairs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Key of each word with the one before: 32 bits of the first word, 32 of both."""
+    before = befores(words, first)
+    both = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + words)
+    return (first_words(before) << np.uint64(32)) | (both >> np.uint64(32))
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits with their high bytes, mostly zero, together, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8").astype(np.uint64)
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data), dtype=np.uint64)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sum of the counts of each."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], np.concatenate(counts).astype(np.int64)[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+    return every[begins], np.add.reduceat(n, begins) if len(begins) else n
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
+class Heavy(NamedTuple):
+    """Frequent words, the end always among them, and how segments are dealt."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    firsts: np.ndarray  # sorted, apart from the keys
+    parts: np.ndarray  # segments over which the pairs of each first word lie
+    segments: int
+
+    def segment_of_words(self, words: np.ndarray) -> np.ndarray:
+        return (first_words(words) & np.uint64(self.segments - 1)).astype(np.int64)
+
+    def segment_of_pairs(self, keys: np.ndarray) -> np.ndarray:
+        first = keys >> np.uint64(32)
+        place, is_heavy = find(self.firsts, first)
+        parts = np.where(is_heavy, self.parts[place], np.uint64(1))
+        return ((first + (keys & np.uint64(0xFFFFFFFF)) % parts) & np.uint64(self.segments - 1)).astype(np.int64)
+
+
+def heavy_of(words: DataFrame, total: int) -> Heavy:
+    """At most HEAVY words can each have a share of 1 / HEAVY of all tokens."""
+    least = max(1, -(-total // HEAVY))
+    found = {r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in words.where(F.col("n") >= least).collect()}
+    if END not in found:
+        ends = words.where(F.col("key") == int(signed(np.array([END], np.uint64))[0])).first()
+        found[END] = ends["n"] if ends is not None else 0
+    keys = np.array(sorted(found), np.uint64)
+    counts = np.array([found[k] for k in keys.tolist()], np.int64)
+    segments = 1 << (max(LEAST_SEGMENTS, total // SEGMENT_TOKENS) - 1).bit_length()
+    firsts, shared = summed([first_words(keys)], [counts])
+    parts = np.clip(-(-shared * segments // max(1, total)), 1, segments).astype(np.uint64)
+    return Heavy(keys, counts, firsts, parts, segments)
+
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Exact counts of all words by hash: `(key, n)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Summed over several megabytes before rows are made, with bounded memory.
         for batch in batches:
-            for part in batches_of(batch, limit=1 << 23):
-                words, _ = tokens_of(part.column("text"))
-                before = np.concatenate([[np.uint64(END)], words])
-                for size, keys in ((1, words), (2, pairs(before))):
-                    found, counts = np.unique(keys, return_counts=True)
-                    for at in range(0, len(found), 1 << 18):
-                        key = signed(found[at : at + (1 << 18)])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(key), size, np.int8)), pa.array(key),
-                             pa.array(counts[at : at + (1 << 18)].astype(np.int64))],
-                            ["size", "key", "n"],
-                        )
-
-    rows = df.select(df[text].alias("text")).mapInArrow(run, "size byte, key long, n long")
-    return rows.groupBy("size", "key").agg(F.sum("n").alias("n"))
+            for part in batches_of(batch, limit=BLOCK_BYTES):
+                found, counts = np.unique(tokens_of(part.column("text"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+    rows = df.select(df[text].alias("text")).mapInArrow(run, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def by_segment(segment: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by segment that keeps the order within it, and each segment with its begin and end there."""
+    order = np.argsort(segment, kind="stable")
+    own = segment[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]]).tolist() if len(own) else []
+    return order, [(int(own[a]), a, z) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+COUNTED = "segment long, size byte, keys binary, counts binary"
+
+
+def _counted(size: int, keys: np.ndarray, counts: np.ndarray, segment: np.ndarray) -> pa.RecordBatch:
+    order, cuts = by_segment(segment)
+    keys, counts = keys[order], counts[order]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([s for s, _, _ in cuts], pa.int64()), pa.array(np.full(len(cuts), size, np.int8)),
+         pa.array([steps(keys[a:z]) for _, a, z in cuts], pa.binary()),
+         pa.array([squeezed(counts[a:z]) for _, a, z in cuts], pa.binary())],
+        ["segment", "size", "keys", "counts"],
+    )
+
+
+def counted(df: DataFrame, light: DataFrame, heavy, text: str = "text") -> DataFrame:
+    """Light words (`size` 1) and pairs (2) with counts, packed by segment; `heavy` is a broadcast."""
+
+    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batches_of(batch, limit=BLOCK_BYTES):
+                keys, counts = np.unique(pairs_of(*tokens_of(part.column("text"))), return_counts=True)
+                yield _counted(2, keys, counts, heavy.value.segment_of_pairs(keys))
+
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+            if n and (batch is None or n >= 1 << 20):
+                keys, counts = summed([b.column("key").to_numpy().view(np.uint64) for b in held], [b.column("n").to_numpy() for b in held])
+                yield _counted(1, keys, counts, heavy.value.segment_of_words(keys))
+                held, n = [], 0
+
+    pairs = df.select(df[text].alias("text")).mapInArrow(pair_rows, COUNTED)
+    return pairs.union(light.select("key", "n").mapInArrow(word_rows, COUNTED))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -100,28 +211,38 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(TOP_LEVEL, 1 + np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9)).astype(np.int64)
 
 
-def _places(keys: np.ndarray, level: np.ndarray | int, segment_bits: int) -> list[np.ndarray]:
-    """Bits of each key and level within its segment, one array for each probe."""
-    salt = mix(np.atleast_1d(np.asarray(level, np.uint64)) * np.uint64(0xA24BAED4963EE407))
-    base = mix(keys ^ salt)
+def middle_of(level: np.ndarray) -> np.ndarray:
+    """The middle of what a level stands for; the first is one."""
+    return np.where(level > 1, LOG_BASE ** (level.astype(np.float64) - 1) * (1 + LOG_BASE) / 2, level)
+
+
+def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
+    """Bits of each key at a level, one array for each probe."""
+    base = mix(keys ^ np.uint64(mix_one(level * 0xA24BAED4963EE407)))
     step = (base >> np.uint64(33)) | np.uint64(1)
-    return [(base + np.uint64(k) * step) % np.uint64(segment_bits) for k in range(PROBES)]
+    return [(base + np.uint64(k) * step) % np.uint64(bits) for k in range(PROBES)]
 
 
-def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
-    return (keys & np.uint64(segments - 1)).astype(np.int64)
+def filter_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter of a segment's pairs: all are held, in the bits that their levels need."""
+    top = levels(counts)
+    bits = max(64, -(-int(top.sum()) * BITS_PER_ENTRY // 64) * 64)
+    held = np.zeros(bits, bool)
+    for j in range(1, int(top.max(initial=0)) + 1):
+        for place in _places(keys[top >= j], j, bits):
+            held[place.astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
 
 
-def levels_in(bits: np.ndarray, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Levels of keys by the filter's bits, a row for each segment; zero where the first is absent."""
-    level = np.zeros(len(keys), np.int64)
+def levels_in(data: bytes, keys: np.ndarray) -> np.ndarray:
+    """Levels of keys by a filter; zero where the first is absent."""
+    level = np.zeros(len(keys), np.uint8)
     left = np.arange(len(keys))
-    flat, width = bits.reshape(-1), bits.shape[1]
+    held = np.frombuffer(data, np.uint8)
     for j in range(1, TOP_LEVEL + 1):
         present = np.ones(len(left), bool)
-        for place in _places(keys[left], j, width * 8):
-            at = segment[left] * width + (place >> np.uint64(3)).astype(np.int64)
-            present &= (flat[at] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        for place in _places(keys[left], j, len(held) * 8):
+            present &= (held[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         left = left[present]
         if not len(left):
             break
@@ -129,326 +250,277 @@ def levels_in(bits: np.ndarray, keys: np.ndarray, segment: np.ndarray) -> np.nda
     return level
 
 
-def middle_of(level: np.ndarray) -> np.ndarray:
-    """The middle of what a level stands for; the first is one."""
-    return np.where(level > 1, LOG_BASE ** (level - 1) * (1 + LOG_BASE) / 2, level)
-
-
-class CountFilter:
-    """The filter's bits, by segment, and the counts read back from it."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits  # SEGMENTS rows of bytes
-        self.segment_bits = bits.shape[1] * 8
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts, zero where the first level is absent."""
-        return middle_of(levels_in(self.bits, keys, segment_of(keys)))
-
-
-def discount_of(counts: DataFrame) -> float:
-    """The discount n1 / (n1 + 2 n2), from the numbers of pairs seen once and twice."""
-    row = counts.where("size = 2").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    return row["once"] / (row["once"] + 2 * row["twice"]) if row["once"] > 0 else 0.5
-
-
-def taken_of(counts: DataFrame, discount: float) -> DataFrame:
-    """As size 3, what the pairs of each first word take of its count."""
-    taken = (
-        counts.where("size = 2").groupBy(F.shiftrightunsigned("key", 32).alias("first"))
-        .agg(F.round(F.sum("n") - discount * F.count("*")).cast("long").alias("n")).where("n > 0")
+MODEL = (
+    "segment long, words binary, counts binary, followers binary, filter binary, once long, twice long, "
+    "heavy_first array<long>, heavy_followers array<long>"
+)
+
+
+def _model_row(segment: int, held: dict[int, tuple[list, list]]) -> pa.RecordBatch:
+    words, counts = summed(*held[1])
+    keys, n = summed(*held[2])
+    first, followers = np.unique(keys >> np.uint64(32), return_counts=True)
+    place, is_held = find(first, first_words(words))
+    own = np.where(is_held, followers[place] if len(first) else 0, 0)
+    is_light = np.isin(first, first_words(words))
+    return pa.RecordBatch.from_pylist(
+        [{
+            "segment": segment, "words": steps(words), "counts": squeezed(counts), "followers": squeezed(own),
+            "filter": filter_of(keys, n), "once": int((n == 1).sum()), "twice": int((n == 2).sum()),
+            "heavy_first": signed(first[~is_light]).tolist(), "heavy_followers": followers[~is_light].tolist(),
+        }],
+        pa.schema([
+            ("segment", pa.int64()), *((c, pa.binary()) for c in ("words", "counts", "followers", "filter")),
+            ("once", pa.int64()), ("twice", pa.int64()),
+            ("heavy_first", pa.list_(pa.int64())), ("heavy_followers", pa.list_(pa.int64())),
+        ]),
     )
-    key = F.lit(TAKEN << 32).cast("long") + F.col("first")
-    return taken.select(F.lit(3).cast("byte").alias("size"), key.alias("key"), "n")
-
-
-def by_level(counts: DataFrame) -> list:
-    """Number of n-grams by size and level: at most twice as many rows as there are levels."""
-    level = F.least(F.lit(TOP_LEVEL), (F.log(F.col("n").cast("double")) / float(np.log(LOG_BASE)) + 1e-9).cast("int") + 1)
-    return counts.groupBy("size", level.alias("level")).agg(F.count("*").alias("keys")).collect()
-
 
-def bits_for(entries: int) -> int:
-    return max(MIN_BITS, 1 << max(1, entries * BITS_PER_ENTRY - 1).bit_length())
 
-
-def segment_rows(counts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
-    """The filter from `(size, key, n)`: `(segment, bits)`, a row for each segment that has entries."""
+def model_rows(rows: DataFrame, segments: int) -> DataFrame:
+    """The model from what `counted` gives, a row for each segment that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        now, held = None, {}
         for batch in batches:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            top = levels(batch.column("n").to_numpy())
-            segment = segment_of(keys, segments)
-            for j in range(1, int(top.max(initial=0)) + 1):
-                held = top >= j
-                for place in _places(keys[held], j, segment_bits):
-                    for s in np.unique(segment[held]).tolist():
-                        own = bits.setdefault(s, np.zeros(segment_bits // 8, np.uint8))
-                        p = place[segment[held] == s]
-                        np.bitwise_or.at(own, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        for s, own in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([own.tobytes()])], ["segment", "bits"])
-
-    # All entries of a segment meet in one task.
-    spread = counts.withColumn("segment", F.col("key").bitwiseAND(segments - 1))
-    return spread.repartition(segments, "segment").select("key", "n").mapInArrow(run, "segment long, bits binary")
-
-
-def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> CountFilter:
-    """The filter on the driver, from `(size, key, n)`.
-
-    With more entries than `max_bits` are for, pairs, of size 2, are held from the least count
-    that fits; `score` keeps a filter of that size as a table instead, and loses none.
-    """
-    made = by_level(counts)
-    words = sum(r["level"] * r["keys"] for r in made if r["size"] != 2)
-    pairs_at = {r["level"]: r["keys"] for r in made if r["size"] == 2}
-    least = 1
-    while least < TOP_LEVEL and (
-        words + sum(k * n for k, n in pairs_at.items() if k >= least)
-    ) * BITS_PER_ENTRY > max_bits:
-        least += 1
-    entries = words + sum(k * n for k, n in pairs_at.items() if k >= least)
-    segment_bits = min(max_bits, bits_for(entries)) // SEGMENTS
-    least_n = int(np.ceil(LOG_BASE ** (least - 1) - 1e-6))
-    held = counts.where((F.col("size") != 2) | (F.col("n") >= least_n))
-    bits = np.zeros((SEGMENTS, segment_bits // 8), np.uint8)
-    for row in segment_rows(held, SEGMENTS, segment_bits).collect():
-        bits[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
-    return CountFilter(bits)
-
-
-def _befores(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each word, the end before a text's first."""
-    before = np.concatenate([[np.uint64(END)], words])
-    before[first[:-1]] = np.uint64(END)
-    return before
+            for row in batch.to_pylist():
+                if row["segment"] != now:
+                    if now is not None:
+                        yield _model_row(now, held)
+                    now, held = row["segment"], {1: ([], []), 2: ([], [])}
+                keys, counts = held[row["size"]]
+                keys.append(unstepped(row["keys"]))
+                counts.append(unsqueezed(row["counts"]).astype(np.int64))
+        if now is not None:
+            yield _model_row(now, held)
+
+    return rows.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(run, MODEL)
+
+
+class Segment:
+    """A segment of the model as it is asked."""
+
+    def __init__(self, row: dict | None):
+        self.filter = row["filter"] if row else bytes(8)
+        self.words = unstepped(row["words"]) if row else np.zeros(0, np.uint64)
+        self.counts = unsqueezed(row["counts"]) if row else self.words
+        self.followers = unsqueezed(row["followers"]) if row else self.words
+
+    def answer(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and followers of words, levels of pairs."""
+        place, is_held = find(self.words, words)
+        if not len(self.words):
+            return np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64), levels_in(self.filter, pairs)
+        return (
+            np.where(is_held, self.counts[place], np.uint64(0)), np.where(is_held, self.followers[place], np.uint64(0)),
+            levels_in(self.filter, pairs),
+        )
 
 
-def _pairs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Key of each word with the one before."""
-    before = _befores(words, first)[:-1]
-    both = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + words)
-    return (first_words(before) << np.uint64(32)) | (both >> np.uint64(32))
+class Questions:
+    """What a block of texts asks: its different light words and pairs, by segment and key."""
+
+    def __init__(self, texts: pa.Array, heavy: Heavy):
+        self.words, self.first = tokens_of(texts)
+        self.distinct, self.back = np.unique(self.words, return_inverse=True)
+        self.heavy_place, self.is_heavy = find(heavy.keys, self.distinct)
+        self.light = self.distinct[~self.is_heavy]
+        self.pairs, self.pair_back = np.unique(pairs_of(self.words, self.first), return_inverse=True)
+        self.word_order, word_cuts = by_segment(heavy.segment_of_words(self.light))
+        self.pair_order, pair_cuts = by_segment(heavy.segment_of_pairs(self.pairs))
+        words, pairs = self.light[self.word_order], self.pairs[self.pair_order]
+        word_at = {s: words[a:z] for s, a, z in word_cuts}
+        pair_at = {s: pairs[a:z] for s, a, z in pair_cuts}
+        none = np.zeros(0, np.uint64)
+        # Ordered by segment.
+        self.asked = [(s, word_at.get(s, none), pair_at.get(s, none)) for s in sorted(word_at.keys() | pair_at.keys())]
+
+    def put(self, answers: list[tuple[np.ndarray, np.ndarray, np.ndarray]], heavy: Heavy, heavy_followers: np.ndarray) -> tuple:
+        """Counts and followers of each token, counts of each token's pair, from answers in the order asked."""
+        counts, followers = (np.zeros(len(self.distinct), np.int64) for _ in range(2))
+        counts[self.is_heavy] = heavy.counts[self.heavy_place[self.is_heavy]]
+        followers[self.is_heavy] = heavy_followers[self.heavy_place[self.is_heavy]]
+        at = np.flatnonzero(~self.is_heavy)[self.word_order]
+        counts[at] = np.concatenate([a[0] for a in answers]).astype(np.int64)
+        followers[at] = np.concatenate([a[1] for a in answers]).astype(np.int64)
+        level = np.zeros(len(self.pairs), np.uint8)
+        level[self.pair_order] = np.concatenate([a[2] for a in answers])
+        return counts[self.back], followers[self.back], middle_of(level)[self.pair_back]
 
 
 def in_blocks(source: DataFrame) -> DataFrame:
-    """`(key, text, held_out)` with a number, `block`, for each few megabytes of text."""
+    """`(block, data)`: a few megabytes of rows of `key`, `text` and `held_out` as one compressed value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of(batch, limit=BLOCK_BYTES):
-                block = pa.array(np.full(part.num_rows, uuid.uuid4().int >> 65, np.int64))
-                yield pa.RecordBatch.from_arrays([block, *part.columns], ["block", *part.schema.names])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    # Copied, as what is written of a slice may be all of its buffers.
+                    out.write_batch(part.take(pa.array(np.arange(part.num_rows))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"]
+                )
+
+    return source.mapInArrow(run, "block long, data binary")
 
-    kind = source.schema["key"].dataType.simpleString()
-    return source.select("key", "text", "held_out").mapInArrow(run, f"block long, key {kind}, text string, held_out boolean")
 
+def unblocked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as stream:
+        return stream.read_next_batch()
 
-def asked(blocks: DataFrame, segments: int) -> DataFrame:
-    """Different n-grams of each block by segment: `(segment, block, keys)`, the keys packed."""
+
+def asked(blocks: DataFrame, heavy) -> DataFrame:
+    """Questions of each block to each segment: `(segment, block, words, pairs)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                words, first = tokens_of(batch.column("text").slice(lo, hi - lo))
-                distinct = np.unique(np.append(words, np.uint64(END)))
-                keys = np.unique(np.concatenate([distinct, taken_keys(distinct), _pairs_of(words, first)]))
-                segment = segment_of(keys, segments)
-                order = np.argsort(segment, kind="stable")
-                keys, segment = keys[order], segment[order]
-                ends = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]]).tolist()
-                # Packed in small rows, so that a batch of any number of rows stays small.
-                cuts = [(a, min(a + KEYS_A_ROW, z)) for x, z in zip(ends[:-1], ends[1:], strict=True) for a in range(x, z, KEYS_A_ROW)]
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                rows = Questions(unblocked(data.as_buffer()).column("text"), heavy.value).asked
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(segment[a]) for a, _ in cuts], pa.int64()), pa.array(np.full(len(cuts), block[lo])),
-                     pa.array([keys[a:z].tobytes() for a, z in cuts], pa.binary())],
-                    ["segment", "block", "keys"],
+                    [pa.array([s for s, _, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
+                     pa.array([steps(w) for _, w, _ in rows], pa.binary()), pa.array([steps(p) for _, _, p in rows], pa.binary())],
+                    ["segment", "block", "words", "pairs"],
                 )
 
-    return blocks.select("block", "text").mapInArrow(run, "segment long, block long, keys binary")
+    return blocks.mapInArrow(run, "segment long, block long, words binary, pairs binary")
 
 
-def answered(asking: DataFrame, filled: DataFrame, segments: int, segment_bits: int) -> DataFrame:
-    """Keys with a level, and their levels, as asked by each block: `(block, keys, levels)`."""
+def answered(asking: DataFrame, model: DataFrame, segments: int) -> DataFrame:
+    """Answers to each block in the order asked: `(block, segment, counts, followers, levels)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = -1, np.zeros((1, segment_bits // 8), np.uint8)
+        now, own = None, Segment(None)
         for batch in batches:
-            segment = batch.column("segment").to_numpy()
-            is_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(segment):
-                if segment[at] != now:
-                    # A segment's bits come before what is asked of it; without entries it has none.
-                    now, bits = segment[at], np.zeros((1, segment_bits // 8), np.uint8)
-                if is_bits[at]:
-                    bits = np.frombuffer(batch.column("bits")[at].as_buffer(), np.uint8).reshape(1, -1)
-                    at += 1
+            out = []
+            for row in batch.to_pylist():
+                if row["segment"] != now:
+                    # The model's row comes before what is asked of it; without entries it has none.
+                    now, own = row["segment"], Segment(row if row["block"] is None else None)
+                if row["block"] is None:
                     continue
-                to = min(int(np.searchsorted(segment, now, "right")), at + ROWS_AT_ONCE)
-                packed = [np.frombuffer(x, np.uint64) for x in batch.column("keys").slice(at, to - at).to_pylist()]
-                ends = np.cumsum([len(x) for x in packed])
-                keys = np.concatenate(packed)
-                level = levels_in(bits, keys, np.zeros(len(keys), np.int64)).astype(np.uint8)
-                starts = np.concatenate([[0], ends[:-1]])
-                found = [level[x:z] > 0 for x, z in zip(starts, ends, strict=True)]
+                counts, followers, level = own.answer(unstepped(row["words"]), unstepped(row["pairs"]))
+                out.append((row["block"], now, squeezed(counts), squeezed(followers), pa.compress(level.tobytes(), "zstd", asbytes=True)))
+            if out:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("block").slice(at, to - at),
-                     pa.array([own[f].tobytes() for own, f in zip(packed, found, strict=True)], pa.binary()),
-                     pa.array([level[x:z][f].tobytes() for x, z, f in zip(starts, ends, found, strict=True)], pa.binary())],
-                    ["block", "keys", "levels"],
+                    [pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)],
+                    ["block", "segment", "counts", "followers", "levels"],
                 )
-                at = to
 
-    rows = filled.select("segment", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "bits").union(
-        asking.select("segment", "block", "keys", F.lit(None).cast("binary"))
+    none = F.lit(None)
+    rows = model.select("segment", none.cast("long").alias("block"), "words", none.cast("binary").alias("pairs"), "counts", "followers", "filter").union(
+        asking.select("segment", "block", "words", "pairs", *[none.cast("binary")] * 3)
     )
     dealt = rows.repartition(segments, "segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
-    return dealt.mapInArrow(run, "block long, keys binary, levels binary")
-
-
-class Levels:
-    """Counts read back for one block from what its segments answered."""
-
-    def __init__(self, keys: list[np.ndarray], level: list[np.ndarray]):
-        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(every)
-        self.keys = every[order]
-        self.level = (np.concatenate(level) if level else np.zeros(0, np.uint8))[order].astype(np.int64)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return middle_of(np.where(self.keys[place] == keys, self.level[place], 0))
+    return dealt.mapInArrow(run, "block long, segment long, counts binary, followers binary, levels binary")
 
 
 def score(
     df: DataFrame, train: Column, held_out: Column, text: str = "text", key: str = "doc_id",
-    max_bits: int = MAX_BITS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """Per text: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    `train` marks the rows to learn from. NULL and empty texts have one token, the end. Keys
-    should be unique; rows that repeat one are scored as parts of one text. Other columns take
-    no part. Of an empty table or without training rows no count is known, and of an empty table
-    no row is given.
+    `train` marks the rows to learn from. NULL and empty texts have one token, the end; a very long
+    text is a block of its own. Each row is scored by its own text: rows that repeat a key, or have
+    none, are rows of their own, and equal texts have equal scores. Other columns take no part. Of
+    an empty table or without training rows no count is known, and of an empty table no row is given.
     """
     spark = df.sparkSession
     work = work_folder(spark)
-    counts = written(ngram_counts(df.where(train), text), f"{work}/counts")
-    words = counts.where("size = 1")
+    training = df.where(train)
+    words = written(word_counts(training, text), f"{work}/words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
-    least = max(1, -(-total // HEAVY))
-    # At most HEAVY words can each have a share of 1 / HEAVY.
-    heavy = words.where(F.col("n") >= least).select("key", "n").collect()
-    heavy_keys = np.array([r["key"] for r in heavy], np.int64)
-    heavy_counts = np.array([r["n"] for r in heavy], np.int64)
-    order = np.argsort(heavy_keys.view(np.uint64))
-    discount = discount_of(counts)
-    entries = counts.union(written(taken_of(counts, discount), f"{work}/taken"))
-    bits = bits_for(sum(r["level"] * r["keys"] for r in by_level(entries)))
-    # A filter that is too large to be sent stays a table.
-    sent = build_filter(entries, max_bits).bits if bits <= max_bits else None
-    model = spark.sparkContext.broadcast((sent, heavy_keys.view(np.uint64)[order], heavy_counts[order]))
+    own = heavy_of(words, total)
+    heavy = spark.sparkContext.broadcast(own)
+    end_key = int(signed(np.array([END], np.uint64))[0])
+    light = words.where((F.col("n") < max(1, -(-total // HEAVY))) & (F.col("key") != end_key))
+    model = written(model_rows(counted(training, light, heavy, text), own.segments), f"{work}/model")
+    seen = model.agg(
+        F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice"),
+        F.coalesce(F.sum(sum(F.octet_length(c) for c in ("words", "counts", "followers", "filter"))), F.lit(0)).alias("bytes"),
+    ).first()
+    discount = seen["once"] / (seen["once"] + 2 * seen["twice"]) if seen["once"] > 0 else 0.5
+    # At most one row for each heavy word.
+    each = model.select(F.explode(F.arrays_zip("heavy_first", "heavy_followers")).alias("x")).select("x.*")
+    found = each.groupBy("heavy_first").agg(F.sum("heavy_followers").alias("n")).collect()
+    by_first = {r["heavy_first"]: r["n"] for r in found}
+    heavy_followers = np.array([by_first.get(f, 0) for f in first_words(own.keys).tolist()], np.int64)
+    parts = ["segment", "words", "counts", "followers", "filter"]
+    # Bounded by max_bytes, which was just compared.
+    sent = [r.asDict() for r in model.select(parts).collect()] if seen["bytes"] <= max_bytes else None
+    small = spark.sparkContext.broadcast((heavy_followers, sent))
     floor = float(np.log10(total + distinct + 1))
 
     source = df.select(df[key].alias("key"), df[text].alias("text"), held_out.alias("held_out"))
     key_type = source.schema["key"].dataType.simpleString()
 
-    def scored(part: pa.RecordBatch, table: CountFilter | Levels) -> pa.RecordBatch:
-        _, known, known_counts = model.value
-        words, first = tokens_of(part.column("text"))
-        n = np.diff(first)
-        place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        is_heavy = known[place] == words if len(known) else np.zeros(len(words), bool)
-        c = np.where(is_heavy, known_counts[place] if len(known) else 0, 0)
-        base = np.where(is_heavy, np.log10(c + 1.0) - floor, 0.0)
-        distinct_words, back = np.unique(words, return_inverse=True)
-        single = np.where(is_heavy, c, table.counts(distinct_words)[back])
-        history = np.concatenate([[0.0], single])
-        history[first[:-1]] = known_counts[np.searchsorted(known, np.uint64(END))] if len(known) else 0.0
-        history = history[:-1]
-        both = np.minimum(table.counts(_pairs_of(words, first)), np.minimum(single, history))
-        taken = table.counts(taken_keys(distinct_words))[back]
-        taken = np.concatenate([[0.0], taken])
-        taken[first[:-1]] = table.counts(taken_keys(np.array([END], np.uint64)))[0]
+    def scored(part: pa.RecordBatch, asks: Questions, answers: list) -> pa.RecordBatch:
+        followers_of_heavy, _ = small.value
+        c, followers, both = asks.put(answers, heavy.value, followers_of_heavy)
+        begins = asks.first[:-1]
+        end = int(np.searchsorted(heavy.value.keys, np.uint64(END)))
+
+        def before(values: np.ndarray, at_begin: int) -> np.ndarray:
+            out = np.concatenate([[at_begin], values])[: len(values)]
+            out[begins] = at_begin
+            return out
+
+        history = before(c, heavy.value.counts[end])
+        left = before(followers, followers_of_heavy[end])
         of = np.maximum(history, 1.0)
-        rest = 1.0 - np.minimum(0.95, np.where(history > 0, taken[:-1] / of, 0.0))
-        share = (single + 1.0) / (total + distinct + 1.0)
+        rest = np.where(history > 0, np.clip(discount * left / of, 0.05, 1.0), 1.0)
+        both = np.minimum(both, np.minimum(c, history))
+        share = (c + 1.0) / (total + distinct + 1.0)
         logs = np.log10(np.maximum(both - discount, 0.0) / of + rest * share)
-        begins = first[:-1]
-        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~is_heavy, begins))]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
-                part.column("key"), part.column("held_out"), pa.array(n.astype(np.int64)),
-                pa.array(np.add.reduceat(is_heavy, begins).astype(np.int64)),
-                pa.array(np.add.reduceat(base, begins)),
+                part.column("key"), part.column("held_out"), pa.array(np.diff(asks.first).astype(np.int64)),
+                pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
+                pa.array(np.full(part.num_rows, total, np.int64)),
+                pa.array(np.add.reduceat(np.log10(c + 1.0) - floor, begins)),
                 pa.array(np.minimum(0.0, np.add.reduceat(logs, begins))),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(words[~is_heavy]))),
             ],
-            ["key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+            ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     def by_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = CountFilter(model.value[0])
+        held = {row["segment"]: Segment(row) for row in small.value[1]}
+        none = Segment(None)
         for batch in batches:
             for part in batches_of(batch):
-                yield scored(part, table)
+                asks = Questions(part.column("text"), heavy.value)
+                yield scored(part, asks, [held.get(s, none).answer(w, p) for s, w, p in asks.asked])
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, level, table = None, [], [], None
+        answers = []
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            is_text = batch.column("is_text").to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if block[lo] != now:
-                    now, keys, level, table = block[lo], [], [], None
-                run = batch.slice(lo, hi - lo)
-                if not is_text[lo]:
-                    # Copies, as the batch goes.
-                    keys += [np.frombuffer(x, np.uint64) for x in run.column("keys").to_pylist()]
-                    level += [np.frombuffer(x, np.uint8) for x in run.column("levels").to_pylist()]
+            data = batch.column("data")
+            for at, row in enumerate(batch.select(["counts", "followers", "levels"]).to_pylist()):
+                if not data[at].is_valid:
+                    # Answers come before their block, by segment.
+                    answers.append(row)
                     continue
-                if table is None:
-                    table, keys, level = Levels(keys, level), [], []
-                for part in batches_of(run):
-                    yield scored(part, table)
-
-    made = (
-        f"key {key_type}, held_out boolean, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<long>"
-    )
+                part = unblocked(data[at].as_buffer())
+                asks = Questions(part.column("text"), heavy.value)
+                got = [
+                    (unsqueezed(r["counts"]), unsqueezed(r["followers"]),
+                     np.frombuffer(pa.decompress(r["levels"], len(p), "zstd", asbytes=True), np.uint8))
+                    for r, (_, _, p) in zip(answers, asks.asked, strict=True)
+                ]
+                yield scored(part, asks, got)
+                answers = []
+
+    made = f"key {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if sent is not None:
-        seen = source.mapInArrow(by_sent, made)
+        out = source.mapInArrow(by_sent, made)
     else:
-        segments = max(SEGMENTS, bits // SEGMENT_BITS)
-        filled = written(segment_rows(entries, segments, bits // segments), f"{work}/filter")
         blocks = written(in_blocks(source), f"{work}/blocks")
-        found = answered(asked(blocks, segments), filled, segments, bits // segments)
+        answers = answered(asked(blocks, heavy), model, own.segments)
         none = F.lit(None)
-        rows = blocks.select("block", F.lit(True).alias("is_text"), "key", "text", "held_out", none.cast("binary").alias("keys"), none.cast("binary").alias("levels")).union(
-            found.select("block", F.lit(False), none.cast(key_type), none.cast("string"), none.cast("boolean"), "keys", "levels")
+        rows = answers.select("block", "segment", "counts", "followers", "levels", none.cast("binary").alias("data")).union(
+            blocks.select("block", none.cast("long"), *[none.cast("binary")] * 3, "data")
         )
-        seen = rows.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(by_block, made)
-    seen = written(seen, f"{work}/seen")
-    rare = seen.select(F.col("key").alias("doc"), F.explode("rare").alias("key"))
-    light = words.where(F.col("n") < least).select("key", "n")
-    found = rare.join(light, "key", "left").groupBy("doc").agg(
-        F.count("n").alias("rare_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)).cast("double") + 1.0) - F.lit(floor)).alias("rare_score"),
-    )
-    return seen.join(found, seen["key"].eqNullSafe(found["doc"]), "left").select(
-        seen["key"].alias(key), "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        out = rows.repartition(own.segments, "block").sortWithinPartitions("block", F.col("segment").asc_nulls_last()).mapInArrow(by_block, made)
+    return out.withColumnRenamed("key", key)
