@@ -46,7 +46,7 @@ def update_manifest(
     Files without chunks are not recorded, and so are read again next time,
     unless `record_empty`. Rows of other files stay, apart from `deleted`.
     """
-    done = files.select("path", "file_hash", "modification_time").join(counts, "path", "left")
+    done = files.select("path", "file_hash", "modification_time").join(counts.select("path", "chunk_count"), "path", "left")
     done = done.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)).cast("bigint"))
     if not record_empty:
         done = done.where("chunk_count > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from lexhaven.schemas import EMBED_BATCH, MODEL_DIMENSIONS
 # Words: runs without white space, control characters and ASCII punctuation.
 WORD = r"[^\x00-\x20!-/:-@\[-\^`{-\x7f]+"
 
-_RESULT = "struct<embedding: array<float>, error: string>"
+_RESULT = "struct<embedding: array<float>, error: string, ms: double, at: long>"
 
 
 def model_dimension(model: str, default: int = 1024) -> int:
@@ -68,6 +69,7 @@ def embed(
     dim: int | None = None,
     batch_size: int = EMBED_BATCH,
     on_error: str = "raise",
+    timed: bool = False,
 ) -> DataFrame:
     """Add `embedding` for the text in `column`.
 
@@ -78,6 +80,10 @@ def embed(
 
     With `on_error="keep"` a batch that fails gives NULL vectors and its
     message in `embed_error`, instead of ending the job.
+
+    With `timed`, `embed_ms` is the row's share, by length, of the time that its
+    task took since the batch before, with what Spark did to bring the batch,
+    and `embed_at` when its vector was there, in microseconds since 1970.
     """
     if on_error not in ("raise", "keep"):
         raise ValueError(f"unknown on_error {on_error!r}")
@@ -99,13 +105,20 @@ def embed(
     @F.pandas_udf(_RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = make()
+        before = time.perf_counter()
         for texts in batches:
             rows: list[tuple] = []
+            ready: list[int] = []
             for at in range(0, len(texts), batch_size):
                 rows += vectors_of(fn, texts.iloc[at : at + batch_size].tolist())
-            yield pd.DataFrame(
-                {"embedding": [r[0] for r in rows], "error": [r[1] for r in rows]}
-            )
+                ready += [time.time_ns() // 1000] * (len(rows) - at)
+            weight = texts.str.len() + 1
+            now = time.perf_counter()
+            took, before = 1000 * (now - before), now
+            yield pd.DataFrame({
+                "embedding": [r[0] for r in rows], "error": [r[1] for r in rows],
+                "ms": took * weight.to_numpy(dtype=float) / max(1, weight.sum()), "at": ready,
+            })
 
     # Spark repeats a deterministic function for a filter on its result; a model must run once.
     run = run.asNondeterministic()
@@ -114,6 +127,8 @@ def embed(
     out = done.withColumn("embedding", F.col("_e.embedding"))
     if keep:
         out = out.withColumn("embed_error", F.col("_e.error"))
+    if timed:
+        out = out.withColumns({"embed_ms": F.col("_e.ms"), "embed_at": F.col("_e.at")})
     return out.drop("_e")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +71,18 @@ def list_sessions(log: DataFrame) -> DataFrame:
     )
 
 
-def run_result(log: DataFrame) -> DataFrame:
+def run_result(log: DataFrame, started: datetime.datetime | None = None) -> DataFrame:
     """One row per session: processed, skipped and failed files, chunks, duration, rates.
 
-    A session lasts from its first row, or the begin of the longest work that a row tells of,
-    to its last row.
+    A session lasts from `started`, where that is known, or else its first row or the begin of
+    the earliest work that a row tells of, to its last row.
     """
     lasted = F.coalesce("duration_ms", F.lit(0)) if "duration_ms" in log.columns else F.lit(0)
     begin = F.unix_micros("ts") - 1000 * lasted
-    took = F.unix_micros(F.max("ts")) - F.min(begin)
+    earliest = F.min(begin)
+    if started is not None:
+        earliest = F.least(earliest, F.unix_micros(F.lit(started)))
+    took = F.unix_micros(F.max("ts")) - earliest
     sums = log.groupBy("session_id").agg(
         F.count_if(F.col("status") == "success").alias("files_processed"),
         F.count_if(F.col("status") == "skipped").alias("files_skipped"),

@@ -31,7 +31,6 @@ from lexhaven.sources import runlog, store, tables
 
 def outcomes(
     files: DataFrame, counts: DataFrame, issues: DataFrame, failures: DataFrame, session_id: str,
-    started: datetime.datetime | None = None,
 ) -> DataFrame:
     """`RUNLOG` rows, one per file of the run.
 
@@ -39,9 +38,10 @@ def outcomes(
     stored per path; `issues` the unit issues per path; `failures` an
     `error_message` per path that could not be embedded.
     A file without chunks is a parse error when it has issues, else a success
-    with 0 chunks; unchanged files are skipped. Spark takes files in together, so
-    each one's duration is the time from `started`, the run's begin, to the
-    writing of its row; skipped files took none.
+    with 0 chunks; unchanged files are skipped. A file's duration is what its
+    pieces took in their tasks, and its time that of its last piece, where
+    `counts` has them from `file_counts`; skipped files took none, and files
+    without pieces have the time of writing and the least duration.
     """
     joined = (
         files.join(counts, "path", "left")
@@ -67,7 +67,7 @@ def outcomes(
     )
     first = F.when(broken, F.get("issues", F.lit(0)))
     rows = joined.select(
-        F.current_timestamp().alias("ts"),
+        F.coalesce(F.col("finished"), F.current_timestamp()).alias("ts"),
         F.lit(session_id).alias("session_id"),
         F.col("path").alias("file_path"),
         "relative_path",
@@ -77,13 +77,21 @@ def outcomes(
         F.when(broken, F.col("issues")).alias("error_details"),
         first.start_line.alias("line_number"),
         first.start_column.alias("column_number"),
+        F.when(status == "skipped", F.lit(0)).otherwise(
+            F.greatest(F.ceil(F.coalesce("took_ms", F.lit(0.0))), F.lit(1))).alias("duration_ms"),
     )
-    if started is not None:
-        took = F.unix_millis(F.col("ts")) - F.unix_millis(F.lit(started))
-        rows = rows.withColumn("duration_ms", F.when(F.col("status") == "skipped", F.lit(0)).otherwise(F.greatest(took, F.lit(1))))
     return conform(rows, RUNLOG)
 
 
+def file_counts(timed: DataFrame) -> DataFrame:
+    """Pieces of each file with a vector, the time they took and when the last was done: of `embed` with `timed`."""
+    return timed.groupBy(F.col("absolute_path").alias("path")).agg(
+        F.count("embedding").alias("chunk_count"),
+        F.sum("embed_ms").alias("took_ms"),
+        F.timestamp_micros(F.max("embed_at")).alias("finished"),
+    )
+
+
 def new_session(spark: SparkSession) -> str:
     """Session id of this moment."""
     now = datetime.datetime.now(datetime.timezone.utc)
@@ -160,7 +168,7 @@ def ingest_files(
     )
     if partitions:
         pieces = pieces.repartition(partitions, "id")
-    staged = written(embed(pieces, make, dim=dim, on_error="keep"), "pieces")
+    staged = written(embed(pieces, make, dim=dim, on_error="keep", timed=True), "pieces")
 
     # Failures are few and mostly none. Written down, they show Spark their size, and without
     # any the pieces go to the store as they are.
@@ -170,14 +178,12 @@ def ingest_files(
         .agg(F.min("embed_error").alias("error_message")),
         "failures",
     )
-    stored = staged.drop("embed_error")
+    stored = staged.drop("embed_error", "embed_ms", "embed_at")
     if not failures.isEmpty():
         stored = stored.join(
             failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti"
         )
-    counts = stored.groupBy(F.col("absolute_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("chunk_count")
-    )
+    counts = file_counts(staged)
     if replace:
         # A changed file that has no chunks now loses its old ones too.
         gone = deleted.unionByName(todo.join(failures, "path", "left_anti").select("path"))
@@ -196,7 +202,7 @@ def ingest_files(
         .join(staged.select(F.col("absolute_path").alias("path")).distinct(), "path", "left_anti"),
         "lone",
     )
-    rows = outcomes(seen, counts, block_issues(texts(lone)), failures, session_id, started)
+    rows = outcomes(seen, counts, block_issues(texts(lone)), failures, session_id)
     runlog.append_log(rows, f"{target}/runlog")
 
     done = seen if mode == "hash" else fresh
@@ -208,7 +214,7 @@ def ingest_files(
     log = runlog.read_log(spark, f"{target}/runlog")
     # Store, log and manifest are written; nothing reads the work tables now.
     tables.drop_folder(spark, work)
-    return run_result(log.where(F.col("session_id") == session_id))
+    return run_result(log.where(F.col("session_id") == session_id), started)
 
 
 # Options of `ingest` that say which files are found.

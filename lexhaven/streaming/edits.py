@@ -22,7 +22,7 @@ from lexhaven.operators.blocks import block_issues
 from lexhaven.operators.changes import update_manifest
 from lexhaven.operators.chunks import chunk_files, split_chunks
 from lexhaven.operators.embedding import embed, hashed_words
-from lexhaven.plans.ingest import outcomes
+from lexhaven.plans.ingest import file_counts, outcomes
 from lexhaven.schemas import CHUNK_OVERLAP, CHUNK_SIZE, LANGUAGES, MANIFEST
 from lexhaven.sources import files as sources
 from lexhaven.sources import manifest as manifests
@@ -133,12 +133,13 @@ def ingest_edits(
             events = tables.written(batch, f"{work}/events")
             todo = events.where("status in ('new', 'changed')").select("path", "modification_time")
             files = fetch(todo)
-            staged = tables.written(embed(split_chunks(chunk(files), size, overlap), make, on_error="keep"), f"{work}/pieces")
+            staged = tables.written(embed(split_chunks(chunk(files), size, overlap), make, on_error="keep", timed=True), f"{work}/pieces")
             failures = staged.where("embed_error is not null").groupBy(F.col("absolute_path").alias("path")).agg(
                 F.min("embed_error").alias("error_message")
             )
-            stored = staged.join(failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti").drop("embed_error")
-            counts = stored.groupBy(F.col("absolute_path").alias("path")).agg(F.count(F.lit(1)).alias("chunk_count"))
+            stored = staged.join(failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti")
+            stored = stored.drop("embed_error", "embed_ms", "embed_at")
+            counts = file_counts(staged)
             stale = events.where("status in ('changed', 'deleted')").select("path").join(failures, "path", "left_anti")
             store.replace_rows(stored, store_path, stale, unique=True)
 

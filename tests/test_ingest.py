@@ -54,6 +54,8 @@ def test_runs(spark, tree, tmp_path):
     counts = {r.relative_path: r.chunk_count for r in outcomes(spark, target, "1").values()}
     assert counts == {"a/One.gs": 2, "a/Two.gsx": 6, "t/Page.gst": 2, "t/Plain.gst": 0, "Empty.gs": 0, "Broken.gs": None}
     assert (result.files_processed, result.files_skipped, result.chunks_created, result.errors) == (5, 0, 10, 1)
+    took = {r.relative_path: r.duration_ms for r in outcomes(spark, target, "1").values()}
+    assert min(took.values()) >= 1 and took["Broken.gs"] == 1 and result.seconds > 0
     broken = outcomes(spark, target, "1")["Broken.gs"]
     assert broken.status == "parse_error" and broken.line_number == 1 and broken.column_number == 1
     assert broken.error_details[0].type == "MISSING" and "(1 issue(s)" in broken.error_message
@@ -161,3 +163,30 @@ def test_stream_in_two_steps_equals_one_batch(spark, tree, tmp_path):
     # A replay from a new checkpoint changes nothing.
     ingest_stream(spark, str(tree), path, str(tmp_path / "mark2")).awaitTermination()
     assert store.read_store(spark, path).count() == 10
+
+
+def test_each_file_has_a_duration_of_its_own(spark, tmp_path):
+    """A slow file is told from quick ones, and the session from its files."""
+    root, target = tmp_path / "Source", str(tmp_path / "t")
+    for name, body in (("Slow", "slow"), ("Quick", "quick"), ("Other", "quick")):
+        write(root, f"{name}.gs", f"package a\nclass {name} {{\n  function f() {{ {body}() }}\n}}\n")
+
+    def make():
+        def run(texts):
+            time.sleep(0.6 * sum("slow()" in t for t in texts))
+            return [[1.0, 2.0] for _ in texts]
+
+        return run
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        result = ingest(spark, str(root), target, session_id="1", make=make).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = outcomes(spark, target, "1")
+    took = {name: r.duration_ms for name, r in rows.items()}
+    assert took["Slow.gs"] >= 600 and len(set(took.values())) > 1
+    # Each piece is timed from when it or the one before came, so no file's time is the whole run's.
+    assert max(took.values()) < 1000 * result.seconds
+    again = ingest(spark, str(root), target, session_id="2", make=make).first()
+    assert again.files_skipped == 3 and {r.duration_ms for r in outcomes(spark, target, "2").values()} == {0}
