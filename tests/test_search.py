@@ -274,3 +274,35 @@ def test_rendered_forms(spark):
     )
     assert "```gosu-template\n" in agent[1]
     assert agent[1].endswith("---\n\n\n" + render.CONTEXT_NOTE[1:])
+
+
+# --- many queries ---
+
+
+def test_a_store_in_many_blocks_gives_k_rows_a_query(spark, monkeypatch):
+    # Each block of the store gave k rows for each query, and queries were copied to each block.
+    found = {}
+    rows = store_rows(600)
+    blocks = search._by_blocks
+    monkeypatch.setattr(search, "_by_blocks", lambda *a: found.setdefault("rows", blocks(*a)))
+    queries = spark.createDataFrame([(n, rows[n][-1]) for n in range(40)], "query_id int, embedding array<float>")
+    hits = search.search(spark.createDataFrame(rows, STORE), queries, k=7, broadcast_queries=0, block_bytes=640)
+    assert ranked(hits) == brute(rows, [(n, rows[n][-1]) for n in range(40)], 7)
+    assert found["rows"].count() == 40 * 7
+
+
+def test_parts_that_single_precision_cannot_tell_apart(spark):
+    base = [1000.0 + i for i in range(8)]
+    rows = [r[:-1] + ([float(np.float32(b + n * 2.0**-13)) for b in base],) for n, r in enumerate(store_rows(300))]
+    queries = [(n, rows[n * 7][-1]) for n in range(30)]
+    df = spark.createDataFrame(queries, "query_id int, embedding array<float>")
+    for options in ({}, {"broadcast_queries": 1, "block_bytes": 640}):
+        assert ranked(search.search(spark.createDataFrame(rows, STORE), df, k=6, **options)) == brute(rows, queries, 6)
+
+
+def test_groups_of_copies_by_id(spark):
+    rows = [r[:-1] + ([float(n % 3)] * 8,) for n, r in enumerate(store_rows(400))]
+    queries = [(n, rows[n][-1]) for n in range(6)]
+    df = spark.createDataFrame(queries, "query_id int, embedding array<float>")
+    for options in ({}, {"broadcast_queries": 1, "block_bytes": 640}):
+        assert ranked(search.search(spark.createDataFrame(rows, STORE), df, k=9, **options)) == brute(rows, queries, 9)
