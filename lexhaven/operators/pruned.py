@@ -16,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexhaven.functions.vectors import DISTANCE_PLACES
-from lexhaven.operators.search import FILTERS, _finish, _ids, _matrix, _passes, metadata_filter
+from lexhaven.operators.search import FILTERS, _finish, _ids, _matrix, _passes, _vectors, metadata_filter
 from lexhaven.schemas import TOP_K
 
 # Pivots, and vectors that these are chosen from: bounds of what the driver holds.
@@ -30,6 +33,9 @@ SAMPLE = 4096
 # Vectors of a cluster, and queries, that meet in one step.
 BLOCK_ROWS = 16_384
 
+# Queries whose clusters are chosen, or that are compared, at once, and rows of one batch of probes.
+PROBE_ROWS = 1024
+
 # Distances are compared with this much room for rounding.
 _ROOM = 1e-6
 
@@ -91,41 +97,54 @@ def _probes(asked: DataFrame, pivots: np.ndarray, clusters: pd.DataFrame, first:
     """
     shared = asked.sparkSession.sparkContext.broadcast((pivots, clusters))
     names = asked.columns if first else [c for c in asked.columns if c != "_limit"]
-    kept = asked.select(*names).schema.simpleString()[len("struct<") : -1]
+    fields = [*asked.select(*names).schema, T.StructField("cluster", T.IntegerType()), T.StructField("_away", T.DoubleType()), T.StructField("_limit", T.DoubleType())]
+    kind = T.StructType(fields)
+    shape = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, clusters = shared.value
         number, n = clusters["cluster"].to_numpy(), clusters["n"].to_numpy()
         least, most = clusters["least"].to_numpy(), clusters["most"].to_numpy()
-        for batch in batches:
-            if batch.empty:
-                continue
-            away = _distances(_matrix(batch["embedding"], "query vector", pivots.shape[1]), pivots)[:, number]
+        for batch in batches_of(batches, PROBE_ROWS):
+            vectors = _vectors(batch.column("embedding"), "query vector", pivots.shape[1]).astype(np.float64)
+            away = _distances(vectors, pivots)[:, number]
             bound = np.maximum(0.0, np.maximum(away - most, least - away))
             # Clusters by lower bound; of equal ones the nearer pivot first.
             order = np.lexsort((away, bound), axis=1)
             held = np.cumsum(n[order], axis=1) - n[order]
-            home = held < batch["_k"].to_numpy()[:, None]
-            limit = np.full(len(batch), np.inf) if first else batch["_limit"].to_numpy()
+            home = held < batch.column("_k").to_numpy()[:, None]
+            limit = np.full(batch.num_rows, np.inf) if first else batch.column("_limit").to_numpy()
             reach = np.take_along_axis(bound, order, axis=1) <= limit[:, None] * (1 + _ROOM) + _ROOM
             row, at = np.nonzero(home if first else reach & ~home)
             visited = order[row, at]
-            out = batch[names].iloc[row].copy()
-            out["cluster"], out["_away"], out["_limit"] = number[visited], away[row, visited], limit[row]
-            yield out
+            # A query may visit all clusters; its vector is repeated for a few rows at once.
+            kept = batch.select(names)
+            for begin in range(0, len(row), PROBE_ROWS):
+                rows, open_ = row[begin : begin + PROBE_ROWS], visited[begin : begin + PROBE_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.take(pa.array(rows)).columns, pa.array(number[open_], pa.int32()), pa.array(away[rows, open_]), pa.array(limit[rows])],
+                    schema=shape,
+                )
+
+    return asked.mapInArrow(run, kind)
 
-    return asked.mapInPandas(run, f"{kept}, cluster int, _away double, _limit double")
 
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-def _compare(rows: pd.DataFrame, asked: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-    """The k best of a block of one cluster for each query, and how many were compared.
+
+def _compare(rows: pd.DataFrame, stored: np.ndarray, asked: pd.DataFrame, targets: np.ndarray, names: list[str]) -> pd.DataFrame:
+    """The k best of a block of one cluster for each query, and how many were compared; vectors come as matrices.
 
     A row without id tells of a comparison that found nothing.
     """
-    rows = rows.sort_values("gap")
-    ids, gaps, matrix = _ids(rows["id"]), rows["gap"].to_numpy(), _matrix(rows["embedding"], "stored vector")
+    order = rows["gap"].argsort(kind="stable")
+    rows, stored = rows.iloc[order], stored[order]
+    ids, gaps = _ids(rows["id"]), rows["gap"].to_numpy()
     columns = {c: rows[c].to_numpy() for c in names}
-    targets = _matrix(asked["embedding"], "query vector", matrix.shape[1])
     tests = list(asked[names].itertuples(index=False, name=None)) if names else [()] * len(asked)
     room = asked["limit"].to_numpy() * (1 + _ROOM) + _ROOM
     starts = np.searchsorted(gaps, asked["away"].to_numpy() - room, "left")
@@ -135,7 +154,7 @@ def _compare(rows: pd.DataFrame, asked: pd.DataFrame, names: list[str]) -> pd.Da
         near = np.arange(at, to)
         if names:
             near = near[_passes(tests[i], names, {c: v[at:to] for c, v in columns.items()}, to - at)]
-        away = matrix[near] - targets[i]
+        away = stored[near].astype(np.float64) - targets[i]
         exact = np.round((away * away).sum(axis=1), DISTANCE_PLACES)
         best = np.lexsort((ids[near], exact))[:k]
         found.append(ids[near][best])
@@ -155,7 +174,7 @@ def _compare(rows: pd.DataFrame, asked: pd.DataFrame, names: list[str]) -> pd.Da
     return out.assign(_compared=told)
 
 
-def _met(corpus: DataFrame, probes: DataFrame, clusters: pd.DataFrame, n_queries: int, names: list[str], schema: str, block_rows: int) -> DataFrame:
+def _met(corpus: DataFrame, probes: DataFrame, clusters: pd.DataFrame, n_queries: int, names: list[str], schema: T.StructType, block_rows: int) -> DataFrame:
     """Probes and their clusters in blocks of both, brought together by an equi-join on block numbers."""
     spark = corpus.sparkSession
     sizes = spark.createDataFrame(
@@ -175,12 +194,22 @@ def _met(corpus: DataFrame, probes: DataFrame, clusters: pd.DataFrame, n_queries
     right = probes.groupBy("cluster", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("_group")).agg(F.collect_list(asked).alias("_asked"))
     right = right.join(sizes, "cluster").select("cluster", "_asked", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, asked_rows in zip(batch["_rows"], batch["_asked"]):
-                yield _compare(pd.DataFrame(list(rows)), pd.DataFrame(list(asked_rows)), names)
+            for n in range(batch.num_rows):
+                items = pa.RecordBatch.from_struct_array(batch.column("_rows").slice(n, 1).flatten())
+                rows, stored = items.drop_columns(["embedding"]).to_pandas(), _vectors(items.column("embedding"), "stored vector")
+                packed = batch.column("_asked").slice(n, 1).flatten()
+                # A part of the queries at a time bounds what is found at once.
+                for at in range(0, len(packed), PROBE_ROWS):
+                    part = pa.RecordBatch.from_struct_array(packed.slice(at, PROBE_ROWS))
+                    targets = _vectors(part.column("embedding"), "query vector", stored.shape[1]).astype(np.float64)
+                    found = _compare(rows, stored, part.drop_columns(["embedding"]).to_pandas(), targets, names)
+                    yield pa.RecordBatch.from_pandas(found, shape, preserve_index=False)
 
-    return left.join(right, ["cluster", "_part"]).select("_rows", "_asked").mapInPandas(run, schema)
+    return left.join(right, ["cluster", "_part"]).select("_rows", "_asked").mapInArrow(run, schema)
 
 
 def search_pruned(
@@ -202,8 +231,10 @@ def search_pruned(
         "query_id", "embedding", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in names],
         setting("k", k).cast("int").alias("_k"), setting("min_score", min_score).cast("double").alias("_min_score"),
     ).where("embedding is not null and _k > 0")
-    kinds = {f.name: f.dataType.simpleString() for f in [asked.schema["query_id"], corpus.schema["id"]]}
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, distance double, _k int, _min_score double, _compared long"
+    schema = T.StructType([
+        asked.schema["query_id"], T.StructField("id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType()),
+        T.StructField("_k", T.IntegerType()), T.StructField("_min_score", T.DoubleType()), T.StructField("_compared", T.LongType()),
+    ])
     clusters = corpus.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most")
     ).toPandas()

@@ -57,3 +57,17 @@ def test_few_or_no_vectors(spark, tmp_path):
     assert run(spark, rows, [(2, None)], tmp_path / "d").count() == 0
     far = ranked(run(spark, clustered_rows(60), [(1, [1e6] * 8)], tmp_path / "e", k=3, min_score=0.9))
     assert far == {}
+
+
+def test_probes_come_in_small_batches(spark, monkeypatch):
+    # A query that visits all clusters repeated its vector for each of them in one batch.
+    rows = store_rows(90)
+    store = spark.createDataFrame(rows, STORE)
+    pivots = pruned.choose_pivots(store, 40)
+    clusters = pruned.with_clusters(store, pivots).groupBy("cluster").agg(
+        F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most")).toPandas()
+    asked = spark.createDataFrame([(n, rows[n][-1], 10_000) for n in range(80)], "query_id int, embedding array<float>, _k int")
+    batches = asked.toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, run, schema: run)
+    sizes = [len(b) for b in pruned._probes(asked, pivots, clusters, True)(iter(batches))]
+    assert sum(sizes) == 80 * len(clusters) > max(sizes) <= pruned.PROBE_ROWS
