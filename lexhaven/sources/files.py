@@ -24,6 +24,9 @@ BINARY_FILE = T.StructType(
     ]
 )
 
+# Bytes and files that a listing by tasks reads into one batch.
+READ_BYTES, READ_FILES = 4 << 20, 1000
+
 
 def _root(path: str) -> str:
     bare = path[len("file://"):] if path.startswith("file://") else path
@@ -137,22 +140,26 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "is_folder"])
 
     def read(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        shape = pa.schema([
+            ("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()),
+        ])
+        rows, size = [], 0
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column("path").to_pylist():
                 info = os.stat(path)
                 if not stat_bits.S_ISREG(info.st_mode):
                     continue
                 with open(path, "rb") as f:
-                    yield pd.DataFrame(
-                        {
-                            "path": ["file:" + path],
-                            "modificationTime": [pd.Timestamp(info.st_mtime_ns // 1000, unit="us")],
-                            "length": [info.st_size],
-                            "content": [f.read()],
-                        }
-                    )
+                    rows.append(("file:" + path, info.st_mtime_ns // 1000, info.st_size, f.read()))
+                size += len(rows[-1][-1])
+                # Many small files make one batch, and a large one a batch of its own.
+                if size >= READ_BYTES or len(rows) >= READ_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape.types)], schema=shape)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape.types)], schema=shape)
 
     # Each level is written down once, so a deep tree is not listed again from the top.
     from lexhaven.sources.tables import shared_folder
@@ -175,7 +182,7 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
     for more in files[1:]:
         listed = listed.unionByName(more)
     spread = listed.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(read, BINARY_FILE)
+    return spread.mapInArrow(read, BINARY_FILE)
 
 
 def valid_text(content: Column) -> Column:
