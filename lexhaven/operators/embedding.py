@@ -9,7 +9,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from lexhaven.schemas import EMBED_BATCH, MODEL_DIMENSIONS
 WORD = r"[^\x00-\x20!-/:-@\[-\^`{-\x7f]+"
 
 _RESULT = "struct<embedding: array<float>, error: string, ms: double, at: long>"
+_VECTOR = pa.list_(pa.float32())
 
 
 def model_dimension(model: str, default: int = 1024) -> int:
@@ -62,6 +64,14 @@ def hashed_words(dim: int = 256) -> Callable[[], Callable[[list[str]], list[np.n
     return make
 
 
+def _listed(vectors: list) -> pa.Array:
+    """Vectors as a column; those of numpy without an object for each number."""
+    if not vectors or not all(isinstance(v, np.ndarray) and v.ndim == 1 for v in vectors):
+        return pa.array([None if v is None else list(v) for v in vectors], _VECTOR)
+    offsets = np.cumsum([0, *map(len, vectors)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(vectors).astype(np.float32)))
+
+
 def embed(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list]],
@@ -102,23 +112,28 @@ def embed(
                 raise
             return [(None, str(error) or type(error).__name__)] * len(texts)
 
-    @F.pandas_udf(_RESULT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_RESULT)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
         before = time.perf_counter()
         for texts in batches:
-            rows: list[tuple] = []
-            ready: list[int] = []
+            vectors, errors, ready = [], [], []
+            # A batch of the embedder's is all that is there as Python strings.
             for at in range(0, len(texts), batch_size):
-                rows += vectors_of(fn, texts.iloc[at : at + batch_size].tolist())
-                ready += [time.time_ns() // 1000] * (len(rows) - at)
-            weight = texts.str.len() + 1
+                rows = vectors_of(fn, texts.slice(at, batch_size).to_pylist())
+                vectors.append(_listed([r[0] for r in rows]))
+                errors += [r[1] for r in rows]
+                ready += [time.time_ns() // 1000] * len(rows)
+            weight = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float) + 1
             now = time.perf_counter()
             took, before = 1000 * (now - before), now
-            yield pd.DataFrame({
-                "embedding": [r[0] for r in rows], "error": [r[1] for r in rows],
-                "ms": took * weight.to_numpy(dtype=float) / max(1, weight.sum()), "at": ready,
-            })
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.concat_arrays(vectors) if vectors else pa.array([], _VECTOR), pa.array(errors, pa.string()),
+                    pa.array(took * weight / max(1, weight.sum())), pa.array(ready, pa.int64()),
+                ],
+                ["embedding", "error", "ms", "at"],
+            )
 
     # Spark repeats a deterministic function for a filter on its result; a model must run once.
     run = run.asNondeterministic()

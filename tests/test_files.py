@@ -119,14 +119,13 @@ def test_unknown_language(spark):
 def test_small_files_share_a_batch(spark, tmp_path, monkeypatch):
     # Each file made an Arrow batch of its own.
     import pyarrow as pa
-    from pyspark.sql import DataFrame
 
     for n in range(30):
         (tmp_path / f"_f{n}.gs").write_text(f"class A{n} {{}}")
     (tmp_path / "big.gs").write_bytes(b"x" * (sources.READ_BYTES + 1))
-    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: run)
     read = sources._walk(spark, str(tmp_path), [".gs"], [], -1)
-    paths = sorted(str(p) for p in tmp_path.glob("*.gs"))
+    paths = sorted((str(p) for p in tmp_path.glob("*.gs")), reverse=True)
     made = list(read(iter([pa.record_batch({"path": paths})])))
     assert sum(b.num_rows for b in made) == 31 and len(made) == 2
     assert {p.removeprefix("file:") for b in made for p in b.column("path").to_pylist()} == set(paths)

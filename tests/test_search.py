@@ -306,3 +306,23 @@ def test_groups_of_copies_by_id(spark):
     df = spark.createDataFrame(queries, "query_id int, embedding array<float>")
     for options in ({}, {"broadcast_queries": 1, "block_bytes": 640}):
         assert ranked(search.search(spark.createDataFrame(rows, STORE), df, k=9, **options)) == brute(rows, queries, 9)
+
+
+def test_texts_reach_python_a_batch_at_a_time(spark, monkeypatch):
+    # All texts of an Arrow batch were Python strings at once, and vectors a list of objects.
+    import pyarrow as pa
+
+    caught = []
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda kind: lambda run: caught.append(run) or _Stop())
+    df = spark.createDataFrame([("a",)], "content string")
+    with pytest.raises(_Stop):
+        embedding.embed(df, hashed_words(4), batch_size=2)
+    (made,) = caught[0](iter([pa.array(["a b", "", "c", "d", "e"])]))
+    assert made.field("embedding").type == pa.list_(pa.float32()) and len(made) == 5
+    mixed = embedding._listed([np.array([1.0, 2.0]), None])
+    assert mixed.to_pylist() == [[1.0, 2.0], None] and embedding._listed([]).to_pylist() == []
+
+
+class _Stop(Exception):
+    def asNondeterministic(self):
+        raise self
