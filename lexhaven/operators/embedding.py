@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -40,24 +39,36 @@ def hashed_words(dim: int = 256) -> Callable[[], Callable[[list[str]], list[np.n
     """
 
     def make():
-        word, places = re.compile(WORD), {}
-
-        def place(token: str) -> int:
-            at = places.get(token)
-            if at is None:
-                if len(places) > 500_000:
-                    places.clear()
-                at = places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-            return at
+        inside = np.array([at > 127 or re.fullmatch(WORD, chr(at)) is not None for at in range(256)])
+        class Places(dict):
+            def __missing__(self, token: str) -> int:
+                at = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+                return at
+
+        places = Places()
+
+        def rows(texts: list[str]) -> np.ndarray:
+            # Words end at ASCII bytes alone, so they are cut from the bytes of all texts at once.
+            parts = [text.lower().encode() for text in texts]
+            begins = np.cumsum([0, *(len(part) + 1 for part in parts)])[:-1]
+            data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+            kept = inside[data]
+            edges = np.flatnonzero(np.diff(kept, prepend=False))
+            starts, sizes = edges[::2], edges[1::2] - edges[::2]
+            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]
+            words = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
+            if len(places) > 500_000:
+                places.clear()
+            different = words.dictionary.to_numpy(zero_copy_only=False)
+            known = np.fromiter(map(places.__getitem__, different), np.int64, len(different))
+            at = dim * (np.searchsorted(begins, starts, "right") - 1) + known[words.indices.to_numpy()]
+            counts = np.bincount(at, minlength=dim * len(texts)).reshape(-1, dim).astype(np.float64)
+            norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+            return (counts / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
 
         def run(texts: list[str]) -> list[np.ndarray]:
-            out = []
-            for text in texts:
-                hits = np.fromiter((place(t) for t in word.findall(text.lower())), dtype=np.int64)
-                counts = np.bincount(hits, minlength=dim).astype(np.float64)
-                norm = math.sqrt(float(counts @ counts))
-                out.append((counts / norm if norm else counts).astype(np.float32))
-            return out
+            return [row for at in range(0, len(texts), EMBED_BATCH) for row in rows(texts[at : at + EMBED_BATCH])]
 
         return run
 

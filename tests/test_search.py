@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +329,15 @@ def test_texts_reach_python_a_batch_at_a_time(spark, monkeypatch):
 class _Stop(Exception):
     def asNondeterministic(self):
         raise self
+
+
+def test_hashed_words_of_many_texts_equal_one_at_a_time():
+    texts = ["", " ", "ΑΣ ΑΣΑ İx Σ", "ΣΑ", "_a_b a-b\u00a0x y\x7f", "A a\na", *(f"w{n} w{n % 7} é" for n in range(1200))]
+    got = hashed_words(16)()(texts)
+    for text, vector in zip(texts, got, strict=True):
+        counts = np.zeros(16)
+        for word in re.findall(embedding.WORD, text.lower()):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        norm = np.sqrt(counts @ counts)
+        assert vector.dtype == np.float32 and vector.tolist() == (counts / (norm or 1)).astype(np.float32).tolist()
+    assert hashed_words(16)()([]) == []
