@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +76,43 @@ def cut(text: Column, runs: Column, size: int, start: Column, length: Column) ->
     return F.when(runs.isNull(), near).otherwise(F.substr(around, start - first * size + 1, length))
 
 
+def first_characters(pattern: str) -> str | None:
+    """Characters one of which begins every match of a regular expression, NULL where they are not plain to see.
+
+    Read are alternatives that begin with a character for itself, also as a whole within `(?s:...)`.
+    """
+    if pattern.startswith("(?s:") and pattern.endswith(")"):
+        inner, depth, at = pattern[4:-1], 0, 0
+        while at < len(inner) and depth >= 0:
+            depth += {"(": 1, ")": -1}.get(inner[at], 0)
+            at += 2 if inner[at] == "\\" else 1
+        pattern = inner if depth == 0 else pattern
+    if re.search(r"\(\?[a-zA-Z-]|\[[^\]]*[|()\[]|\\Q", pattern):
+        return None
+    found, depth, at, begins = "", 0, 0, True
+    while at < len(pattern) or begins:
+        head = re.match(r"(?:\((?=\w+\)(?![*?{])))?([A-Za-z<>{}\"'/_%@#]|\\[^A-Za-z0-9])(?![*?{]|\|\|)", pattern[at:])
+        if begins and not head:
+            return None
+        found += head[1][-1] if begins else ""
+        begins = pattern[at] == "|" and depth == 0
+        depth += {"(": 1, ")": -1}.get(pattern[at], 0)
+        at += 2 if pattern[at] == "\\" else 1
+    return found
+
+
+def led(pattern: str, parts: list[str], more: str = "") -> str:
+    """`pattern`, with a look at the first character before its alternatives are tried at each place.
+
+    `parts` are what it is made of besides alternatives that begin with one of `more`.
+    """
+    heads = [first_characters(p) for p in parts]
+    if not heads or None in heads:
+        return pattern
+    shown = "".join("\\" + c if not c.isalnum() else c for c in sorted(set("".join(heads) + more)))
+    return f"(?=[{shown}])(?:{pattern})"
+
+
 def percent(score: Column) -> Column:
     """Score as a percentage with one decimal."""
     return F.format_string("%.1f%%", score * 100)

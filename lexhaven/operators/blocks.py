@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexhaven.functions.arrays import once, totals_before
-from lexhaven.functions.text import cut, newlines, not_blank, package_of, runs_of
+from lexhaven.functions.text import cut, led, newlines, not_blank, package_of, runs_of
 from lexhaven.schemas import (
     DEFAULT_SOURCE_UNITS,
     SOURCE_UNITS,
@@ -26,7 +26,8 @@ _QUIET = (
     r'''"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*|(?s:/\*.*?\*/)'''
 )
 
-_RUN = 4096
+_RUN = 1024
+_LOW = 0xFFFFFFFF
 
 
 def _tokens(text: Column, rows: list[tuple]) -> Column:
@@ -35,38 +36,32 @@ def _tokens(text: Column, rows: list[tuple]) -> Column:
     The last entry is an empty `end` token after the rest of the text.
     """
     declared = "|".join(_ungrouped(r[4]) for r in rows)
-    pattern = rf"{_QUIET}|[{{}}]|\b(?:{declared})"
+    pattern = led(rf"{_QUIET}|[{{}}]|\b(?:{declared})", [r[4] for r in rows], "\"'/{}")
 
     def describe(token: Column, skipped: Column) -> Column:
-        token = F.coalesce(token, F.lit(""))
-        unit, name = F.lit(None).cast("int"), F.lit(None).cast("string")
+        unit = F.lit(None).cast("struct<unit: int, name: string>")
         for n, row in reversed(list(enumerate(rows))):
-            hit = token.rlike("^" + row[4])
-            unit = F.when(hit, F.lit(n)).otherwise(unit)
-            name = F.when(hit, F.regexp_extract(token, "^" + row[4], 1)).otherwise(name)
+            found = F.struct(F.lit(n).alias("unit"), F.regexp_extract(token, "^" + row[4], 1).alias("name"))
+            unit = F.when(token.rlike("^" + row[4]), found).otherwise(unit)
         first = F.substring(token, 1, 1)
-        kind = (
-            F.when(first == "{", "open")
-            .when(first == "}", "close")
-            .when(first.isin('"', "'", "/"), "quiet")
-            .when(first == "", "end")
-            .otherwise("unit")
-        )
-        is_unit = kind == "unit"
         return F.struct(
-            kind.alias("kind"),
+            first.alias("first"),
             F.length(skipped).alias("gap"),
-            newlines(skipped).alias("gap_nl"),
+            _without_newlines(skipped).alias("gap_rest"),
             F.length(token).alias("size"),
-            newlines(token).alias("nl"),
-            F.when(is_unit, unit).alias("unit"),
-            F.when(is_unit, name).alias("name"),
+            _without_newlines(token).alias("rest"),
+            # What is neither a brace nor quiet nor the end is a unit.
+            F.when(~first.isin("{", "}", '"', "'", "/", ""), unit).alias("unit"),
         )
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matches = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
     return F.zip_with(matches, F.split(text, pattern, -1), describe)
 
 
+def _without_newlines(text: Column) -> Column:
+    return F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def _ungrouped(pattern: str) -> str:
     """A unit pattern with its name group turned into a plain group."""
     out, i = [], 0
@@ -89,17 +84,23 @@ def _placed(df: DataFrame) -> DataFrame:
     """Adds `_p`: declarations, braces and the end, with positions and lines."""
 
     def one(t: Column, n: Column) -> Column:
-        start = F.get("_before", n) + t.gap
-        line = F.get("_lines", n) + t.gap_nl + 1
+        before = F.get("_before", n)
+        start = before.bitwiseAND(_LOW).cast("int") + t.gap
+        line = F.shiftright(before, 32).cast("int") + t.gap - t.gap_rest + 1
+        kind = F.when(t.unit.isNotNull(), "unit").when(t["first"] == "{", "open").when(t["first"] == "}", "close").otherwise("end")
         return F.struct(
-            t.kind.alias("kind"), start.alias("start"), (start + t["size"]).alias("end"),
-            line.alias("line"), (line + t.nl).alias("end_line"), t.unit.alias("unit"),
-            t["name"].alias("name"),
+            kind.alias("kind"), start.alias("start"), (start + t["size"]).alias("end"),
+            line.alias("line"), (line + t["size"] - t.rest).alias("end_line"), t.unit.unit.alias("unit"),
+            t.unit["name"].alias("name"),
         )
 
-    df = _step(df, "_before", totals_before("transform(_t, t -> t.gap + t.size)"))
-    df = _step(df, "_lines", totals_before("transform(_t, t -> t.gap_nl + t.nl)"))
-    return _step(df, "_p", F.filter(F.transform("_t", one), lambda p: p.kind != "quiet"))
+    # Characters and lines before a token are summed as one number, lines in its upper half.
+    taken = "transform(_t, t -> CAST(t.gap + t.size AS BIGINT) + shiftleft(CAST(t.gap - t.gap_rest + t.size - t.rest AS BIGINT), 32))"
+    df = _step(df, "_before", totals_before(taken, "0L"))
+    kept = F.filter(
+        F.transform("_t", lambda t, n: F.when(~t["first"].isin('"', "'", "/"), one(t, n))), lambda p: p.isNotNull()
+    )
+    return _step(df, "_p", kept)
 
 
 def _matched(df: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -159,7 +160,7 @@ def _matched(df: DataFrame, rows: list[tuple]) -> DataFrame:
     )
     df = _step(_step(df, "_deeper", deeper), "_depth", totals_before("_deeper")).drop("_deeper")
     marks = F.filter(F.transform(ps, mark), lambda m: m.kind.isin("open", "close"))
-    df = _step(df, "_b", F.array_sort(marks))
+    df = _step(df, "_b", F.sort_array(marks))
     return _step(
         df, "_scan",
         F.struct(
@@ -199,7 +200,7 @@ def _scopes(df: DataFrame) -> DataFrame:
         ),
         F.transform("_units", lambda u, n: event(u.start, unit, 0, n, nameless)),
     )
-    df = _step(df, "_events", F.array_sort(events))
+    df = _step(df, "_events", F.sort_array(events))
     df = _step(df, "_open", totals_before("_events.change"))
 
     def level(e: Column, n: Column) -> Column:
@@ -207,7 +208,7 @@ def _scopes(df: DataFrame) -> DataFrame:
         return F.struct(depth.alias("depth"), n.alias("at"), e["rank"].alias("rank"), e.n.alias("n"), e["name"].alias("name"))
 
     levels = F.filter(F.transform("_events", level), lambda e: e["rank"] != closed)
-    df = _step(df, "_levels", F.array_sort(levels))
+    df = _step(df, "_levels", F.sort_array(levels))
     df = _step(df, "_seen", totals_before(f"transform(_levels, e -> IF(e.rank = {opened}, 1, 0))"))
     df = _step(df, "_opened", F.filter("_levels", lambda e: e["rank"] == opened))
 
@@ -215,7 +216,7 @@ def _scopes(df: DataFrame) -> DataFrame:
         name = F.when(e.depth > 0, F.get("_opened", F.get("_seen", n) - 1)["name"])
         return F.when(e["rank"] == unit, F.struct(e.n.alias("n"), name.alias("name")))
 
-    found = F.array_sort(F.array_compact(F.transform("_levels", around)))
+    found = F.sort_array(F.array_compact(F.transform("_levels", around)))
     return _step(df, "_scope", F.transform(found, lambda e: e["name"])).drop(
         "_events", "_open", "_levels", "_seen", "_opened"
     )
@@ -250,8 +251,8 @@ def extract_blocks(
         F.concat("_scan.blocks", "_scan.plain"), lambda u: u.end.isNotNull() & u.unit.isin(wanted)
     )
     scanned = _step(scanned, "_classes", outer)
-    scanned = _scopes(_step(scanned, "_units", F.array_sort(closed)))
-    scanned = _step(scanned, "_runs", runs_of(text, _RUN, 16 * _RUN))
+    scanned = _scopes(_step(scanned, "_units", F.sort_array(closed)))
+    scanned = _step(scanned, "_runs", runs_of(text, _RUN, 4 * _RUN))
 
     def described(u: Column, n: Column) -> Column:
         body = cut(text, F.col("_runs"), _RUN, u.start, u.end - u.start)
@@ -330,7 +331,7 @@ def block_issues(files: DataFrame, catalogue=SOURCE_UNITS) -> DataFrame:
         F.transform(F.col("_scan.stray"), report("ERROR")), F.transform(unclosed, report("MISSING"))
     )
     in_order = F.transform(
-        F.array_sort(found),
+        F.sort_array(found),
         lambda i: F.struct(
             *[i[c].alias(c) for c in ("type", "start_line", "start_column", "end_line", "end_column", "text")]
         ),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexhaven.functions.arrays import once, totals_before
-from lexhaven.functions.text import newlines, not_blank
+from lexhaven.functions.text import led, newlines, not_blank
 from lexhaven.schemas import DEFAULT_TEMPLATE_UNITS, TEMPLATE_UNITS, unit_rows
 
 
@@ -22,7 +22,7 @@ def extract_regions(
     """
     rows = unit_rows(catalogue)
     wanted = [n for n, r in enumerate(rows) if r[0] in set(units)]
-    pattern = "|".join(f"(?:{r[4]})" for r in rows)
+    pattern = led("|".join(f"(?:{r[4]})" for r in rows), [r[4] for r in rows])
     text = F.col("text")
 
     def kind(region: Column) -> Column:

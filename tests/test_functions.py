@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from lexhaven.functions import text
 from lexhaven.functions.arrays import once, totals_before
 from lexhaven.functions.errors import error_status
+from lexhaven.functions.text import first_characters, led
 from lexhaven.functions.vectors import relevance_band, score_of, squared_l2
-from lexhaven.schemas import STATUSES, checked
+from lexhaven.schemas import SOURCE_UNITS, STATUSES, TEMPLATE_UNITS, checked
 
 
 def apply(spark, fn, values, ddl="string"):
@@ -83,3 +84,22 @@ def test_closed_sets(spark):
     for bad in ("done", None):
         with pytest.raises(Exception, match="unknown status"):
             apply(spark, lambda c: checked(c, STATUSES, "status"), [bad])
+
+
+def test_first_characters_of_patterns():
+    assert [first_characters(r[4]) for r in SOURCE_UNITS] == list("cieefpupc")
+    assert [first_characters(r[4]) for r in TEMPLATE_UNITS] == ["<", "<", "<", "<$", "<"]
+    unclear = ["", "a|", "|a", "a?b", "a*", "a{0}", "(?i)a", "a(?i)b", "[ab]c", r"\bfoo", r"\d+", "^a", ".", "(a)?b", "(a|b)c", "x[|]y", r"\Qa|b\E"]
+    assert [p for p in unclear if first_characters(p) is not None] == []
+    assert first_characters(r"a\|b") == "a" and first_characters("a(b|c)|d") == "ad"
+
+
+def test_unclear_patterns_are_not_led():
+    assert led("X", ["a", "b?"]) == led("X", []) == "X"
+    assert led("X", ["a", r"\$"], "{") == r"(?=[\$a\{])(?:X)"
+
+
+def test_prefix_sums_beyond_an_int(spark):
+    df = spark.createDataFrame([([1 << 32] * 1100,), ([],)], "v array<bigint>")
+    got = [r[0] for r in df.select(totals_before("v", "0L")).collect()]
+    assert got == [[n << 32 for n in range(1100)], []]
