@@ -85,3 +85,54 @@ def test_edges(spark):
     assert text_of(spark, nested) == ["deep"]
     df = spark.createDataFrame([(1, None, "<p>x")] * 2, "page_id long, url string, html string")
     assert [r.text for r in html.main_text(df).collect()] == ["x", "x"]
+
+
+def located(spark, *pages):
+    df = spark.createDataFrame([(n, f"http://a.example/{n}", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    return [(r.text, r.located) for r in html.main_text(df).orderBy("page_id").collect()]
+
+
+def test_texts_in_no_order_are_no_template(spark):
+    both = "<p>Yes</p><p>No</p>", "<p>No</p><p>Yes</p>"
+    page = lambda n: f"<div class=top>Welcome to us</div><div class=x>{both[n % 2]}<p>Story {n}</p></div><div class=end>All rights</div>"
+    # Both are on all pages once, so their occurrence vectors are equal.
+    assert text_of(spark, *map(page, range(6))) == [f"{('Yes No', 'No Yes')[n % 2]} Story {n}" for n in range(6)]
+    # Parts that change places are each in one order, and a template.
+    moved = "<div class=a>Our news</div><div class=b>Our shop</div>", "<div class=b>Our shop</div><div class=a>Our news</div>"
+    assert text_of(spark, *(f"<div class=top>Welcome</div>{moved[n % 2]}<p>Story {n}</p>" for n in range(6))) == [f"Story {n}" for n in range(6)]
+
+
+def test_a_text_is_told_apart_by_its_place(spark):
+    more = lambda n: "<p>More</p>" * (n % 2)
+    page = lambda n: f"<div class=top>Welcome</div><p>More</p><div class=mid>Middle</div><p>Story {n}</p>{more(n)}<div class=end>End</div>"
+    assert text_of(spark, *map(page, range(6))) == [f"Story {n}" + " More" * (n % 2) for n in range(6)]
+
+
+def test_classes_locate_the_article_of_marked_pages(spark):
+    item = lambda n: f"<li>Link {n} a</li><li>Link {n} b</li>"
+    story = lambda n: f"<h1>Title {n}</h1>" + "".join(f"<p>Part {i} of the long story {n}</p>" for i in range(n % 3 + 2))
+    page = lambda n: f"<html><body><nav><ul>{item(n)}</ul></nav><article>{story(n)}</article><footer>Of {n}</footer></body></html>"
+    want = [" ".join([f"Title {n}", *(f"Part {i} of the long story {n}" for i in range(n % 3 + 2))]) for n in range(6)]
+    assert located(spark, *map(page, range(6))) == [(w, True) for w in want]
+    # Two pages make no template, and the check decides.
+    assert located(spark, *map(page, range(2))) == [(w, False) for w in want[:2]]
+    # A richer part beside the article is found, and the check takes the marked part.
+    beside = [page(n).replace("<footer>", f"<section><h2>{n}</h2>{'Much other text ' * 50}{n}</section><footer>") for n in range(6)]
+    assert located(spark, *beside) == [(w, False) for w in want]
+
+
+def test_order_and_nesting_of_classes():
+    of, size, pages = {1: 7, 2: 7, 3: 8, 4: 8}, {7: 2, 8: 2}, {7: 9, 8: 5}
+    said = lambda *tokens: {t: (before, invalid) for t, _, before, invalid, _, _ in html.checked(list(tokens), of, size, pages)}
+    assert said(1, 3, 4, 3, 4, 2) == {1: (0, False), 2: (1, False), 3: (0, False), 4: (3, False)}
+    # The weaker of two classes that cross goes.
+    assert said(1, 3, 2, 4) == {1: (0, False), 2: (1, False), 3: (0, True), 4: (3, True)}
+    assert {t: invalid for t, (_, invalid) in said(1, 1, 2, 2).items()} == {1: True, 2: True}
+    row = lambda t, low, high, place=0: {"token": t, "class": 5, "low": low, "high": high, "invalid": 0, "low_place": 0, "high_place": place}
+    assert list(html.settled([row(2, 1, 1), row(1, 0, 0), row(3, 2, 2)], True)) == [(1, 5, 0, 3), (2, 5, 1, 3), (3, 5, 2, 3)]
+    # Several orders: runs of one order in a first round, nothing in the last.
+    runs = list(html.settled([row(1, 0, 0), row(2, 1, 1), row(3, 2, 5), row(4, 3, 3)], False))
+    assert [(t, at) for t, _, at, _ in runs] == [(1, -1), (2, -1), (3, -1), (4, -1)] and runs[0][1] == runs[1][1] != runs[2][1] == runs[3][1]
+    assert {run for _, run, _, _ in html.settled([row(1, 0, 0), row(2, 1, 1), row(3, 2, 5)], True)} == {0}
+    # A class at several places is not nested.
+    assert list(html.settled([row(1, 0, 0, 6), row(2, 1, 1, 6)], True)) == [(1, 0, -1, 0), (2, 0, -1, 0)]
