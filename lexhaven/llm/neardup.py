@@ -73,6 +73,8 @@ def _sketched(width: int, whole: bool):
                     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                     columns["shingles"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(flat)))
                 yield pa.RecordBatch.from_pydict(columns)
+        # The worker stays, and idles beside the next stages.
+        pa.default_memory_pool().release_unused()
 
     return run
 

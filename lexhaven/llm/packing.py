@@ -28,8 +28,10 @@ CAPACITY = 2048
 BYTE_LETTERS = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
 # Share of a slot that may stay empty before a piece is cut again.
 WASTE = 1 / 32
-# Chunks a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 1_200_000
+# Chunks, their ids and parts of chunks a worker remembers before it starts anew; bounds its memory, not its results.
+REMEMBERED, REMEMBERED_IDS, REMEMBERED_PARTS = 1_200_000, 8_000_000, 50_000
+# Bytes of text coded at a time.
+BLOCK_BYTES = 1 << 21
 _PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?|")] = True
@@ -52,22 +54,44 @@ def closing_apart(
     return begins, ends, shifted
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to the tokenizer's on whole texts.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are
     those of its chunks between ASCII white space, one after the other. Chunks come back often
-    and are remembered here by their hash. A run of letters goes to the tokenizer's model at
-    once; all else goes through its normalizer and splitter.
+    and are remembered here by their hash, in arrays, as a worker keeps them for long: some 30
+    bytes a chunk. A run of letters goes to the tokenizer's model at once; all else goes through
+    its normalizer and splitter.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.parts: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
+        self.parts: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes in order, where the ids of each begin in the pool, and how many they are.
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, coded: list[bytes]) -> None:
+        """Remember the ids of new chunks, given by their hashes in order."""
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, at, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.known = np.insert(self.known, at, hashes)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are not remembered."""
+        at = np.searchsorted(self.known, hashes)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == hashes[there]
+        return np.flatnonzero(~there)
 
     def _letters(self, text: str) -> bytes:
         """Ids of lower-case letters in composed form, which the splitter leaves whole."""
@@ -95,22 +119,28 @@ class Encoder(dict):
         coded = self.tokenizer.encode(chunk.decode(), add_special_tokens=False)
         return b"".join(i.to_bytes(4, "little") for i in coded.ids)
 
-    def part(self, chunk: bytes) -> bytes:
-        """Ids of one lower-cased chunk or part of it."""
-        if chunk.isalpha():
-            return self._letters(chunk.decode())
-        ids = self.parts.get(chunk)
+    def _part(self, part: bytes) -> bytes:
+        """Ids of one of several parts of a chunk; marks and digits come back often."""
+        if part.isalpha():
+            return self._letters(part.decode())
+        ids = self.parts.get(part)
         if ids is None:
-            parts = self._parts(chunk)
-            ids = b"".join([self.part(p) for p in parts]) if len(parts) > 1 else self._rest(chunk)
-            self.parts[chunk] = ids
+            if len(self.parts) >= REMEMBERED_PARTS:
+                self.parts.clear()
+            ids = self.parts[part] = self._rest(part)
         return ids
 
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids of one lower-cased chunk."""
+        if chunk.isalpha():
+            return self._letters(chunk.decode())
+        parts = self._parts(chunk)
+        return b"".join([self._part(p) for p in parts]) if len(parts) > 1 else self._rest(chunk)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the place of each text's first, with the end at last."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.parts.clear()
+        if len(self.known) > REMEMBERED or len(self.pool) > REMEMBERED_IDS:
+            self._forget()
         data, offsets = text_buffer(texts)
         starts, stops, first = closing_apart(data, *word_bounds(data, offsets))
         hashes = hash_words(data, starts, stops)
@@ -123,19 +153,18 @@ class Encoder(dict):
             digest = hashlib.blake2b(bytes(raw[starts[i] : stops[i]]), digest_size=8).digest()
             hashes[i] = int.from_bytes(digest, "little")
         distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        exact = set(distinct[np.isin(sample, special)].tolist())
-        distinct = distinct.tolist()
-        coded = [self.get(h) for h in distinct]
-        for i in [i for i, ids in enumerate(coded) if ids is None]:
-            chunk = bytes(raw[starts[sample[i]] : stops[sample[i]]])
-            coded[i] = self[distinct[i]] = self._special(chunk) if distinct[i] in exact else self.part(chunk.lower())
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        pool = np.frombuffer(b"".join(coded), "<u4")
-        begins = (np.cumsum(sizes) - sizes)[which]
-        counts = sizes[which]
+        new = self._unknown(distinct)
+        if len(new):
+            coded, at = [], sample[new]
+            for low, high, exact in zip(starts[at].tolist(), stops[at].tolist(), np.isin(at, special).tolist(), strict=True):
+                chunk = bytes(raw[low:high])
+                coded.append(self._special(chunk) if exact else self.chunk(chunk.lower()))
+            self._learn(distinct[new], coded)
+        found = np.searchsorted(self.known, distinct)
+        counts = self.size[found][which].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        places = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], counts)
-        return pool[places], ends[first]
+        places = np.arange(ends[-1]) + np.repeat(self.begin[found][which] - ends[:-1], counts)
+        return self.pool[places], ends[first]
 
 
 @lru_cache(maxsize=2)
@@ -242,7 +271,7 @@ def pack(
         kind = None
         for batch in batches:
             kind = batch.column("key").type
-            for part in batches_of(batch):
+            for part in batches_of(batch, limit=BLOCK_BYTES):
                 rows: list[tuple] = []
                 keys = part.column("key").to_pylist()
                 ids_of_all, first = encoder.encode(part.column("text"))
@@ -252,6 +281,8 @@ def pack(
                 yield table(rows, kind)
         if kind is not None:
             yield table(list(packer.finish()), kind)
+        # The worker stays, and idles beside the next stages.
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(
         run, f"key {key_type}, start long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -91,3 +92,35 @@ def test_ids_of_many_odd_strings(tokenizer):
         got = [ids[a:b].tolist() for a, b in zip(first, first[1:])]
         want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
         assert [(t, g) for t, g, w in zip(part, got, want) if g != w] == []
+
+
+def test_remembered_chunks_take_few_bytes():
+    """A worker keeps what it has learned beside the next stages."""
+    rng = random.Random(4)
+    chunks = [f"{rng.choice('abc')}{rng.randrange(10**9)}-{n}" for n in range(60_000)]
+    encoder = packing.Encoder(PATH)
+    encoder.encode(pa.array(["a-1 2"]))
+    tracemalloc.start()
+    try:
+        for at in range(0, len(chunks), 5_000):
+            encoder.encode(pa.array([" ".join(chunks[at:at + 5_000])]))
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    # Up to sixteen ids a chunk, of four bytes each.
+    assert kept < 100 * len(chunks)
+
+
+def test_forgetting_changes_no_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "REMEMBERED_PARTS", 5)
+    rng = random.Random(6)
+    encoder = packing.Encoder(PATH)
+    for _ in range(30):
+        texts = [" ".join(f"{rng.choice(['a', 'É', 'x-', '...'])}{rng.randrange(60)}" for _ in range(20)), *ODD]
+        ids, first = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.parts) <= 5
+    monkeypatch.setattr(packing, "REMEMBERED_IDS", 0)
+    encoder.encode(pa.array(["b"]))
+    assert len(encoder.known) == 1
