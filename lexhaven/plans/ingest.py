@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,31 @@ def file_counts(timed: DataFrame) -> DataFrame:
     )
 
 
+_EMBEDDED = ("embed_error", "embed_ms", "embed_at")
+
+
+def put_in_store(
+    staged: DataFrame, aside: str, failures: DataFrame, path: str, replace: bool = False, gone: DataFrame | None = None,
+) -> DataFrame:
+    """Make pieces of `store.stage_rows` the store's newest version, without those of failed files; gives the pieces as they are read from then on.
+
+    Without failures the folder they were written to becomes the version, so they lie on disk once;
+    else those of other files are written again. With `replace` they replace their files' earlier rows, and
+    those of the files in `gone` go; see `store.replace_rows`.
+    """
+    spark = staged.sparkSession
+    if failures.isEmpty():
+        version, folder = tables.adopt(spark, aside, path)
+        staged = spark.read.schema(staged.schema).parquet(folder)
+    else:
+        failed = failures.select(F.col("path").alias("absolute_path"))
+        # Ids hold the path and the index in the file, so they are unique.
+        version = store.append_rows(staged.drop(*_EMBEDDED).join(failed, "absolute_path", "left_anti"), path, unique=True)
+    if replace:
+        store.bury(spark, path, version, gone)
+    return staged
+
+
 def new_session(spark: SparkSession) -> str:
     """Session id of this moment."""
     now = datetime.datetime.now(datetime.timezone.utc)
@@ -115,6 +141,7 @@ def ingest_files(
     session_id: str | None = None,
     listing: DataFrame | None = None,
     partitions: int | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ingest a table of `FILES`; returns the run's result row.
 
@@ -125,7 +152,10 @@ def ingest_files(
     `partitions` spreads the pieces evenly before they are embedded; worth its
     shuffle where embedding is slow and files differ much.
 
-    Pieces are embedded once and written down; counts, failures and the store
+    `read` gives `FILES` rows for a table of `path, modification_time, length`
+    taken from `listing`, and then opens these files alone.
+
+    Pieces are embedded once and written down, within the store's folder; counts, failures and the store
     all read that table, so a lost executor never repeats the embedding of
     finished tasks. A batch that fails to embed fails its files and not the job.
     """
@@ -140,27 +170,29 @@ def ingest_files(
     work = tables.shared_folder(spark, beside=target)
 
     def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+        return tables.written(df, f"{work}/{name}")
 
     # The file states are written without text. The paths to do are a table of
     # their own: Spark knows its size, and sends it to the files while small.
-    keep = ["relative_path", "ext", *(["file_hash"] if mode == "hash" else [])]
+    keep = ["relative_path", "ext", *(["file_hash"] if mode == "hash" else []), *(["length"] if read else [])]
+    named = ["path", "modification_time", *(["length"] if read else [])]
     changes = written(
         detect_changes(listing, manifest, mode, tuple(keep + ["modification_time"])), "changes"
     )
     todo = written(
-        changes.where("status in ('new', 'changed')").select("path", "modification_time"), "todo"
+        changes.where("status in ('new', 'changed')").select(*named), "todo"
     )
     deleted = changes.where("status = 'deleted'").select("path")
 
     def texts(paths: DataFrame) -> DataFrame:
+        if read:
+            return read(paths)
         if "content" in files.columns:
             return sources.read_text(sources.read_named(files, paths))
         return files.join(paths.select("path"), "path", "left_semi")
 
     # In a first run every file is new and nothing needs to be joined.
-    first_run = manifest.isEmpty() and "content" not in files.columns
+    first_run = manifest.isEmpty() and "content" not in files.columns and not read
     fresh = files if first_run else texts(todo)
     known = fresh.where("language is not null")
     pieces = split_chunks(
@@ -168,36 +200,26 @@ def ingest_files(
     )
     if partitions:
         pieces = pieces.repartition(partitions, "id")
-    staged = written(embed(pieces, make, dim=dim, on_error="keep", timed=True), "pieces")
+    staged, aside = store.stage_rows(embed(pieces, make, dim=dim, on_error="keep", timed=True), store_path)
 
-    # Failures are few and mostly none. Written down, they show Spark their size, and without
-    # any the pieces go to the store as they are.
+    # Failures are few and mostly none. Written down, they show Spark their size.
     failures = written(
         staged.where("embed_error is not null")
         .groupBy(F.col("absolute_path").alias("path"))
         .agg(F.min("embed_error").alias("error_message")),
         "failures",
     )
-    stored = staged.drop("embed_error", "embed_ms", "embed_at")
-    if not failures.isEmpty():
-        stored = stored.join(
-            failures.select(F.col("path").alias("absolute_path")), "absolute_path", "left_anti"
-        )
+    # A changed file that has no chunks now loses its old ones too.
+    gone = deleted.unionByName(todo.join(failures, "path", "left_anti").select("path"))
+    staged = put_in_store(staged, aside, failures, store_path, replace, gone)
     counts = file_counts(staged)
-    if replace:
-        # A changed file that has no chunks now loses its old ones too.
-        gone = deleted.unionByName(todo.join(failures, "path", "left_anti").select("path"))
-        store.replace_rows(stored, store_path, gone, unique=True)
-    else:
-        # Ids hold the path and the index in the file, so they are unique.
-        store.append_rows(stored, store_path, unique=True)
 
     seen = changes.where("status <> 'deleted'").withColumn(
         "language", sources.language_of(F.col("ext"))
     )
     # Few files have no chunk at all; only these are searched for issues.
     lone = written(
-        seen.where(F.col("language") != TEMPLATE_LANGUAGE).select("path", "modification_time")
+        seen.where(F.col("language") != TEMPLATE_LANGUAGE).select(*named)
         .join(todo, "path", "left_semi")
         .join(staged.select(F.col("absolute_path").alias("path")).distinct(), "path", "left_anti"),
         "lone",
@@ -214,6 +236,7 @@ def ingest_files(
     log = runlog.read_log(spark, f"{target}/runlog")
     # Store, log and manifest are written; nothing reads the work tables now.
     tables.drop_folder(spark, work)
+    tables.drop_folder(spark, aside)
     return run_result(log.where(F.col("session_id") == session_id), started)
 
 
@@ -226,16 +249,19 @@ def ingest(spark: SparkSession, root: str, target: str, source_root: str | None
 
     A folder is its own source root; for a single file relative paths and the
     module come from `source_root`. With `mode="mtime"` no file older than
-    every new or changed one is opened.
+    every new or changed one is opened; with `list_hidden` as well, none but these.
     """
     folder = tables.is_folder(spark, root)
     base = root if folder or source_root is None else source_root
     found = {name: options.pop(name) for name in _DISCOVERY if name in options}
+    below = None if folder else source_root
+    by_name = options.get("mode") == "mtime" and found.get("list_hidden", False)
     listing = sources.discover_files(
-        spark, root, options.pop("extensions", tuple(LANGUAGES)),
-        source_root=None if folder else source_root, **found,
+        spark, root, options.pop("extensions", tuple(LANGUAGES)), source_root=below, content=not by_name, **found,
     )
     options.setdefault("module", sources.module_of(base))
+    if by_name:
+        options["read"] = lambda paths: sources.read_text(sources.read_walked(paths, root, below))
     if options.get("mode") == "mtime":
         return ingest_files(listing, target, listing=listing.drop("content"), **options)
     return ingest_files(sources.read_text(listing), target, **options)

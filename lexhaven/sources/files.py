@@ -27,6 +27,11 @@ BINARY_FILE = T.StructType(
 # Bytes and files that a listing by tasks reads into one batch.
 READ_BYTES, READ_FILES = 4 << 20, 1000
 
+# Bytes of files that a task opens by their names.
+TASK_BYTES = 64 << 20
+
+_FOUND = ("path", "relative_path", "ext", "modification_time", "length", "content")
+
 
 def _root(path: str) -> str:
     bare = path[len("file://"):] if path.startswith("file://") else path
@@ -72,6 +77,7 @@ def discover_files(
     max_depth: int = -1,
     source_root: str | None = None,
     list_hidden: bool = False,
+    content: bool = True,
 ) -> DataFrame:
     """Files below `root`, or `root` itself when it is a file.
 
@@ -83,7 +89,8 @@ def discover_files(
     Spark's own listing leaves out empty files and names that start with `_` or
     `.`, and follows links. `list_hidden=True` walks the tree in tasks instead,
     level by level, finds those and skips links; it needs a file system mounted
-    on every executor.
+    on every executor. A walk opens every file it finds, unless `content=False`
+    leaves `content` NULL; `read_walked` then opens those that are wanted.
     """
     top = _root(root)
     wanted = list(extensions)
@@ -107,7 +114,7 @@ def discover_files(
             inside = F.substr(address, at + len(start)).contains(f"/{quote(name)}/")
             found = found.where(~((at > 0) & inside))
     else:
-        found = _walk(spark, top, wanted, list(exclude_dirs), max_depth)
+        found = _walk(spark, top, wanted, list(exclude_dirs), max_depth, content)
     out = named(found, top, source_root)
     dirs = F.expr("slice(split(_below, '/'), 1, size(split(_below, '/')) - 1)")
     keep = F.col("ext").isin(wanted)
@@ -115,29 +122,11 @@ def discover_files(
         keep &= ~F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in exclude_dirs]))
     if max_depth >= 0:
         keep &= F.size(dirs) <= max_depth
-    return out.where(keep).select(
-        "path", "relative_path", "ext", "modification_time", "length", "content"
-    )
+    return out.where(keep).select(*_FOUND)
 
 
-def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
-    """Listing by tasks: level by level on Spark, the folders of each level spread out."""
-
-    def list_folders(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for folder in batch["path"]:
-                for entry in os.scandir(folder):
-                    if entry.is_symlink():
-                        continue
-                    if entry.is_dir(follow_symlinks=False):
-                        if entry.name not in excluded:
-                            rows.append((entry.path, True))
-                    elif os.path.splitext(entry.name)[1] in extensions:
-                        rows.append((entry.path, False))
-            yield pd.DataFrame(rows, columns=["path", "is_folder"])
+def _reader(content: bool):
+    """For `mapInArrow`: `binaryFile` rows of a column `path`; with `content` False only what the file system says of them."""
 
     def read(batches):
         import pyarrow as pa
@@ -151,9 +140,12 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
                 info = os.stat(path)
                 if not stat_bits.S_ISREG(info.st_mode):
                     continue
-                with open(path, "rb") as f:
-                    rows.append(("file:" + path, info.st_mtime_ns // 1000, info.st_size, f.read()))
-                size += len(rows[-1][-1])
+                data = None
+                if content:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    size += len(data)
+                rows.append(("file:" + path, info.st_mtime_ns // 1000, info.st_size, data))
                 # Many small files make one batch, and a large one a batch of its own.
                 if size >= READ_BYTES or len(rows) >= READ_FILES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape.types)], schema=shape)
@@ -161,6 +153,40 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape.types)], schema=shape)
 
+    return read
+
+
+def read_walked(wanted: DataFrame, root: str, source_root: str | None = None) -> DataFrame:
+    """Rows of `discover_files` with their content, for files that a walk of `root` has listed.
+
+    `wanted` has their `path` and `length`. These files alone are opened, where their names are, so
+    no content is shuffled. They are spread over tasks of about `TASK_BYTES`, and over all cores.
+    """
+    size = wanted.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    found = wanted.select("path").repartition(tasks).mapInArrow(_reader(True), BINARY_FILE)
+    return named(found, root, source_root).select(*_FOUND)
+
+
+def _walk(spark, top: str, extensions, excluded, max_depth: int, content: bool = True) -> DataFrame:
+    """Listing by tasks: level by level on Spark, the folders of each level spread out."""
+
+    def list_folders(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                for entry in os.scandir(folder):
+                    if entry.is_symlink():
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in excluded:
+                            rows.append((entry.path, True))
+                    elif os.path.splitext(entry.name)[1] in extensions:
+                        rows.append((entry.path, False))
+            yield pd.DataFrame(rows, columns=["path", "is_folder"])
+
     # Each level is written down once, so a deep tree is not listed again from the top.
     from lexhaven.sources.tables import shared_folder
 
@@ -182,7 +208,7 @@ def _walk(spark, top: str, extensions, excluded, max_depth: int) -> DataFrame:
     for more in files[1:]:
         listed = listed.unionByName(more)
     spread = listed.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInArrow(read, BINARY_FILE)
+    return spread.mapInArrow(_reader(content), BINARY_FILE)
 
 
 def valid_text(content: Column) -> Column:

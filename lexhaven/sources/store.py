@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexhaven.functions.text import empty_to_null
 from lexhaven.operators.upsert import latest_rows
@@ -67,11 +68,26 @@ def replace_rows(rows: DataFrame, path: str, gone: DataFrame | None = None, uniq
     """
     spark = rows.sparkSession
     version = append_rows(rows, path, unique)
+    bury(spark, path, version, gone)
+    return version
+
+
+def bury(spark: SparkSession, path: str, version: int, gone: DataFrame | None = None) -> None:
+    """Write tombstones of a version: for each file it has rows of, and for each `path` of `gone`."""
     files = tables.read_versions(spark, path, STORE, [version]).select("absolute_path")
     if gone is not None:
         files = files.unionByName(gone.select(F.col("path").alias("absolute_path")))
     files.distinct().withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{path}/{TOMBSTONES}")
-    return version
+
+
+def stage_rows(rows: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Rows written within the store's folder, one per id, and the folder `tables.adopt` can make a version of.
+
+    Columns that a store does not have stay beside its own; readers of the store pass over them.
+    """
+    own = STORE.fieldNames()
+    whole = T.StructType(STORE.fields + [f for f in rows.schema.fields if f.name not in own])
+    return tables.write_aside(conform(rows, whole), path)
 
 
 def rewrite(rows: DataFrame, path: str) -> int:

@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 # Splits of input up to which a table counts as small.
 SMALL_SPLITS = 8
 
+# Codec of the tables: ids and hashes are hexadecimal digits, which Snappy does not make shorter.
+CODEC = "zstd"
+
 
 def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -67,9 +70,14 @@ def _claim(spark: SparkSession, path: str, prefix: str, number: int) -> int:
 
 def _write(df: DataFrame, path: str, gen: int, version: int) -> int:
     """Write a version under a free number from `version` on, then say that it is done."""
-    spark, folder = df.sparkSession, f"{path}/gen={gen}"
-    staged = f"{folder}/_new-{uuid.uuid4().hex}"
-    df.drop("version").write.parquet(staged)
+    staged = f"{path}/gen={gen}/_new-{uuid.uuid4().hex}"
+    df.drop("version").write.option("compression", CODEC).parquet(staged)
+    return _place(df.sparkSession, staged, path, gen, version)
+
+
+def _place(spark: SparkSession, staged: str, path: str, gen: int, version: int) -> int:
+    """Move a finished folder to a free number from `version` on, then say that it is done."""
+    folder = f"{path}/gen={gen}"
     version = _claim(spark, folder, "_taken-", version)
     hadoop, fs, _ = _file_system(spark, path)
     if not fs.rename(hadoop.Path(staged), hadoop.Path(f"{folder}/version={version}")):
@@ -102,6 +110,19 @@ def write_version(df: DataFrame, path: str) -> int:
     return _write(df, path, max(gen, 1), found[-1] + 1 if found else 1)
 
 
+def write_aside(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Rows written within the folder of a table and not yet part of it, and the folder that holds them."""
+    aside = f"{path}/aside-{uuid.uuid4().hex}"
+    return written(df.drop("version"), aside), aside
+
+
+def adopt(spark: SparkSession, aside: str, path: str) -> tuple[int, str]:
+    """Make a folder of `write_aside` a version of the newest generation, by a move; the version and its folder."""
+    gen, found = versions(spark, path)
+    version = _place(spark, aside, path, max(gen, 1), found[-1] + 1 if found else 1)
+    return version, f"{path}/gen={max(gen, 1)}/version={version}"
+
+
 def write_generation(df: DataFrame, path: str, keep: int = 2) -> int:
     """Write a table that replaces the current one; `df` may read the current one.
 
@@ -127,7 +148,7 @@ def written(df: DataFrame, path: str, sort_by: list[str] | None = None) -> DataF
     """Write an intermediate table and read it back; `sort_by` lays it out in ranges, sorted within."""
     if sort_by:
         df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

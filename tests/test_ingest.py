@@ -190,3 +190,38 @@ def test_each_file_has_a_duration_of_its_own(spark, tmp_path):
     assert max(took.values()) < 1000 * result.seconds
     again = ingest(spark, str(root), target, session_id="2", make=make).first()
     assert again.files_skipped == 3 and {r.duration_ms for r in outcomes(spark, target, "2").values()} == {0}
+
+
+def test_walk_by_time_opens_what_is_new_alone_and_writes_pieces_once(spark, tree, tmp_path, monkeypatch):
+    # Contents of all files were shuffled to be matched with their names, and pieces lay on disk twice.
+    from lexhaven.sources import files, tables
+
+    opened, aside, plans = [], [], []
+    read, place = files.read_walked, tables._place
+
+    def read_walked(wanted, *options):
+        opened.append(sorted(r.path for r in wanted.collect()))
+        found = read(wanted, *options)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(files, "read_walked", read_walked)
+    monkeypatch.setattr(tables, "_place", lambda s, staged, *rest: aside.append(staged) or place(s, staged, *rest))
+    target = str(tmp_path / "t")
+    ingest(spark, str(tree), target, session_id="1", mode="mtime", list_hidden=True)
+    # First the new files, then those without pieces that may be broken.
+    assert opened[0] == sorted(str(tree / n) for n in TREE) and opened[1] == [str(tree / "Broken.gs"), str(tree / "Empty.gs")]
+    assert all("MapInArrow" in p and "Join" not in p and p.count("Exchange") == 1 for p in plans)
+    assert [p for p in aside if "/store/aside-" in p] and not os.path.exists(next(p for p in aside if "/store/" in p))
+    assert len(stored(spark, target)) == 10 and os.listdir(f"{target}/store") == ["gen=1"]
+    listing = files.discover_files(spark, str(tree), list_hidden=True, content=False)
+    assert listing.where("content is not null").isEmpty() and listing.where("length > 0").count() == 6
+
+    opened.clear()
+    later = time.time() + 100
+    write(tree, "_late.gs", "class Late {}")
+    os.utime(tree / "_late.gs", (later, later))
+    ingest(spark, str(tree), target, session_id="2", mode="mtime", list_hidden=True)
+    assert [str(tree / "_late.gs")] == [p for p in opened[0] if not p.endswith(("Empty.gs", "Broken.gs", "Plain.gst"))]
+    assert statuses(spark, target, "2")["_late.gs"] == "success" and statuses(spark, target, "2")["a/One.gs"] == "skipped"
+    assert len(stored(spark, target)) == 11
