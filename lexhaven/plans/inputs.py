@@ -33,8 +33,8 @@ def _text(value: Column) -> Column:
     return value.cast("string")
 
 
-def _files(df: DataFrame) -> DataFrame:
-    """Complete `path, text, modification_time` to `FILES` rows."""
+def _files(df: DataFrame, *rest: str) -> DataFrame:
+    """Complete `path, text, modification_time` to `FILES` rows, with the columns `rest` behind."""
     path = F.col("path")
     ext = extname(path)
     return df.select(
@@ -46,6 +46,7 @@ def _files(df: DataFrame) -> DataFrame:
         F.length(F.encode("text", "UTF-8")).cast("bigint").alias("length"),
         "text",
         content_hash(F.col("text")).alias("file_hash"),
+        *rest,
     )
 
 
@@ -132,29 +133,39 @@ def document_chunks(documents: DataFrame) -> DataFrame:
     )
 
 
-def changing_files(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Documents as files in their states over an hour, and the listings at its begin and end."""
+def changing_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files in their states over an hour; `first` and `last` tell which states its begin and its end show.
+
+    Documents and labels are joined once for all states.
+    """
     marked = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    path = F.concat(F.lit(ROOT + "/"), _text(F.col("doc_id")), F.lit(".gs"))
 
-    def at(hour: int):
-        return F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour))
+    def state(hour: int, edited: bool, last: Column):
+        return F.struct(
+            F.lit(hour).alias("hour"), F.lit(edited).alias("edited"), F.lit(hour == 0).alias("first"), last.alias("last")
+        )
 
-    def files(rows: DataFrame, text: Column, hour: int) -> DataFrame:
-        return _files(rows.select(path.alias("path"), text.alias("text"), at(hour).alias("modification_time")))
+    toxic, unknown = F.col("toxic") == 1, F.col("quality").isNull()
+    stays = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    states = F.array(
+        F.when(~unknown, state(0, False, stays)), F.when(toxic, state(1, True, F.lit(True))), F.when(unknown, state(1, False, F.lit(True)))
+    )
+    rows = marked.select("doc_id", "text", F.inline(F.array_compact(states)))
+    rows = rows.select(
+        F.concat(F.lit(ROOT + "/"), _text(F.col("doc_id")), F.lit(".gs")).alias("path"),
+        F.when(F.col("edited"), F.concat(F.lit("edited "), "text")).otherwise(F.col("text")).alias("text"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * F.col("hour")).alias("modification_time"),
+        "first", "last",
+    )
+    return _files(rows, "first", "last")
 
-    def listing(rows: DataFrame, hour: int) -> DataFrame:
-        return rows.select(
-            at(hour).alias("listed"), "path", "relative_path", "ext", "modification_time", F.col("file_hash").alias("state")
-        )
 
-    text = F.col("text")
-    first = files(marked.where("quality is not null"), text, 0)
-    later = files(marked.where("toxic = 1"), F.concat(F.lit("edited "), text), 1).unionByName(
-        files(marked.where("quality is null"), text, 1)
+def listing_of(files: DataFrame, which: str, hour: int) -> DataFrame:
+    """The listing of `changing_files` at an hour."""
+    return files.where(which).select(
+        F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour)).alias("listed"),
+        "path", "relative_path", "ext", "modification_time", F.col("file_hash").alias("state"),
     )
-    stays = files(marked.where("quality = 1 and toxic = 0"), text, 0)
-    return first.unionByName(later), [listing(first, 0), listing(stays.unionByName(later), 1)]
 
 
 def vector_store(spark: SparkSession, folder: str) -> DataFrame:
